@@ -28,6 +28,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/lexmill-{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     _WRITTEN.append((spark, path))
+    spark.sparkContext._jvm.System.gc()  # shuffle files of jobs that are done go when the driver's references do
     return spark.read.schema(df.schema).parquet(path)
 
 
