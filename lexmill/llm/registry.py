@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm import bpe, ngram, packing, quality, substring, toxicity
+from lexmill.llm import bpe, ngram, packing, quality, simhash, substring, toxicity
 from lexmill.llm.labelled import fold
 
 
@@ -33,6 +33,10 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = quality.train(docs, table(spark, sf_dir, "labels"), fold("k") % 3 != 1)
@@ -50,6 +54,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_lm_score": op2_lm_score,
     "op3_substring": op3_substring,
     "op5_packing": op5_packing,
+    "op6_simhash": op6_simhash,
     "op9_quality": op9_quality,
     "op10_toxicity": op10_toxicity,
 }
