@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm import bpe, ngram, packing, quality, simhash, substring, toxicity
+from lexmill.llm import ann, bpe, ngram, packing, quality, simhash, substring, toxicity
 from lexmill.llm.labelled import fold
 
 
@@ -37,6 +37,10 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = quality.train(docs, table(spark, sf_dir, "labels"), fold("k") % 3 != 1)
@@ -55,6 +59,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_substring": op3_substring,
     "op5_packing": op5_packing,
     "op6_simhash": op6_simhash,
+    "op7_ann": op7_ann,
     "op9_quality": op9_quality,
     "op10_toxicity": op10_toxicity,
 }

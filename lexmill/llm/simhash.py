@@ -28,8 +28,10 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 #: Shingles whose bits are added up in 16-bit lanes at a time.
 _SEGMENT = 32768
+#: Buckets of up to so many rows are compared side by side with others.
+SMALL = 48
 #: Seconds of a row that is dealt out, and of a pair that is compared.
-ROW_COST, PAIR_COST = 4e-6, 2e-8
+ROW_COST, PAIR_COST = 4e-6, 1e-8
 
 
 def fingerprints_of(text: pa.Array, shingle: int, seed: int) -> np.ndarray:
@@ -137,24 +139,6 @@ def plan(sample: np.ndarray, total: int, limit: int) -> list[tuple[list[int], in
     return best[1]
 
 
-def linked(fps: np.ndarray, limit: int) -> np.ndarray:
-    """For each fingerprint the index of one it is joined to, directly or through others; its own for the first."""
-    n = len(fps)
-    root = np.arange(n)
-    todo = np.arange(n)
-    while len(todo):
-        x, todo = todo[0], todo[1:]
-        frontier = [x]
-        while frontier and len(todo):
-            near = np.bitwise_count(fps[todo] ^ fps[frontier.pop()]) <= limit
-            if near.any():
-                found = todo[near]
-                root[found] = x
-                frontier.extend(found.tolist())
-                todo = todo[~near]
-    return root
-
-
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Node and least node of its component, for each node of the edges that isn't the least."""
     nodes, both = np.unique(np.concatenate([a, b]), return_inverse=True)
@@ -208,13 +192,13 @@ def links(fps: DataFrame, limit: int, bucket_rows: int = 16384) -> DataFrame:
         .withColumn("chunks", chunks)
         .withColumn("mine", mine)
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-        .select("g", "v", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), "fp")
+        .select("g", "v", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), "fp", "own")
     )
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
         for batch in batches:
-            now = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("g", "v", "x", "y", "fp")])
+            now = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("g", "v", "x", "y", "fp", "own")])
             held = now if held is None else np.concatenate([held, now], 1)
             new = np.flatnonzero((held[:4, 1:] != held[:4, :-1]).any(0)) + 1
             if len(new):
@@ -224,26 +208,34 @@ def links(fps: DataFrame, limit: int, bucket_rows: int = 16384) -> DataFrame:
             yield edges(held)
 
     def edges(rows: np.ndarray) -> pa.RecordBatch:
-        fp = rows[4].view(np.uint64) if rows[4].flags.c_contiguous else np.ascontiguousarray(rows[4]).view(np.uint64)
+        fp, own = np.ascontiguousarray(rows[4]).view(np.uint64), rows[5].astype(bool)
         starts = np.append(0, np.flatnonzero((rows[:4, 1:] != rows[:4, :-1]).any(0)) + 1)
         size = np.diff(np.append(starts, len(fp)))
         end = np.repeat(starts + size, size)
-        small = np.repeat(size <= 64, size)
-        at = np.flatnonzero(small)
-        a, b = [], []
-        for d in range(1, int(size[size <= 64].max(initial=0))):
+        at = np.flatnonzero(np.repeat(size <= SMALL, size))
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        for d in range(1, int(size[size <= SMALL].max(initial=0))):
             at = at[at + d < end[at]]
             hit = at[np.bitwise_count(fp[at] ^ fp[at + d]) <= limit]
-            a.append(fp[hit])
-            b.append(fp[hit + d])
-        for s, k in zip(starts[size > 64].tolist(), size[size > 64].tolist()):
+            found.append((fp[hit], fp[hit + d]))
+        held = 0
+        for s, k in zip(starts[size > SMALL].tolist(), size[size > SMALL].tolist()):
             part = fp[s : s + k]
-            root = linked(part, limit)
-            inner = root != np.arange(k)
-            a.append(part[inner])
-            b.append(part[root[inner]])
-        x, y = forest(np.concatenate([*a, np.zeros(0, np.uint64)]).view(np.int64), np.concatenate([*b, np.zeros(0, np.uint64)]).view(np.int64))
-        return pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], ["a", "b"])
+            mine = part[own[s : s + k]]  # two probes that are alike also meet in a bucket of one's own
+            step = max(1, (1 << 20) // k)
+            for i in range(0, len(mine), step):
+                x, y = np.nonzero(np.bitwise_count(mine[i : i + step, None] ^ part) <= limit)
+                x, y = mine[i + x], part[y]
+                found.append((x[x != y], y[x != y]))
+                held += len(x)
+                if held > 1 << 21:  # a crowd of copies: only a spanning forest of it is kept
+                    found, held = [spanning(found)], 0
+        x, y = spanning(found)
+        return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)), pa.array(y.view(np.int64))], ["a", "b"])
+
+    def spanning(found: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        none = [np.zeros(0, np.uint64)]
+        return forest(*[np.concatenate([f[i] for f in found] + none) for i in (0, 1)])
 
     return cells.repartition("g", "v", "x", "y").sortWithinPartitions("g", "v", "x", "y").mapInArrow(compare, "a long, b long")
 
