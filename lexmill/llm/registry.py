@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm import ann, bpe, ngram, packing, quality, simhash, substring, toxicity
+from lexmill.llm import ann, bpe, ngram, packing, pii, quality, simhash, substring, toxicity
 from lexmill.llm.labelled import fold
 
 
@@ -29,6 +29,10 @@ def op3_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -57,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_lm_score": op2_lm_score,
     "op3_substring": op3_substring,
+    "op4_pii": op4_pii,
     "op5_packing": op5_packing,
     "op6_simhash": op6_simhash,
     "op7_ann": op7_ann,
