@@ -132,4 +132,4 @@ def score(docs: DataFrame, model: FactorisationMachine, id_col: str = "doc_id",
 
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("_k"), F.col(f"`{text_col}`").alias("_t"), *[F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(carry)])
     more = "".join(f", _c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(carry))
-    return rows.mapInArrow(run, SCHEMA + more)
+    return rows.mapInArrow(run, SCHEMA + more).withColumnsRenamed({f"_c{i}": c for i, c in enumerate(carry)})

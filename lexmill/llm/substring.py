@@ -32,6 +32,7 @@ class Batch:
     def __init__(self, docs: pa.RecordBatch, window: int):
         self.docs, self.window = docs, window
         self.buf, offsets = text_buffers(docs.column("t"))
+        self.offsets = offsets
         self.starts, self.ends, self.hashes = words(self.buf, offsets[:-1], plain_table())
         doc = np.searchsorted(offsets, self.starts, side="right") - 1
         self.counts = np.bincount(doc, minlength=docs.num_rows)
@@ -118,6 +119,19 @@ def kept(batch: Batch, removed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out[mask], np.append(0, np.cumsum(size))
 
 
+def remaining(batch: Batch, removed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of each document without the removed words and the white space behind them, and n + 1 offsets."""
+    nxt = np.append(batch.starts[1:], len(batch.buf))
+    last = batch.left == 1
+    nxt[last] = batch.ends[last]
+    mask = np.zeros(len(batch.buf) + 1, np.int8)
+    np.add.at(mask, batch.starts[removed], 1)
+    np.add.at(mask, nxt[removed], -1)
+    stay = np.cumsum(mask[:-1], dtype=np.int8) == 0
+    at = np.append(0, np.cumsum(stay))
+    return batch.buf[stay], at[batch.offsets]
+
+
 DIGEST_SCHEMA = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 
 
@@ -125,8 +139,8 @@ def remove_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", te
     """Per row of docs: n_words, n_removed, and the SHA-256 of the kept words joined by one space.
 
     A word goes if a window of `window` words over it has the same words as one that starts earlier, that
-    is, in a document of smaller id or earlier in the same document. with_text adds kept_text; columns
-    named in carry come along. Words are `[^\\x20\\x09-\\x0D]+`, compared as bytes by 96 bits of hash.
+    is, in a document of smaller id or earlier in the same document. with_text adds kept_text, the text
+    without the removed words and the white space behind each; columns named in carry come along. Words are `[^\\x20\\x09-\\x0D]+`, compared as bytes by 96 bits of hash.
 
     Null text counts as empty. Rows of null id count as one document that comes before all others, and
     rows that repeat an id as the same document: of such rows with equal words at equal places neither
@@ -165,6 +179,7 @@ def remove_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", te
             out = [part.column("k"), pa.array(batch.counts, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha, pa.string())]
             names = ["doc_id", "n_words", "n_removed", "kept_sha256"]
             if with_text:
+                data, offsets = remaining(batch, removed)
                 out.append(pa.LargeStringArray.from_buffers(part.num_rows, pa.py_buffer(offsets), pa.py_buffer(data)).cast(pa.string()))
                 names.append("kept_text")
             yield pa.RecordBatch.from_arrays([*out, *[part.column(f"c{i}") for i in range(len(carry))]], [*names, *[f"c{i}" for i in range(len(carry))]])
