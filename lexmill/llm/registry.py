@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm import ann, bpe, ngram, packing, pii, quality, simhash, substring, toxicity
+from lexmill.llm import ann, bm25, bpe, ngram, packing, pii, quality, simhash, substring, toxicity
 from lexmill.llm.labelled import fold
 
 
@@ -45,6 +45,10 @@ def op7_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
 
 
+def op8_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bm25.search(table(spark, sf_dir, "documents"), "k % 50 = 0")
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = quality.train(docs, table(spark, sf_dir, "labels"), fold("k") % 3 != 1)
@@ -65,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_packing": op5_packing,
     "op6_simhash": op6_simhash,
     "op7_ann": op7_ann,
+    "op8_bm25": op8_bm25,
     "op9_quality": op9_quality,
     "op10_toxicity": op10_toxicity,
 }
