@@ -22,13 +22,21 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+#: With it, a job's shuffle files go when the job is over, instead of when the driver collects its garbage.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write df once and read it back: cuts lineage, survives lost executors, keeps later jobs cheap."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lexmill-{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     _WRITTEN.append((spark, path))
-    spark.sparkContext._jvm.System.gc()  # shuffle files of jobs that are done go when the driver's references do
     return spark.read.schema(df.schema).parquet(path)
 
 
