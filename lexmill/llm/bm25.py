@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexmill.llm.arrow_text import lower_table, text_buffers, words
-from lexmill.llm.exchange import FIGURES, aligned, answered, as_batches, figures_of, gathered, groups, questions, tasks_for, together
+from lexmill.llm.exchange import aligned, answered, as_batches, figure_sums, figures_of, gathered, groups, questions, tasks_for, together
 from lexmill.llm.storage import written
 
 K1, B = 1.2, 0.75
@@ -148,7 +148,7 @@ def search(docs: DataFrame, query_filter: str, k: int = 10, id_col: str = "doc_i
         yield figures_of(sums, buckets)
 
     df = written(answered(batches.mapInArrow(ask, batches.schema), [np.uint32], _document_frequencies, 1, tasks), "bm25-df")
-    figures = {r.n1: r.n for r in df.where(F.col("kind") == FIGURES).groupBy("n1").agg(F.sum("n2").alias("n")).collect()}  # two rows
+    figures = figure_sums(df)
     total = figures.get(0, 0)
     mean = max(figures.get(1, 0) / max(total, 1), 1e-9)
 

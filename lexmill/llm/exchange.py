@@ -95,6 +95,7 @@ def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Record
             if kind == DOCUMENTS:
                 yield b, documents_of(data[i].as_buffer()), answers
                 answers = {}
+                pa.default_memory_pool().release_unused()
             else:
                 answers.setdefault(kind, []).append(data[i].as_buffer())
 
@@ -131,8 +132,8 @@ def answered(asked: DataFrame, dtypes: list, answer: Callable, kind: int, tasks:
     """Each bucket's binaries, put together, go through answer(keys, values, part) once.
 
     answer returns a value for each entry and a list of (n1, n2) figures, or None; part is the number of the
-    binary that an entry came from. Figures are rows of kind FIGURES, summed by n1 within a task; those among
-    the questions come along.
+    binary that an entry came from. Figures are summed by n1 within a task, to one row of kind FIGURES; those
+    among the questions come along.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,9 +161,9 @@ def answered(asked: DataFrame, dtypes: list, answer: Callable, kind: int, tasks:
         now, sent = None, []
         for rows in batches:
             data = rows.column("data")
-            for i, (b, kind_, q, n1, n2) in enumerate(zip(*[rows.column(c).to_pylist() for c in _NAMES[:5]])):
+            for i, (b, kind_, q) in enumerate(zip(*[rows.column(c).to_pylist() for c in _NAMES[:3]])):
                 if kind_ == FIGURES:
-                    figures[n1] = figures.get(n1, 0) + n2
+                    _add(figures, data[i].as_buffer())
                     continue
                 if q != now and sent:
                     yield bucket(now, sent)
@@ -172,16 +173,35 @@ def answered(asked: DataFrame, dtypes: list, answer: Callable, kind: int, tasks:
         if sent:
             yield bucket(now, sent)
         if figures:
-            n = len(figures)
-            yield rows_of([-1] * n, [FIGURES] * n, [0] * n, list(figures), list(figures.values()), [b""] * n)
+            yield figures_of(figures)
 
     return asked.repartition(tasks, "q").sortWithinPartitions("q").mapInArrow(run, SCHEMA)
 
 
-def figures_of(sums: dict[int, int], buckets: int) -> pa.RecordBatch:
-    """Sums by number, as rows to go along with a task's questions."""
-    n, q = len(sums), TaskContext.get().partitionId() % buckets
-    return rows_of([-1] * n, [FIGURES] * n, [q] * n, list(sums), list(sums.values()), [b""] * n)
+def figures_of(sums: dict[int, int], buckets: int = 1) -> pa.RecordBatch:
+    """Sums by number, as one row to go along with a task's questions."""
+    data = np.array([list(sums), list(sums.values())], np.int64).tobytes()
+    return rows_of([-1], [FIGURES], [TaskContext.get().partitionId() % buckets], [0], [0], [data])
+
+
+def _add(sums: dict[int, int], data) -> None:
+    numbers, values = np.frombuffer(data, np.int64).reshape(2, -1).tolist()
+    for n, v in zip(numbers, values):
+        sums[n] = sums.get(n, 0) + v
+
+
+def figure_sums(answers: DataFrame) -> dict[int, int]:
+    """All tasks' figures, added up on the executors; as many come to the driver as there are numbers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, int] = {}
+        for rows in batches:
+            for data in rows.column("data"):
+                _add(sums, data.as_buffer())
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array(list(sums.values()), pa.int64())], ["n1", "n2"])
+
+    rows = answers.where(F.col("kind") == FIGURES).select("data").repartition(8)
+    return {r.n1: r.n for r in rows.mapInArrow(run, "n1 long, n2 long").groupBy("n1").agg(F.sum("n2").alias("n")).collect()}
 
 
 def groups(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -18,10 +18,9 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from lexmill.llm.arrow_text import lower_table, mix, text_buffers, words
-from lexmill.llm.exchange import FIGURES, aligned, answered, as_batches, figures_of, gathered, groups, questions, tasks_for, together
+from lexmill.llm.exchange import aligned, answered, as_batches, figure_sums, figures_of, gathered, groups, questions, tasks_for, together
 from lexmill.llm.storage import written
 
 #: Context frequencies by octaves: 0, 1, 2-3, 4-7, ...
@@ -175,7 +174,7 @@ def score_texts(docs: DataFrame, folds: int = 10, alpha: float = 0.1, id_col: st
             yield questions(b, buckets, batch.keys, batch.counts.astype(np.uint32))
 
     totals = written(answered(batches.mapInArrow(ask_words, batches.schema), [np.uint32], _word_totals, 1, tasks), "ngram-words")
-    figures = {r.n1: r.n for r in totals.where(F.col("kind") == FIGURES).groupBy("n1").agg(F.sum("n2").alias("n")).collect()}  # two rows
+    figures = figure_sums(totals)
     n, v = figures.get(0, 0), figures.get(1, 0)
 
     def ask_pairs(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,8 +198,7 @@ def score_texts(docs: DataFrame, folds: int = 10, alpha: float = 0.1, id_col: st
 
     pair_counts = written(answered(together(batches, totals).mapInArrow(ask_pairs, batches.schema), [np.uint32, np.uint8, np.uint8], pair_totals, 2, tasks), "ngram-pairs")
 
-    cells = pair_counts.where(F.col("kind") == FIGURES).groupBy("n1").agg(F.sum("n2").alias("n"))
-    learnt = Weights.learn({r.n1: r.n for r in cells.collect()}, v).table  # at most CONTEXTS * PAIR_LEVELS * WORD_LEVELS rows
+    learnt = Weights.learn(figure_sums(pair_counts), v).table  # at most CONTEXTS * PAIR_LEVELS * WORD_LEVELS cells
 
     def finish(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, part, answers in gathered(rows):
