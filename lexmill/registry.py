@@ -1,11 +1,474 @@
-"""Queries over the tables of a folder, and their SQL."""
+"""Queries over the tables of a folder, and their SQL where SQL can express them."""
 
 from __future__ import annotations
 
+import io
+import zipfile
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from lexmill.functions import text as T
+from lexmill.functions import times
+from lexmill.operators import alignment, integrity, lattice, lexicon, numbering, reviews, segment
+from lexmill.plans import lookup, reading
+from lexmill.plans.crosswalk import Tables, oracle
+from lexmill.sources import html, term_bank
 
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+#: A name counts as frequent in a document from so many mentions on.
+NAMES_OVER = 3
+
+
+def query(sql: str | None = None):
+    """Register a function of (spark, tables) as the query of its name, with its SQL."""
+
+    def register(f):
+        QUERIES[f.__name__] = lambda spark, sf_dir: f(spark, Tables(spark, sf_dir))
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def _items(t: Tables) -> DataFrame:
+    return reviews.current(t.reviews)
+
+
+def _naive(df: DataFrame) -> DataFrame:
+    """Timestamps without a zone, as the tables hold them."""
+    return df.withColumns({c: F.col(c).cast("timestamp_ntz") for c, kind in df.dtypes if kind == "timestamp"})
+
+
+# The recurrence of operators.reviews in SQL: one row per review, from the one before.
+def _srs() -> dict[str, str]:
+    w = [repr(x) for x in reviews.WEIGHTS]
+    iv = lambda s: f"round(86400.0::DOUBLE * least(greatest(9.0::DOUBLE * ({s}) * (-1.0::DOUBLE + 1.0::DOUBLE / 0.9::DOUBLE), 1.0), 36500.0))::BIGINT"
+    factor = "CASE {g} WHEN 'Fail' THEN -2.0 WHEN 'Hard' THEN -1.0 WHEN 'Okay' THEN 0.0 ELSE 1.0 END::DOUBLE"
+    first = f"CASE r.grade WHEN 'Fail' THEN {w[0]} WHEN 'Hard' THEN {w[1]} WHEN 'Okay' THEN {w[2]} ELSE {w[3]} END::DOUBLE"
+    day = "86400"
+    return {
+        "review_rows": "SELECT item_id, epoch_us(reviewed_at) AS us, grade, row_number() OVER (PARTITION BY item_id ORDER BY reviewed_at, review_id) - 1 AS n FROM reviews",
+        "srs": f"""SELECT r.item_id, r.n, r.grade, CASE WHEN r.grade = 'Easy' THEN 'Reviewing' ELSE 'Learning' END AS status, r.us AS due_at, r.us AS reviewed_at,
+            least(greatest({w[4]}::DOUBLE - {w[5]}::DOUBLE * {factor.format(g='r.grade')}, 1.0), 10.0)::DOUBLE AS difficulty, {first} AS stability,
+            r.us + 1000000 * (CASE r.grade WHEN 'Fail' THEN 60 WHEN 'Hard' THEN 300 WHEN 'Okay' THEN 600 ELSE {iv(first)} END)::BIGINT AS next_due
+            FROM review_rows r WHERE r.n = 0
+          UNION ALL
+            SELECT item_id, n, grade, CASE WHEN status = 'Reviewing' AND grade = 'Fail' THEN 'Relearning' WHEN status <> 'Reviewing' AND grade IN ('Okay', 'Easy') THEN 'Reviewing' ELSE status END,
+              due_at, us, CASE WHEN status = 'Reviewing' THEN least(greatest({w[7]}::DOUBLE * {w[4]}::DOUBLE + (1.0::DOUBLE - {w[7]}::DOUBLE) * (difficulty - {w[6]}::DOUBLE * {factor.format(g='grade')}), 1.0), 10.0)::DOUBLE ELSE difficulty END,
+              CASE WHEN status = 'Reviewing' THEN CASE grade WHEN 'Fail' THEN s_fail WHEN 'Hard' THEN s_hard WHEN 'Okay' THEN s_okay ELSE s_easy END ELSE stability END,
+              us + 1000000 * (CASE WHEN status = 'Reviewing' THEN CASE grade WHEN 'Fail' THEN 300 WHEN 'Hard' THEN least(i_hard, i_okay) WHEN 'Okay' THEN greatest(i_okay, {day} + least(i_hard, i_okay)) ELSE greatest(i_easy, {day} + greatest(i_okay, {day} + least(i_hard, i_okay))) END
+                ELSE CASE grade WHEN 'Fail' THEN 300 WHEN 'Hard' THEN 600 WHEN 'Okay' THEN i_okay ELSE greatest(i_easy, {day} + i_okay) END END)::BIGINT
+            FROM (SELECT *, {iv('s_hard')} AS i_hard, {iv('s_okay')} AS i_okay, {iv('s_easy')} AS i_easy FROM (
+              SELECT *, {w[11]}::DOUBLE * pow(difficulty, -{w[12]}::DOUBLE) * exp({w[14]}::DOUBLE * (1.0 - recall)) * (pow(1.0 + stability, {w[13]}::DOUBLE) - 1.0) AS s_fail,
+                stability * (1.0 + gain * {w[15]}::DOUBLE) AS s_hard, stability * (1.0 + gain) AS s_okay, stability * (1.0 + gain * {w[16]}::DOUBLE) AS s_easy FROM (
+                SELECT *, exp({w[8]}::DOUBLE) * pow(stability, -{w[9]}::DOUBLE) * (exp({w[10]}::DOUBLE * (1.0 - recall)) - 1.0) * (11.0 - difficulty) AS gain FROM (
+                  SELECT r.item_id, r.n, r.grade, r.us, s.status, s.difficulty, s.stability, s.next_due AS due_at,
+                    1.0::DOUBLE / (1.0::DOUBLE + ((r.us - s.reviewed_at) // 86400000000)::DOUBLE / (9.0::DOUBLE * s.stability)) AS recall
+                  FROM srs s JOIN review_rows r ON r.item_id = s.item_id AND r.n = s.n + 1))))""",
+        "item_states": "SELECT item_id, status, difficulty, stability, reviewed_at, due_at, next_due FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY n DESC) AS rn FROM srs) WHERE rn = 1",
+    }
+
+
+_SRS = _srs()
+_NOW = "(SELECT epoch_us(max(ts)) FROM events)"
+
+
+@query(oracle("SELECT doc_id, title FROM docs ORDER BY doc_id DESC"))
+def docs_index(spark, t):
+    return reading.docs_index(t.docs)
+
+
+@query(oracle("SELECT doc_id, line_index, is_favourite FROM lines"))
+def doc_lines(spark, t):
+    return reading.doc_lines(t.lines)
+
+
+@query(oracle(f"""SELECT t.doc_id, t.line_index, t.token_index, t.content, t.surface_form_id, s.variant_id, i.status, i.next_due < {_NOW} AS is_due
+    FROM tokens t LEFT JOIN surface_forms s ON s.surface_form_id = t.surface_form_id LEFT JOIN variants v ON v.variant_id = s.variant_id LEFT JOIN item_states i ON i.item_id = v.item_id""", **_SRS))
+def doc_tokens_status(spark, t):
+    return reading.doc_tokens(t.tokens, t.surface_forms, t.variants, _items(t), t.as_of())
+
+
+@query(oracle("SELECT DISTINCT t.doc_id, t.line_index, v.variant_id FROM tokens t JOIN surface_forms s ON s.surface_form_id = t.surface_form_id JOIN variants v ON v.variant_id = s.variant_id WHERE v.item_id IS NULL"))
+def line_new_words(spark, t):
+    return reading.line_new_words(t.tokens, t.surface_forms, t.variants)
+
+
+@query(oracle(f"SELECT DISTINCT t.doc_id, t.line_index, v.variant_id, v.item_id FROM tokens t JOIN surface_forms s ON s.surface_form_id = t.surface_form_id JOIN variants v ON v.variant_id = s.variant_id JOIN item_states i ON i.item_id = v.item_id WHERE i.next_due < {_NOW}", **_SRS))
+def line_due_words(spark, t):
+    return reading.line_due_words(t.tokens, t.surface_forms, t.variants, _items(t), t.as_of())
+
+
+@query(oracle(f"""SELECT doc_id, rank, variant_id, spelling, freq FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY freq DESC, variant_id, spelling) AS rank FROM (
+    SELECT t.doc_id, s.variant_id, s.spelling, count(*) AS freq FROM tokens t JOIN lines l ON l.doc_id = t.doc_id AND l.line_index = t.line_index JOIN surface_forms s ON s.surface_form_id = t.surface_form_id
+      JOIN variants v ON v.variant_id = s.variant_id JOIN lemmas m ON m.lemma_id = v.lemma_id WHERE m.main_pos = 'Meishi' AND m.third_pos IN ('Jinmei', '地名') GROUP BY ALL) WHERE freq > {NAMES_OVER}) WHERE rank <= 10"""))
+def frequent_names(spark, t):
+    return reading.frequent_names(t.tokens, t.lines, t.surface_forms, t.variants, t.lemmas, NAMES_OVER)
+
+
+@query(oracle("SELECT c.doc_id, c.line_index, string_agg(h.content, ' / ' ORDER BY h.content) AS phrases FROM (SELECT doc_id, line_index, string_agg(content, ' ' ORDER BY token_index) AS content FROM tokens GROUP BY ALL) c JOIN highlights h ON regexp_matches(c.content, h.content) GROUP BY ALL"))
+def phrase_hits(spark, t):
+    return reading.phrase_hits(t.line_texts, t.highlights).withColumn("phrases", F.array_join("phrases", " / "))
+
+
+@query(oracle("SELECT doc_id, line_index, string_agg(content, '' ORDER BY token_index) AS content FROM tokens GROUP BY ALL"))
+def line_contents(spark, t):
+    return reading.line_contents(t.tokens)
+
+
+@query(oracle("SELECT i.item_id, v.variant_id, make_timestamp(i.next_due) AS next_due FROM item_states i JOIN variants v ON v.item_id = i.item_id ORDER BY i.next_due, i.item_id, v.variant_id LIMIT 1 OFFSET 3", **_SRS))
+def due_item_pick(spark, t):
+    return _naive(reading.due_item(_items(t), t.variants, 3))
+
+
+@query(oracle(f"SELECT v.variant_id, {_NOW} > i.next_due AS is_due, i.status, (SELECT round(min(CASE WHEN i.next_due > {_NOW} THEN i.next_due - {_NOW} END) / 1000000.0)::INT FROM item_states i JOIN variants v ON v.item_id = i.item_id) AS next_refresh_in_sec FROM item_states i JOIN variants v ON v.item_id = i.item_id", **_SRS))
+def refresh_batch(spark, t):
+    return reading.refresh_batch(_items(t), t.variants, t.as_of())
+
+
+@query(oracle("SELECT variant_id, doc_id, line_index, line_length FROM valid_context_lines"))
+def valid_context_lines(spark, t):
+    return reading.valid_context_lines(t.tokens, t.surface_forms, F.col("last_token").endswith("."))
+
+
+@query(oracle("""SELECT variant_id, dict_name, string_agg(array_to_string(tags, ',') || ': ' || contents, ' | ' ORDER BY first_id) AS groups FROM (
+    SELECT variant_id, dict_name, tags, min(def_id) AS first_id, string_agg(content, ', ' ORDER BY def_id) AS contents FROM (
+      SELECT *, row_number() OVER (PARTITION BY variant_id, content ORDER BY def_id) AS n FROM (
+        SELECT c.variant_id, d.def_id, d.dict_name, d.tags, d.content FROM (SELECT variant_id, spelling, reading FROM variants UNION SELECT v.variant_id, l.spelling, l.reading FROM variants v JOIN lemmas l ON l.lemma_id = v.lemma_id) c
+        JOIN defs d ON d.spelling = c.spelling AND d.reading = c.reading)) WHERE n = 1 GROUP BY ALL) GROUP BY ALL"""))
+def definitions(spark, t):
+    d = lookup.definitions(t.variants, t.lemmas, t.defs)
+    shown = F.array_join(F.transform("groups", lambda g: F.concat(F.array_join(g.tags, ","), F.lit(": "), T.joined(g.contents))), " | ")
+    return d.withColumn("groups", shown)
+
+
+_RUBY = "string_agg(spelling || CASE WHEN reading <> spelling THEN '/' || reading ELSE '' END, ' ' ORDER BY morpheme_index)"
+
+
+def _shown(ruby: str):
+    return F.array_join(F.transform(ruby, lambda x: F.concat(x.spelling, F.coalesce(F.concat(F.lit("/"), x.reading), F.lit("")))), " ")
+
+
+@query(oracle(f"SELECT variant_id, {_RUBY} AS ruby FROM morphemes GROUP BY variant_id"))
+def word_ruby(spark, t):
+    return lookup.word_ruby(t.morphemes).withColumn("ruby", _shown("ruby"))
+
+
+@query(oracle(f"SELECT a.variant_id, b.variant_id AS sibling_id, r.ruby FROM variants a JOIN variants b ON b.lemma_id = a.lemma_id AND b.variant_id <> a.variant_id JOIN (SELECT variant_id, {_RUBY} AS ruby FROM morphemes GROUP BY variant_id) r ON r.variant_id = b.variant_id JOIN items i ON i.item_id = a.item_id"))
+def sibling_ruby(spark, t):
+    """Of the words under review: all words would give every pair within a lemma."""
+    reviewed = t.variants.where("item_id is not null")
+    return lookup.sibling_ruby_of(reviewed, t.variants, t.morphemes).withColumn("ruby", _shown("ruby"))
+
+
+_RELATED = """SELECT variant_id, morpheme_index, spelling, reading, rank, is_full_match, related_id FROM (
+    SELECT *, row_number() OVER (PARTITION BY variant_id, related_id ORDER BY is_full_match DESC, morpheme_index, rank) AS once FROM (
+      SELECT *, dense_rank() OVER (PARTITION BY variant_id, spelling, is_full_match ORDER BY stability DESC NULLS FIRST, reading, morpheme_index, related_id) AS rank FROM (
+        SELECT i.variant_id, i.morpheme_index, i.spelling, i.reading, m.variant_id AS related_id, i.reading = m.reading AS is_full_match, CASE WHEN v.item_id IS NULL THEN 0.0 ELSE s.stability END AS stability
+        FROM morphemes i JOIN morphemes m ON m.spelling = i.spelling AND m.variant_id <> i.variant_id JOIN variants v ON v.variant_id = m.variant_id
+        JOIN (SELECT DISTINCT spelling, reading FROM defs WHERE dict_name <> 'JMnedict') d ON d.spelling = v.spelling AND d.reading = v.reading LEFT JOIN item_states s ON s.item_id = v.item_id)) WHERE rank <= 5)
+    WHERE once = 1 AND spelling <> reading"""
+
+
+@query(oracle("SELECT r.variant_id, r.morpheme_index AS span_index, r.spelling AS span_spelling, r.reading AS span_reading, r.rank, r.is_full_match, r.related_id, string_agg(CASE WHEN m.spelling <> r.spelling THEN 'other' WHEN m.reading = r.reading THEN 'full_match' ELSE 'alternate_reading' END, ',' ORDER BY m.morpheme_index) AS matches FROM related r JOIN morphemes m ON m.variant_id = r.related_id GROUP BY ALL", **_SRS, related=_RELATED))
+def related_words(spark, t):
+    rows = lookup.with_match_types(lookup.related_words(t.variants, t.morphemes, t.defs, _items(t)), t.morphemes)
+    return rows.withColumn("matches", F.array_join(F.transform("ruby", lambda x: x["match"]), ",")).drop("ruby")
+
+
+_CONTEXT = {
+    "context_rows": "SELECT v.*, d.progress, d.is_finished, l.is_favourite FROM valid_context_lines v JOIN docs d ON d.doc_id = v.doc_id JOIN lines l ON l.doc_id = v.doc_id AND l.line_index = v.line_index",
+    "wanted": "SELECT variant_id FROM variants WHERE item_id IS NOT NULL",
+    "read_docs": "SELECT doc_id, count(*) AS hits, count(*) FILTER (WHERE is_favourite) AS favs FROM context_rows WHERE progress <> 0 AND line_index <= progress GROUP BY doc_id",
+    "own_docs": "SELECT r.variant_id, r.doc_id, count(*) AS hits, count(*) FILTER (WHERE is_favourite) AS favs FROM context_rows r JOIN wanted w ON w.variant_id = r.variant_id WHERE NOT (progress <> 0 AND line_index <= progress) GROUP BY ALL",
+    "eligible": """SELECT variant_id, doc_id, num_hits, num_fav_hits FROM (SELECT *, row_number() OVER (PARTITION BY variant_id ORDER BY num_fav_hits DESC, num_hits DESC, doc_id) AS place FROM (
+        SELECT variant_id, doc_id, sum(hits)::BIGINT AS num_hits, sum(favs)::BIGINT AS num_fav_hits FROM (SELECT * FROM own_docs UNION ALL SELECT w.variant_id, r.* FROM wanted w, read_docs r) GROUP BY ALL)) WHERE place <= 20""",
+    "matches": "SELECT * FROM (SELECT r.variant_id, r.doc_id, r.line_index AS match_line, r.is_favourite, e.num_hits, e.num_fav_hits, row_number() OVER (PARTITION BY r.variant_id, r.doc_id ORDER BY r.is_favourite DESC, r.line_index) AS rank FROM context_rows r JOIN eligible e ON e.variant_id = r.variant_id AND e.doc_id = r.doc_id WHERE r.is_favourite OR r.is_finished) WHERE rank <= 5",
+}
+
+
+@query(oracle("""SELECT m.variant_id, m.doc_id, 'doc-' || m.doc_id AS doc_title, m.num_hits, m.num_fav_hits, m.rank, m.match_line, m.is_favourite, t.line_index,
+    string_agg(CASE WHEN s.variant_id = m.variant_id THEN '*' ELSE '' END || t.content, ' ' ORDER BY t.token_index) AS sentence
+    FROM matches m JOIN tokens t ON t.doc_id = m.doc_id AND t.line_index BETWEEN m.match_line - 1 AND m.match_line + 1 JOIN surface_forms s ON s.surface_form_id = t.surface_form_id GROUP BY ALL""", **_CONTEXT))
+def context_sentences(spark, t):
+    valid = reading.valid_context_lines(t.tokens, t.surface_forms, F.col("last_token").endswith("."))
+    rows = lookup.context_sentences(t.variants.where("item_id is not null"), valid, t.docs, t.lines, t.tokens, t.surface_forms)
+    return rows.withColumn("sentence", F.array_join(F.transform("sentence", lambda x: F.concat(F.when(x.is_hit, "*").otherwise(""), x.content)), " "))
+
+
+_NUMBERED = "SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line_index) AS place FROM lines"
+
+
+@query(oracle("SELECT doc_id, line_index, is_favourite FROM numbered_lines WHERE place > 50 AND place <= 100", numbered_lines=_NUMBERED))
+def page_slice(spark, t):
+    return reading.page_slice(t.lines, 2)
+
+
+@query(oracle("SELECT doc_id, line_index, sum(chars) OVER (PARTITION BY doc_id ORDER BY line_index)::BIGINT AS chars_read, round(100.0::DOUBLE * line_index / count(*) OVER (PARTITION BY doc_id), 1) AS position FROM (SELECT doc_id, line_index, sum(length(content)) AS chars FROM tokens GROUP BY ALL)"))
+def reading_progress(spark, t):
+    return reading.reading_progress(t.tokens)
+
+
+_MINIMAP = {
+    "numbered_lines": _NUMBERED,
+    "shown": "SELECT doc_id, line_index FROM numbered_lines WHERE place <= 50",
+    "phrases": "SELECT DISTINCT c.doc_id, c.line_index, h.content AS value FROM line_texts c JOIN highlights h ON regexp_matches(c.content, h.content)",
+    "words": "SELECT DISTINCT t.doc_id, t.line_index, s.variant_id AS value FROM tokens t JOIN shown n ON n.doc_id = t.doc_id AND n.line_index = t.line_index JOIN surface_forms s ON s.surface_form_id = t.surface_form_id",
+    "placed": "SELECT *, min(line_index) OVER (PARTITION BY doc_id, bucket) AS first_line FROM (SELECT doc_id, line_index, ((row_number() OVER (PARTITION BY doc_id ORDER BY line_index) - 1) // 20)::INT AS bucket FROM (SELECT * FROM shown UNION SELECT doc_id, line_index FROM phrases))",
+}
+
+
+@query(oracle("SELECT f.doc_id, p.bucket, p.first_line, f.value, string_agg(f.line_index::VARCHAR, ',' ORDER BY f.line_index) AS hit_lines FROM (SELECT * FROM words UNION SELECT * FROM phrases) f JOIN placed p ON p.doc_id = f.doc_id AND p.line_index = f.line_index GROUP BY ALL", **_MINIMAP))
+def minimap(spark, t):
+    rows = reading.minimap(t.tokens, t.surface_forms, reading.phrase_hits(t.line_texts, t.highlights), t.lines)
+    return rows.withColumn("hit_lines", F.array_join(F.transform("hit_lines", lambda x: x.cast("string")), ","))
+
+
+@query(oracle("SELECT l.doc_id, l.line_index, l.is_favourite <> (count(e.user_id) % 2 = 1) AS is_favourite FROM lines l LEFT JOIN events e ON e.event_type = 'click' AND e.user_id = l.doc_id AND (e.event_id % 10) = l.line_index GROUP BY l.doc_id, l.line_index, l.is_favourite"))
+def favourite_toggle(spark, t):
+    clicks = t.read("events").where("event_type = 'click'").select(F.col("user_id").alias("doc_id"), (F.col("event_id") % 10).alias("line_index"))
+    return reading.toggled_favourites(t.lines, clicks)
+
+
+@query(oracle("SELECT v.variant_id, v.lemma_id, v.spelling, v.reading, coalesce(CASE WHEN v.item_id IS NULL AND v.variant_id IN (SELECT spelling FROM defs) THEN 1000000 + length(v.variant_id) END, v.item_id) AS item_id FROM variants v"))
+def attach_items(spark, t):
+    fresh = t.variants.where("item_id is null").join(t.defs.select(F.col("spelling").alias("variant_id")).distinct(), "variant_id", "left_semi")
+    return reading.with_items(t.variants, fresh.select("variant_id", (F.lit(1_000_000) + F.length("variant_id")).cast("long").alias("item_id"))).select("variant_id", "lemma_id", "spelling", "reading", "item_id")
+
+
+@query(oracle("SELECT item_id, n AS review_number, grade, status, make_timestamp(due_at) AS due_at, make_timestamp(reviewed_at) AS reviewed_at, round(difficulty, 6) AS difficulty, round(stability, 6) AS stability, make_timestamp(next_due) AS next_due FROM srs", **_SRS))
+def srs_history(spark, t):
+    return _naive(reviews.history(t.reviews)).withColumn("difficulty", F.round("difficulty", 6)).withColumn("stability", F.round("stability", 6))
+
+
+@query(oracle("SELECT i.item_id, c.created_at, i.status, round(i.difficulty, 6) AS difficulty, round(i.stability, 6) AS stability, make_timestamp(i.next_due) AS next_due FROM item_states i JOIN items c ON c.item_id = i.item_id", **_SRS))
+def srs_current(spark, t):
+    return _naive(_items(t)).select("item_id", "created_at", "status", F.round("difficulty", 6).alias("difficulty"), F.round("stability", 6).alias("stability"), "next_due")
+
+
+@query(oracle("SELECT item_id, n AS review_number, (next_due // 1000000 - reviewed_at // 1000000) // 86400 AS interval_days FROM srs", **_SRS))
+def interval_lag(spark, t):
+    return reviews.intervals(reviews.history(t.reviews))
+
+
+_TERMS = "SELECT c_custkey AS row_no, c_nationkey AS lemma_id, c_custkey // 2 AS lemma_guid, n.n_name || CASE WHEN c_nationkey % 2 = 0 THEN '-' || c_mktsegment ELSE '' END AS lemma, 'アイウ' || n.n_name AS lemma_kata_rdg, c_mktsegment AS orth_base, CASE WHEN c_custkey % 5 > 0 THEN 'カ' || c_mktsegment END AS form_base, c_name AS orth_form, c_name AS kana_repr, 'Meishi' AS main_pos FROM customer JOIN nation n ON n.n_nationkey = c_nationkey"
+_UUID = "'00000000-0000-0000-' || substr(lpad(lower(to_hex({0})), 16, '0'), 1, 4) || '-' || substr(lpad(lower(to_hex({0})), 16, '0'), 5)"
+_VARIANTS = "SELECT lemma_id, orth_base, form_base, min(row_no) AS number FROM terms GROUP BY ALL"
+
+
+def _terms(t: Tables) -> DataFrame:
+    c = t.read("customer").join(t.read("nation"), F.col("n_nationkey") == F.col("c_nationkey"))
+    return c.select(
+        F.col("c_custkey").alias("row_no"), F.col("c_nationkey").cast("long").alias("lemma_id"), F.floor(F.col("c_custkey") / 2).cast("long").alias("lemma_guid"),
+        F.concat("n_name", F.when(F.col("c_nationkey") % 2 == 0, F.concat(F.lit("-"), "c_mktsegment")).otherwise("")).alias("lemma"), F.concat(F.lit("アイウ"), "n_name").alias("lemma_kata_rdg"),
+        F.col("c_mktsegment").alias("orth_base"), F.when(F.col("c_custkey") % 5 > 0, F.concat(F.lit("カ"), "c_mktsegment")).alias("form_base"), F.col("c_name").alias("orth_form"), F.col("c_name").alias("kana_repr"),
+        F.lit("Meishi").alias("main_pos"), F.lit(None).cast("string").alias("second_pos"), F.lit(None).cast("string").alias("third_pos"), F.lit(None).cast("string").alias("fourth_pos"), F.lit("lexicon").alias("comes_from"),
+    )
+
+
+@query(oracle(f"SELECT {_UUID.format('lemma_id')} AS lemma_id, split_part(lemma, '-', 1) AS spelling, CASE WHEN contains(lemma, '-') THEN substr(lemma, strpos(lemma, '-') + 1) END AS disambiguation, replace(lemma_kata_rdg, 'アイウ', 'あいう') AS reading, main_pos FROM (SELECT *, row_number() OVER (PARTITION BY lemma_id ORDER BY row_no) AS rn FROM terms) WHERE rn = 1", terms=_TERMS))
+def lexicon_lemmas(spark, t):
+    return lexicon.lemmas(_terms(t)).select("lemma_id", "spelling", "disambiguation", "reading", "main_pos")
+
+
+@query(oracle(f"SELECT {_UUID.format('number')} AS variant_id, {_UUID.format('lemma_id')} AS lemma_id, orth_base AS spelling, replace(form_base, 'カ', 'か') AS reading FROM lexicon_variants", terms=_TERMS, lexicon_variants=_VARIANTS))
+def lexicon_variants(spark, t):
+    return lexicon.variants(_terms(t))
+
+
+@query(oracle(f"SELECT {_UUID.format('lemma_guid')} AS surface_form_id, {_UUID.format('v.number')} AS variant_id, s.orth_form AS spelling, s.kana_repr AS reading FROM (SELECT *, row_number() OVER (PARTITION BY lemma_guid ORDER BY row_no) AS rn FROM terms) s JOIN lexicon_variants v ON v.lemma_id = s.lemma_id AND v.orth_base = s.orth_base AND v.form_base IS NOT DISTINCT FROM s.form_base WHERE rn = 1", terms=_TERMS, lexicon_variants=_VARIANTS))
+def lexicon_surface_forms(spark, t):
+    return lexicon.surface_forms(_terms(t))
+
+
+@query(oracle("SELECT item_id + 0 AS item_id, 'doc-' || item_id AS title, (SELECT max(doc_id) FROM docs) + row_number() OVER (ORDER BY 'doc-' || item_id) AS doc_id FROM (SELECT page_id * 30 AS item_id FROM pages) WHERE 'doc-' || item_id NOT IN (SELECT title FROM docs)"))
+def import_new_docs(spark, t):
+    incoming = t.read("pages").select((F.col("page_id") * 30).alias("item_id")).withColumn("title", F.concat(F.lit("doc-"), F.col("item_id")))
+    return numbering.with_new_ids(incoming.join(t.docs.select("title"), "title", "left_anti"), t.docs, ["title"]).select("item_id", "title", "doc_id")
+
+
+_CHECKS = [f"SELECT '{c}' AS check_name, count(*) AS violations FROM ({q})" for c, q in {
+    "docs key doc_id": "SELECT doc_id FROM docs GROUP BY ALL HAVING count(*) > 1",
+    "docs key title": "SELECT title FROM docs GROUP BY ALL HAVING count(*) > 1",
+    "lines key doc_id,line_index": "SELECT doc_id, line_index FROM lines GROUP BY ALL HAVING count(*) > 1",
+    "lemmas key lemma_id": "SELECT lemma_id FROM lemmas GROUP BY ALL HAVING count(*) > 1",
+    "lines doc_id in docs": "SELECT * FROM lines WHERE doc_id NOT IN (SELECT doc_id FROM docs WHERE doc_id % 5 > 0)",
+}.items()]
+
+
+@query(oracle(" UNION ALL ".join(_CHECKS).replace("FROM docs GROUP", "FROM docs WHERE doc_id % 5 > 0 GROUP")))
+def integrity_report(spark, t):
+    """Every fifth document is left out, so that there is something to report."""
+    return integrity.report({"docs": t.docs.where("doc_id % 5 > 0"), "lines": t.lines, "lemmas": t.lemmas})
+
+
+_AGO = "s AS (SELECT event_id, (epoch_us((SELECT max(ts) FROM events)) - epoch_us(ts)) // 1000000 * (CASE WHEN event_id % 3 = 0 THEN -1 WHEN event_id % 3 = 1 THEN 1 ELSE 37 END) AS s FROM events)"
+_LADDER = """CASE WHEN a <= 4 THEN 'a few seconds' WHEN a <= 44 THEN a || ' seconds' WHEN a <= 89 THEN 'a minute' WHEN a // 60 < 2 THEN 'a minute' WHEN a // 60 <= 44 THEN (a // 60) || ' minutes' WHEN a // 60 <= 89 THEN 'an hour'
+    WHEN a // 3600 < 2 THEN 'an hour' WHEN a // 3600 <= 21 THEN (a // 3600) || ' hours' WHEN a // 3600 <= 35 THEN 'a day' WHEN a // 86400 < 2 THEN 'a day' WHEN a // 86400 <= 8 THEN 'a week' WHEN a // 86400 <= 25 THEN (a // 86400) || ' days'
+    WHEN a // 86400 <= 32 THEN 'a month' WHEN a // 2592000 = 1 THEN 'a month' WHEN a // 2592000 <= 10 THEN (a // 2592000) || ' months' WHEN a // 2592000 <= 17 THEN 'a year' ELSE round(a // 2592000 / 12.0)::BIGINT || ' years' END"""
+
+
+def _spans(t: Tables) -> DataFrame:
+    e = t.read("events").crossJoin(F.broadcast(t.as_of()))  # one row
+    ago = F.floor((F.unix_micros("as_of") - F.unix_micros(F.col("ts").cast("timestamp"))) / 1_000_000).cast("long")
+    return e.select("event_id", (ago * F.when(F.col("event_id") % 3 == 0, -1).when(F.col("event_id") % 3 == 1, 1).otherwise(37)).alias("s"))
+
+
+@query(f"WITH {_AGO} SELECT event_id, {_LADDER} AS words FROM (SELECT event_id, abs(s) AS a FROM s)")
+def relative_time(spark, t):
+    return _spans(t).select("event_id", times.relative_time(F.abs("s")).alias("words"))
+
+
+@query(f"WITH {_AGO} SELECT event_id, CASE WHEN s < 0 THEN w || ' ago' WHEN s > 0 THEN 'in ' || w ELSE 'right now' END AS label, CASE WHEN abs(s) // 86400 < 2 THEN greatest(10, abs(s) // 5) END AS poll_interval, least(greatest(s, 10), 60) AS refresh FROM (SELECT event_id, s, {_LADDER} AS w FROM (SELECT event_id, s, abs(s) AS a FROM s))")
+def due_label(spark, t):
+    return _spans(t).select("event_id", times.due_label("s").alias("label"), times.poll_interval("s").alias("poll_interval"), times.refresh_interval("s").alias("refresh"))
+
+
+@query(oracle(f"SELECT item_id, CASE WHEN next_due < {_NOW} THEN 'rgb(153 27 27)' WHEN status = 'Learning' THEN '#2563eb' WHEN status = 'Relearning' THEN '#d97706' ELSE 'transparent' END AS colour FROM item_states", **_SRS))
+def colour_rule(spark, t):
+    rows = _items(t).crossJoin(F.broadcast(t.as_of()))  # one row
+    return rows.select("item_id", times.decoration_colour(F.col("next_due") < F.col("as_of"), "status").alias("colour"))
+
+
+@query("SELECT doc_id, md5(translate(text, 'aeiou', 'あえいおう')) AS digest FROM documents")
+def kana_fold(spark, t):
+    return t.read("documents").select("doc_id", F.md5(T.katakana_to_hiragana(F.translate("text", "aeiou", "アエイオウ"))).alias("digest"))
+
+
+@query("SELECT doc_id, length(regexp_replace(text, '[^aiu]', '', 'g')) AS japanese FROM documents")
+def ja_char_count(spark, t):
+    return t.read("documents").select("doc_id", T.count_japanese(F.translate("text", "aeiou", "アe々o漢")).cast("long").alias("japanese"))
+
+
+@query(oracle("SELECT doc_id, line_index, token_index FROM tokens WHERE translate(right(content, 1), '.,', '。、') IN ('。', '、')"))
+def punctuation(spark, t):
+    return t.tokens.where(T.is_punctuation(F.translate(F.right("content", F.lit(1)), ".,", "。、"))).select("doc_id", "line_index", "token_index")
+
+
+@query(oracle(r"SELECT doc_id, line_index, md5(regexp_replace(c, '(～.+～)|(\(.+\))|(（.+）)|(【.+】)|(。.*$)|(　.*$)', '', 'g')) AS digest FROM (SELECT doc_id, line_index, translate(content, ',.x', '(。)') AS c FROM line_texts)"))
+def title_clean(spark, t):
+    return t.line_texts.select("doc_id", "line_index", F.md5(T.clean_title(F.translate("content", ",.x", "(。)"), F.lit("none"))).alias("digest"))
+
+
+@query("SELECT page_id, md5(replace(replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;'), '/', '&#x2F;')) AS digest FROM pages")
+def html_escape(spark, t):
+    return t.read("pages").select("page_id", F.md5(T.html_escape("html")).alias("digest"))
+
+
+@query("SELECT page_id, sha256(html) AS sha256 FROM pages")
+def sha256(spark, t):
+    return t.read("pages").select("page_id", F.sha2("html", 256).alias("sha256"))
+
+
+@query("SELECT vec_id, " + _UUID.format("vec_id") + " AS uuid, CASE WHEN vec_id % 3 = 0 THEN 'ja' ELSE 'en' END AS lang FROM embeddings")
+def identifiers(spark, t):
+    return t.read("embeddings").select("vec_id", T.uuid_of("vec_id").alias("uuid"), T.dictionary_language(F.when(F.col("vec_id") % 3 == 0, "旺文社 2").otherwise("jm")).alias("lang"))
+
+
+@query(oracle("SELECT def_id, spelling, CASE WHEN n % 3 = 0 THEN spelling ELSE 'あ' || spelling END AS reading, 'n,v' AS tags, content FROM (SELECT item_id * 10000 + n AS def_id, n, word AS spelling, content FROM item_words) WHERE spelling <> ''"))
+def defs_parse(spark, t):
+    """Term-bank texts made of the benchmark's words, read back."""
+    w = t.read("benchmark").select("item_id", F.split("text", "[ \n]+").alias("w")).select("item_id", F.posexplode("w").alias("n", "word"), F.array_join(F.slice("w", 1, 3), " ").alias("content"))
+    reading_ = F.when(F.col("n") % 3 == 0, "").otherwise(F.concat(F.lit("ア"), F.col("word")))
+    entry = F.array(F.col("word"), reading_, F.lit("n  v"), F.lit(""), (F.col("item_id") * 10000 + F.col("n")).cast("string"), F.to_json(F.array("content")), F.lit("1"), F.lit(""))
+    texts = w.select(F.to_json(F.array(entry)).alias("value"))
+    bank = texts.select("value").select(F.explode(F.from_json("value", "array<array<string>>")).alias("f"))
+    ids = bank.select(F.col("f")[4].cast("long").alias("def_id"), F.to_json(F.array("f")).alias("value"))
+    rows = ids.select("def_id", F.explode(F.from_json("value", "array<array<string>>")).alias("f"))
+    return term_bank.decoded(rows, "Alpha", "def_id").select("def_id", "spelling", "reading", F.array_join("tags", ",").alias("tags"), F.element_at("contents", 1).alias("content"))
+
+
+@query("SELECT item_id, 'よみ' AS reading, 'つづり' || item_id AS spelling, CASE WHEN item_id % 2 = 0 THEN '五' END AS conjugation_type, text AS definition FROM (SELECT item_id, split_part(text, chr(10), 1) AS text FROM benchmark)")
+def oneline_parse(spark, t):
+    head = F.concat(F.lit("よみ【つづり"), F.col("item_id"), F.lit("】"), F.when(F.col("item_id") % 2 == 0, "（五）").otherwise(""))
+    text = F.concat(head, F.lit("\n"), F.split("text", "\n")[0], F.lit("「例」"))
+    rows = t.read("benchmark").select("item_id", term_bank.parsed(text).alias("p"))
+    return rows.select("item_id", "p.reading", "p.spelling", "p.conjugation_type", F.col("p.definitions")[0]["definition"].alias("definition"))
+
+
+@query("SELECT 'w' || p_partkey AS spelling, 'r' AS reading, p_size::BIGINT AS frequency FROM part WHERE p_partkey % 2 = 0")
+def freq_dict(spark, t):
+    body = F.when(F.col("p_partkey") % 2 == 0, F.to_json(F.struct(F.lit("r").alias("reading"), F.col("p_size").alias("frequency")))).otherwise(F.col("p_size").cast("string"))
+    return term_bank.frequencies(t.read("part").select(F.to_json(F.array(F.array(F.concat(F.lit("w"), F.col("p_partkey")), F.lit("freq"), body))).alias("value")))
+
+
+@query()
+def html_text(spark, t):
+    return html.page_lines(t.read("pages"))
+
+
+def _toy_lexicon(t: Tables) -> lattice.Lexicon:
+    """Words of the benchmark (a bounded table), dearer the shorter they are."""
+    words = t.defs.select(F.col("spelling").alias("surface")).distinct().select("surface", F.lit(1).alias("left"), F.lit(1).alias("right"), (F.lit(8000) - F.least(F.length("surface"), F.lit(7)) * 500).cast("long").alias("cost"), F.lit("word").alias("feature"))
+    matrix = np.array([[0, 100, 0], [50, 200, 20], [0, 150, 0]], np.int16)
+    classes = {"DEFAULT": lattice.CharClass("DEFAULT", False, 1), "ALPHA": lattice.CharClass("ALPHA", True, 0, True), "LINE": lattice.CharClass("LINE", False, 1)}
+    ranges = [(10, 10, ("LINE",)), (65, 90, ("ALPHA",)), (97, 122, ("ALPHA",)), (0xC0, 0x24F, ("ALPHA",))]
+    unknown = {"DEFAULT": [lattice.Entry(2, 2, 3000, "mark")], "ALPHA": [lattice.Entry(1, 1, 9000, "unknown")], "LINE": [lattice.Entry(0, 0, 0, "line")]}
+    return lattice.lexicon_of(words, matrix, classes, ranges, unknown)
+
+
+@query()
+def tokenise(spark, t):
+    return lattice.tokens_of(t.read("documents"), _toy_lexicon(t))
+
+
+@query()
+def fmm_segment(spark, t):
+    keys = [r.spelling for r in t.defs.select("spelling").distinct().orderBy("spelling").collect()]  # the benchmark's words
+    return segment.maximum_matches(t.read("documents"), keys)
+
+
+@query(oracle("SELECT DISTINCT v.variant_id, d.spelling AS prefix FROM variants v JOIN (SELECT DISTINCT spelling FROM defs) d ON starts_with(v.variant_id, d.spelling)"))
+def prefix_search(spark, t):
+    return segment.prefixes(t.variants.select("variant_id"), t.defs.select("spelling"), "variant_id", "spelling").select("variant_id", "prefix")
+
+
+_READINGS = {"東": ["トウ", "ひがし"], "京": ["キョウ"], "食": ["ショク", "た.べる"], "学": ["ガク", "まな.ぶ"], "人": ["ジン", "ひと"], "山": ["サン", "やま"]}
+_SYLLABLES = ["東", "京", "食", "学", "人", "山"]
+_SOUNDS = ["とう", "きょう", "しょく", "がく", "じん", "やま"]
+
+
+def _aligned(t: Tables) -> DataFrame:
+    """Words of six ideographs and their readings, spelt from the parts' names."""
+    kd = {k: [r.translate(alignment._FOLD) for r in v] for k, v in _READINGS.items()}
+    pick = lambda options, by: F.element_at(F.array(*[F.lit(x) for x in options]), (F.pmod(F.col("p_partkey") + by, F.lit(6)) + 1).cast("int"))
+    second = F.col("p_size").cast("long")
+    words = t.read("part").select(F.col("p_partkey").cast("string").alias("variant_id"), F.concat(pick(_SYLLABLES, 0), pick(_SYLLABLES, second), F.when(F.col("p_partkey") % 11 == 0, "x").otherwise("")).alias("spelling"), F.concat(pick(_SOUNDS, 0), pick(_SOUNDS, second)).alias("reading"))
+    return alignment.annotated(words, kd)
+
+
+@query()
+def ruby_annotate(spark, t):
+    return _aligned(t)
+
+
+@query()
+def morphemes(spark, t):
+    return alignment.morphemes(_aligned(t))
+
+
+@query()
+def alignment_coverage(spark, t):
+    return alignment.coverage(_aligned(t))
+
+
+def book(title: str, chapters: list[tuple[str, str]]) -> bytes:
+    """A small EPUB archive of (title, body) chapters behind a cover."""
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        def put(name, data):
+            z.writestr(zipfile.ZipInfo(name), data)
+        put("META-INF/container.xml", '<container><rootfiles><rootfile full-path="O/c.opf"/></rootfiles></container>')
+        names = ["cover", *[f"p{i}" for i in range(len(chapters))]]
+        put("O/c.opf", f"<package><metadata><title>{title}</title></metadata><manifest>" + "".join(f'<item id="{n}" href="{n}.xhtml" media-type="application/xhtml+xml"/>' for n in names) + '<item id="ncx" href="t.ncx" media-type="application/x-dtbncx+xml"/></manifest><spine toc="ncx">' + "".join(f'<itemref idref="{n}"/>' for n in names) + "</spine></package>")
+        put("O/t.ncx", "<ncx><navMap>" + "".join(f'<navPoint><navLabel><text>{c}</text></navLabel><content src="p{i}.xhtml#a"/></navPoint>' for i, (c, _) in enumerate(chapters)) + "</navMap></ncx>")
+        put("O/cover.xhtml", "<html><body><p>cover</p></body></html>")
+        for i, (_, body) in enumerate(chapters):
+            put(f"O/p{i}.xhtml", f"<html><body>{body}</body></html>")
+    return out.getvalue()
