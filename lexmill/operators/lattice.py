@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
+from heapq import heappop, heappush
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +34,7 @@ class CharClass:
     always: bool = False
 
 
-@dataclass(frozen=True)
-class Token:
+class Token(NamedTuple):
     start: int
     end: int
     kind: str  # normal, user or unknown
@@ -76,8 +77,11 @@ class Switches:
     prefix_groups: bool = True
 
 
-def tokens_at(lexicon: Lexicon, text: str, rank: int, sw: Switches) -> tuple[list[Token], int]:
-    """Tokens whose rank is this place (spaces before a word belong to its rank), and the spaces passed."""
+def tokens_at(lexicon: Lexicon, text: str, rank: int, sw: Switches, runs: dict[str, tuple[int, int]] | None = None) -> tuple[list[Token], int]:
+    """Tokens whose rank is this place (spaces before a word belong to its rank), and the spaces passed.
+
+    runs remembers, for one text, the last run of compatible characters of each class.
+    """
     start = rank
     if sw.strip_spaces:
         while start < len(text) and text[start] == " ":
@@ -96,9 +100,12 @@ def tokens_at(lexicon: Lexicon, text: str, rank: int, sw: Switches) -> tuple[lis
     if (sw.greedy_groups or sw.prefix_groups) and (not out or sw.forced_unknown and char_class.always):
         greedy = sw.greedy_groups and char_class.greedy
         longest = char_class.prefix_len if sw.prefix_groups else 0
-        run = start
+        known = runs.get(name, (0, 0)) if runs is not None else (0, 0)
+        run = known[1] if greedy and known[0] <= start < known[1] else start
         while run < len(text) and name in lexicon.classes_of(text[run]) and (greedy or run - start < max(longest, 1)):
             run += 1
+        if greedy and runs is not None:
+            runs[name] = (start, run)
         for e in lexicon.unknown.get(name, ()):
             if greedy:
                 out.append(Token(start, run, "unknown", e, rank))
@@ -148,26 +155,55 @@ def cheapest_path(ranks: Sequence[int], nexts: Sequence[int], edge, first, last)
 
 
 def tokenise(lexicon: Lexicon, text: str, sw: Switches = Switches()) -> tuple[list[Token], int]:
-    """The cheapest segmentation and its cost; none and 0 for the empty text. A text of spaces only raises ValueError."""
-    nodes: list[Token] = []
-    i = 0
-    while i < len(text):
-        found, passed = tokens_at(lexicon, text, i, sw)
-        nodes += found
-        i += max(1, passed)
+    """The cheapest segmentation and its cost; none and 0 for the empty text. A text of spaces only raises ValueError.
+
+    The lattice is built from left to right, and only at places that some word ends at; of the words
+    that end there, the cheapest of each right class is what later ones can follow. Ties are broken as in
+    cheapest_path().
+    """
     if not text:
         return [], 0
+    m = lexicon.matrix.tolist()
+    nodes: list[Token] = []
+    costs: list[int] = []
+    source: list[int] = []
+    ending: dict[int, dict[int, int]] = {0: {}}  # by place: the node to follow, by right class
+    places = [0]
+    furthest = 0
+    runs: dict[str, tuple[int, int]] = {}
+    while places:
+        rank = heappop(places)
+        before = ending[rank]
+        found = tokens_at(lexicon, text, rank, sw, runs)[0]
+        for token in found:
+            entry = token.entry
+            if rank == 0:
+                best, cost = -1, m[0][entry.left]
+            else:
+                best, cost = -1, None
+                for right, i in before.items():
+                    c = costs[i] + m[right][entry.left]
+                    if cost is None or c < cost or c == cost and i < best:
+                        best, cost = i, c
+            here = len(nodes)
+            nodes.append(token)
+            costs.append(cost + entry.cost)
+            source.append(best)
+            ends = ending.get(token.end)
+            if ends is None:
+                ends = ending[token.end] = {}
+                heappush(places, token.end)
+                furthest = max(furthest, token.end)
+            other = ends.get(entry.right)
+            if other is None or costs[here] < costs[other]:
+                ends[entry.right] = here
     if not nodes:
         raise ValueError("nothing but spaces")
-    m = lexicon.matrix
-    path, cost = cheapest_path(
-        [t.rank for t in nodes],
-        [t.end for t in nodes],
-        lambda i, js: [nodes[j].entry.cost + int(m[nodes[i].entry.right, nodes[j].entry.left]) for j in js],
-        lambda i: nodes[i].entry.cost + int(m[0, nodes[i].entry.left]),
-        lambda i: int(m[nodes[i].entry.right, 0]),
-    )
-    return [nodes[i] for i in path], cost
+    cost, last = min((costs[i] + m[right][0], i) for right, i in ending[furthest].items())
+    path = [last]
+    while source[path[-1]] >= 0:
+        path.append(source[path[-1]])
+    return [nodes[i] for i in path[::-1]], cost
 
 
 def real_costs(lexicon: Lexicon, tokens: Sequence[Token]) -> list[int]:
