@@ -135,12 +135,13 @@ def remaining(batch: Batch, removed: np.ndarray) -> tuple[np.ndarray, np.ndarray
 DIGEST_SCHEMA = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 
 
-def remove_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False, carry: list[str] | None = None, batch_bytes: int = 4 << 20) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False, carry: list[str] | None = None, batch_bytes: int = 2 << 20) -> DataFrame:
     """Per row of docs: n_words, n_removed, and the SHA-256 of the kept words joined by one space.
 
     A word goes if a window of `window` words over it has the same words as one that starts earlier, that
     is, in a document of smaller id or earlier in the same document. with_text adds kept_text, the text
-    without the removed words and the white space behind each; columns named in carry come along. Words are `[^\\x20\\x09-\\x0D]+`, compared as bytes by 96 bits of hash.
+    without the removed words and the white space behind each; columns named in carry come along. Words
+    are `[^\\x20\\x09-\\x0D]+`, compared as bytes by 96 bits of hash.
 
     Null text counts as empty. Rows of null id count as one document that comes before all others, and
     rows that repeat an id as the same document: of such rows with equal words at equal places neither
