@@ -74,17 +74,26 @@ def test_counterfactual_penalty_evens_out_identity_terms():
         texts.append(" ".join([*rng.choice(names, 15), "aliens" if toxic or rng.random() < 0.1 else "robots", *(["hateful"] if toxic and rng.random() < 0.8 else [])]))
         y.append(float(toxic))
     text = pa.array(texts)
-    doc, h, _, _ = toxicity.word_sets(text)
+    hashes = np.unique(toxicity.word_hashes([*names, "aliens", "robots", "hateful"]))
+    doc, column = toxicity.held(text, hashes)
     pairs = toxicity.swaps(text, groups)
     gap = []
     for weight in (0.0, 5.0):
-        m = toxicity.fit(doc, h, np.array(y), pairs, swap_weight=weight)
+        m = toxicity.fit(doc, column, np.array(y), hashes, pairs, swap_weight=weight)
         a, b = m.logits(pa.array(["some aliens here", "some robots here"]))
         gap.append(abs(a - b))
         assert m.logits(pa.array(["hateful"]))[0] > m.logits(pa.array(["plain"]))[0]
     assert gap[1] < 0.25 * gap[0]
 
 
+def test_prefixes():
+    text = pa.array(["unfriendlyness unfriend ab", "UNFRIENDED", ""])
+    doc, h = toxicity.features(text)
+    a, b = set(h[doc == 0].tolist()), set(h[doc == 1].tolist())
+    assert len(a) == 3 + len(toxicity.PREFIXES) and len(b) == 1 + len(toxicity.PREFIXES)
+    assert len(a & b) == len(toxicity.PREFIXES)  # unfri, unfrie, unfrien, unfriend
+
+
 def test_hadamard():
     x = np.eye(8)
     assert np.allclose(ann.hadamard(x) @ ann.hadamard(x).T, np.eye(8))
