@@ -39,6 +39,8 @@ _VALID = {
     "phone": f"length({_DIGITS}) between 8 and 15",
 }
 _EDGES = ".,;:!?()[]{}<>\"'`*_|/\\+=~#@&%$^-"
+#: What a span protects, however it is written.
+_ENTITY = "concat(x.kind, ':', case when x.kind in ('card', 'phone') then regexp_replace(x.v, '[^0-9]', '') else lower(x.v) end)"
 SPAN = "array<struct<kind:string,s:int,e:int,v:string>>"
 
 
@@ -75,7 +77,7 @@ def _row_key(id_col: str) -> Column:
 def mentions(spanned: DataFrame, around: int) -> DataFrame:
     """(row, entity, left_at, left, right_at, right) for each base span: whole words within `around` code points."""
     m = spanned.where("size(spans) > 0").select("row", "t", "spans", F.explode("spans").alias("x"))
-    m = m.withColumn("entity", F.expr("concat(x.kind, ':', case when x.kind in ('card', 'phone') then regexp_replace(x.v, '[^0-9]', '') else lower(x.v) end)"))
+    m = m.withColumn("entity", F.expr(_ENTITY))
     m = m.withColumn("left_at", F.greatest(F.lit(0), F.col("x.s") - around)).withColumn("right_at", F.col("x.e"))
     m = m.withColumn("left", F.expr("substring(t, left_at + 1, x.s - left_at)")).withColumn("right", F.expr(f"substring(t, right_at + 1, {around})"))
     # words that the window cuts are left out: blanked, so that offsets hold
@@ -118,20 +120,25 @@ def document_frequencies(docs: DataFrame, terms: DataFrame, broadcast_terms: int
 
 
 def disclosing(docs: DataFrame, near: DataFrame, spanned: DataFrame, rows: int, least_surroundings: int, generalise_at: float, remove_at: float) -> DataFrame:
-    """(entity, term, action): the terms whose PMI with an entity is at least generalise_at of its information content."""
+    """(entity, term, action): the terms whose PMI with an entity is at least generalise_at of its information content.
+
+    A term is in at least as many documents as it is in near mentions. Where that alone rules it out, as
+    for all common words, its frequency in the corpus isn't asked for.
+    """
     joint = (
         near.groupBy("entity", "term", "surroundings", "row").agg(F.lit(1).alias("one"))
         .groupBy("entity", "term").agg(F.countDistinct("surroundings").alias("kinds"), F.countDistinct("row").alias("joint"))
         .where(F.col("kinds") >= least_surroundings)
     )
-    joint = written(joint, "pii-joint")
-    df = document_frequencies(docs, joint.select("term").distinct())
-    entity = spanned.select("row", F.explode("spans").alias("x")).select("row", F.expr("concat(x.kind, ':', case when x.kind in ('card', 'phone') then regexp_replace(x.v, '[^0-9]', '') else lower(x.v) end)").alias("entity"))
-    entities = entity.distinct().groupBy("entity").agg(F.count("*").alias("entity_df"))
     total = F.lit(float(rows))
-    scored = joint.join(df, "term").join(entities, "entity").withColumn("ic", F.log2(total / F.col("entity_df")))
-    scored = scored.withColumn("disclosure", F.log2(total * F.col("joint") / F.col("df") / F.col("entity_df")) / F.col("ic"))
-    return scored.where((F.col("ic") > 0) & (F.col("disclosure") >= generalise_at)).select("entity", "term", "disclosure", F.when(F.col("disclosure") >= remove_at, "remove").otherwise("generalise").alias("action"))
+    entities = spanned.select("row", F.explode("spans").alias("x")).select("row", F.expr(_ENTITY).alias("entity")).distinct().groupBy("entity").agg(F.count("*").alias("entity_df"))
+    at_least = near.select("term", "row").distinct().groupBy("term").agg(F.count("*").alias("least_df"))
+    disclosure = lambda df: F.log2(total * F.col("joint") / F.col(df) / F.col("entity_df")) / F.col("ic")
+    known = joint.join(entities, "entity").withColumn("ic", F.log2(total / F.col("entity_df"))).where("ic > 0")
+    possible = written(known.join(at_least, "term").where(disclosure("least_df") >= generalise_at).drop("least_df"), "pii-joint")
+    df = document_frequencies(docs, possible.select("term").distinct())
+    scored = possible.join(df, "term").withColumn("disclosure", disclosure("df"))
+    return scored.where(F.col("disclosure") >= generalise_at).select("entity", "term", "disclosure", F.when(F.col("disclosure") >= remove_at, "remove").otherwise("generalise").alias("action"))
 
 
 def term_spans(docs: DataFrame, spanned: DataFrame, around: int = 80, least_surroundings: int = 3, generalise_at: float = 0.8, remove_at: float = 0.97) -> DataFrame:
