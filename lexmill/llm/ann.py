@@ -150,7 +150,7 @@ def search(vectors: DataFrame, query_filter: str, k: int = 5, tables: int = 32,
         probes = max(1, min(axes, round(probe_share * axes)))
 
         def run(batches: Iterator[pa.RecordBatch], dim=dim, probes=probes) -> Iterator[pa.RecordBatch]:
-            cache = worker_cache()
+            cache = worker_cache("ann")
             key = ("ann", dim, tables, seed)
             if key not in cache:
                 cache[key] = Tables(dim, tables, seed)

@@ -17,9 +17,21 @@ SEGMENT = 1 << 20
 SPACES = b" \t\n\x0b\x0c\r"
 
 
-def worker_cache() -> dict:
-    """A dictionary that lives as long as the Python worker, for tables that are dear to build."""
-    return sys.modules.setdefault("_lexmill_worker_cache", types.ModuleType("_lexmill_worker_cache")).__dict__
+def worker_cache(owner: str = "") -> dict:
+    """A dictionary that lives as long as the Python worker serves one operator, for tables that are dear to build.
+
+    Spark keeps workers from job to job: what another operator has left is dropped.
+    """
+    held = sys.modules.setdefault("_lexmill_worker_cache", types.ModuleType("_lexmill_worker_cache")).__dict__
+    if held.get("owner") != owner:
+        for other in [k for k, v in held.items() if isinstance(v, dict)]:
+            del held[other]
+        held["owner"] = owner
+    return held.setdefault(f"of {owner}", {})
+
+
+def powers_cache() -> dict:
+    return sys.modules.setdefault("_lexmill_powers", types.ModuleType("_lexmill_powers")).__dict__
 
 
 def plain_table() -> np.ndarray:
@@ -53,10 +65,10 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def powers(n: int, base: int) -> tuple[np.ndarray, np.ndarray]:
     """base**i and base**-i modulo 2**64 for i < n; base is odd."""
-    cache = worker_cache()
+    cache = powers_cache()
     got = cache.get(("powers", base))
     if got is None or len(got[0]) < n:
-        size = max(n, SEGMENT + 1)
+        size = 1 << (n - 1).bit_length()
         both = []
         for b in (base, pow(base, -1, 1 << 64)):
             p = np.full(size, b, np.uint64)

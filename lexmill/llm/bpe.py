@@ -300,7 +300,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = worker_cache()
+        cache = worker_cache("bpe")
         key = ("bpe", ranks_path, pattern)
         if key not in cache:
             cache[key] = Pieces(Bpe(read_ranks(ranks_path), pattern))
@@ -330,7 +330,7 @@ def decode_ids(tokens: DataFrame, ranks_path: str, id_col: str = "doc_id", ids_c
     """The texts back from comma-joined ids; bytes that are no UTF-8 are replaced. Null ids give null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = worker_cache()
+        cache = worker_cache("bpe")
         key = ("decode", ranks_path)
         if key not in cache:
             cache[key] = {str(r).encode(): t for t, r in read_ranks(ranks_path).items()}

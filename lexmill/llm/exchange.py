@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.llm.arrow_text import slices
+from lexmill.llm.arrow_text import slices, worker_cache
 
 SCHEMA = "b long, kind int, q int, n1 long, n2 long, data binary"
 _NAMES = ["b", "kind", "q", "n1", "n2", "data"]
@@ -57,6 +57,7 @@ def as_batches(docs: DataFrame, columns: dict[str, str], most_bytes: int = 4 <<
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("exchange")
         number = TaskContext.get().partitionId() << 32
         held: list[pa.RecordBatch] = []
         size = 0
@@ -88,6 +89,7 @@ def documents_of(data) -> pa.RecordBatch:
 
 def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch, dict[int, list]]]:
     """From rows sorted by (b, kind, q): a batch's number, its documents, and its answers by kind, in order of q."""
+    worker_cache("exchange")
     answers: dict[int, list] = {}
     for rows in batches:
         data = rows.column("data")

@@ -110,7 +110,7 @@ def pack(docs: DataFrame, tokenizer_path: str, size: int = 2048, end_id: int = 1
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = worker_cache()
+        cache = worker_cache("packing")
         key = ("pack", tokenizer_path)
         if key not in cache:
             cache[key] = TokenizerPieces(tokenizer_path)

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.llm.arrow_text import slices
+from lexmill.llm.arrow_text import slices, worker_cache
 from lexmill.llm.labelled import STRUCTURE, labelled_sample, structure, word_sets
 
 BUCKETS = 1 << 16
@@ -124,6 +124,7 @@ def score(docs: DataFrame, model: FactorisationMachine, id_col: str = "doc_id",
     carry = carry or []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("quality")
         for batch in slices(batches, "_t", 1 << 21):
             logits = model.logits(*with_structure(model.mean, model.scale, *triples(batch.column("_t"))), batch.num_rows)
             p = 1 / (1 + np.exp(-np.clip(logits, -700, 700)))
