@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.llm.arrow_text import lower_table, slices, text_buffers, words
+from lexmill.llm.arrow_text import lower_table, slices, span_hash, text_buffers, words, worker_cache
 from lexmill.llm.components import stars
 from lexmill.llm.storage import written
 from lexmill.llm.xxh64 import xxh64
@@ -83,6 +83,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3, seed: int = 42, id_col: str
     """(doc_id, fp) for each row of docs; null text counts as empty, and a text without words has 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("simhash")
         for batch in slices(batches, "t", 1 << 20):
             yield pa.RecordBatch.from_arrays([batch.column("k"), pa.array(fingerprints_of(batch.column("t"), shingle, seed).view(np.int64))], ["doc_id", "fp"])
 
@@ -139,11 +140,9 @@ def plan(sample: np.ndarray, total: int, limit: int) -> list[tuple[list[int], in
     return best[1]
 
 
-def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Node and least node of its component, for each node of the edges that isn't the least."""
-    nodes, both = np.unique(np.concatenate([a, b]), return_inverse=True)
-    x, y = both[: len(a)], both[len(a) :]
-    label = np.arange(len(nodes))
+def least_labels(x: np.ndarray, y: np.ndarray, n: int) -> np.ndarray:
+    """For each of n nodes the least node of its component, by edges between x and y."""
+    label = np.arange(n)
     while True:
         low = np.minimum(label[x], label[y])
         new = label.copy()
@@ -153,17 +152,49 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         while (new != new[new]).any():
             new = new[new]
         if (new == label).all():
-            break
+            return label
         label = new
+
+
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Node and least node of its component, for each node of the edges that isn't the least."""
+    nodes, both = np.unique(np.concatenate([a, b]), return_inverse=True)
+    label = least_labels(both[: len(a)], both[len(a) :], len(nodes))
     inner = label != np.arange(len(nodes))
     return nodes[inner], nodes[label[inner]]
 
 
-def links(fps: DataFrame, limit: int, bucket_rows: int = 16384) -> DataFrame:
+def nearest_forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges of a spanning forest of least distances: any two linked nodes are joined by steps no longer than their own."""
+    nodes, both = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = both[: len(a)], both[len(a) :]
+    distance = np.bitwise_count(a ^ b)
+    label = np.arange(len(nodes))
+    kept = [np.zeros(0, np.int64)]
+    for d in np.unique(distance):
+        e = np.flatnonzero(distance == d)
+        while len(e):
+            across = label[x[e]] != label[y[e]]
+            e = e[across]
+            if not len(e):
+                break
+            number = np.arange(len(e))
+            first = np.full(len(nodes), len(e))  # each component takes its first edge
+            np.minimum.at(first, label[x[e]], number)
+            np.minimum.at(first, label[y[e]], number)
+            chosen = e[np.unique(first[first < len(e)])]
+            kept.append(chosen)
+            label = least_labels(label[x[chosen]], label[y[chosen]], len(nodes))[label]
+    at = np.concatenate(kept)
+    return a[at], b[at]
+
+
+def links(fps: DataFrame, limit: int, bucket_rows: int = 16384, nearest_first: bool = False) -> DataFrame:
     """Edges (a, b) that join the distinct fingerprints within `limit` bits: a spanning forest a bucket and task.
 
     A value that more than bucket_rows fingerprints share is dealt out as pairs of chunks, so that no task
-    holds more of it than two chunks; no pair is lost.
+    holds more of it than two chunks; no pair is lost. nearest_first: edges are pairs within the limit, and
+    the forests those of least distances.
     """
     sample = np.array([r.fp for r in fps.orderBy(F.xxhash64("fp"), "fp").limit(2048).collect()], np.int64).view(np.uint64)  # for estimates only
     groups = [(g, bits, t) for g, (bits, t) in enumerate(plan(sample, fps.count(), limit)) if t >= 0]
@@ -235,15 +266,61 @@ def links(fps: DataFrame, limit: int, bucket_rows: int = 16384) -> DataFrame:
 
     def spanning(found: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
         none = [np.zeros(0, np.uint64)]
-        return forest(*[np.concatenate([f[i] for f in found] + none) for i in (0, 1)])
+        return (nearest_forest if nearest_first else forest)(*[np.concatenate([f[i] for f in found] + none) for i in (0, 1)])
 
     return cells.repartition("g", "v", "x", "y").sortWithinPartitions("g", "v", "x", "y").mapInArrow(compare, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, limit: int = 3, shingle: int = 3, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", bucket_rows: int = 16384) -> DataFrame:
+_SHINGLE_BASE = 0xC2B2AE3D27D4EB4F
+
+
+def shingle_sets(text: pa.Array, shingle: int) -> list[np.ndarray]:
+    """The distinct hashed shingles of each text, in order; a text of fewer words is one shingle, one of none has none."""
+    buf, offsets = text_buffers(text)
+    s, _, h = words(buf, offsets[:-1], lower_table())
+    count = np.bincount(np.searchsorted(offsets, s, side="right") - 1, minlength=len(text))
+    out = []
+    for first, n in zip((np.cumsum(count) - count).tolist(), count.tolist()):
+        at = first + np.arange(max(n - shingle + 1, min(n, 1)))
+        out.append(np.unique(span_hash(h, at, np.minimum(at + shingle, first + n), _SHINGLE_BASE)))
+    return out
+
+
+def alike(docs: DataFrame, fps: DataFrame, edges: DataFrame, at_least: float, shingle: int, fingerprint_shingle: int, seed: int, id_col: str, text_col: str) -> DataFrame:
+    """The edges (a, b) whose fingerprints' first documents share at least so much of their word shingles (Jaccard)."""
+    involved = edges.select(F.col("a").alias("fp")).union(edges.select(F.col("b").alias("fp"))).distinct().join(fps, "fp")
+    texts = docs.selectExpr(f"cast(`{id_col}` as long) as least", f"`{text_col}` as t").join(involved, "least")
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "t", 1 << 20):
+            own = fingerprints_of(batch.column("t"), fingerprint_shingle, seed).view(np.int64) == batch.column("fp").to_numpy()  # rows may repeat an id
+            found = shingle_sets(batch.column("t"), shingle)
+            keep = np.flatnonzero(own).tolist()
+            yield pa.RecordBatch.from_arrays([batch.column("fp").take(pa.array(keep, pa.int64())), pa.array([found[i].tobytes() for i in keep], pa.binary())], ["fp", "set"])
+
+    known = written(texts.select("fp", "t").mapInArrow(sets, "fp long, set binary").dropDuplicates(["fp"]), "shingle-sets")
+    pairs = edges.join(known.select(F.col("fp").alias("a"), F.col("set").alias("x")), "a").join(known.select(F.col("fp").alias("b"), F.col("set").alias("y")), "b")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            near = []
+            for x, y in zip(batch.column("x"), batch.column("y")):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                near.append(both >= at_least * (len(x) + len(y) - both))
+            yield batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
+
+    return pairs.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
+
+
+def near_duplicates(docs: DataFrame, limit: int = 3, shingle: int = 3, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", bucket_rows: int = 16384,
+                    at_least: float | None = None, compared_shingle: int = 5) -> DataFrame:
     """Per row of docs: doc_id, fingerprint (16 hex digits), and component_id, the least doc_id reachable.
 
-    Fingerprints link at `limit` or fewer differing bits. A to Z are lower-cased; words are
+    Fingerprints link at `limit` or fewer differing bits. With at_least, a link counts only if the texts'
+    shingles of compared_shingle words are alike by so much (Jaccard); of all links those of a spanning forest
+    of least distances are looked at, so their number is linear, and any two texts within the limit are
+    joined by steps no longer than theirs. Texts of one fingerprint count as alike. A to Z are lower-cased; words are
     `[^\\x20\\x09-\\x0D]+`; a text of fewer words than a shingle is one shingle, and one without words (or
     null) has fingerprint 0, linked like any other. A null id is reached but never the least unless no row
     of the component has an id. Repeated rows are in the same component; an empty table gives an empty
@@ -251,7 +328,10 @@ def near_duplicates(docs: DataFrame, limit: int = 3, shingle: int = 3, seed: int
     """
     rows = written(fingerprints(docs, shingle, seed, id_col, text_col), "fingerprints")
     fps = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
-    star = stars(links(fps.select("fp"), limit, bucket_rows), "fingerprint-links")
+    edges = links(fps.select("fp"), limit, bucket_rows, nearest_first=at_least is not None)
+    if at_least is not None:
+        edges = alike(docs, fps, written(edges.distinct(), "fingerprint-pairs"), at_least, compared_shingle, shingle, seed, id_col, text_col)
+    star = stars(edges, "fingerprint-links")
     member = star.select(F.col("a").alias("fp"), F.col("b").alias("root")).unionByName(star.select(F.col("b").alias("fp"), F.col("b").alias("root")).distinct())
     member = member.join(fps, "fp")
     component = member.join(member.groupBy("root").agg(F.min("least").alias("component")), "root").select("fp", "component")

@@ -202,6 +202,65 @@ def test_crowded_fingerprints(spark):
         assert len({(a, b) for a, b in zip(want, got)}) == len(set(want)) == len(set(got))
 
 
+@given(st.lists(st.tuples(st.integers(0, 9), st.integers(0, 9)), max_size=40))
+def test_nearest_forest(pairs):
+    """As many edges as any spanning forest, of the same total distance as Kruskal's."""
+    points = np.random.default_rng(4).integers(0, 16, 10).astype(np.uint64)
+    pairs = [(int(points[i]), int(points[j])) for i, j in pairs if points[i] != points[j]]
+    a, b = (np.array([p[i] for p in pairs], np.uint64) for i in (0, 1))
+    x, y = simhash.nearest_forest(a, b)
+    root = {int(p): int(p) for p in points}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    kept = []
+    for d, i, j in sorted(((p ^ q).bit_count(), p, q) for p, q in pairs):
+        if find(i) != find(j):
+            root[find(i)] = find(j)
+            kept.append(d)
+    assert sorted(np.bitwise_count(x ^ y).tolist()) == kept
+
+
+def jaccard(s, t, k=5):
+    def shingles(x):
+        w = lowered(x)
+        return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} or ({tuple(w)} if w else set())
+
+    a, b = shingles(s), shingles(t)
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def test_near_copies_are_compared(spark, docs, none):
+    import random
+
+    rng = random.Random(3)
+    rows = []
+    for g in range(12):
+        base = "".join(rng.choice("abcdefghij ") if i % 6 else " " for i in range(1500)).split()
+        rows.append((10 * g, " ".join(base)))
+        for v, changes in enumerate((1, 2, 12, 40)):
+            w = list(base)
+            for i in rng.sample(range(len(w)), changes):
+                w[i] = "zz"
+            rows.append((10 * g + v + 1, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    text = dict(rows)
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(df, limit=12, at_least=0.8).collect()}
+    hits = 0
+    for k, t in text.items():
+        base = k - k % 10
+        close = [j for j in text if j < k and jaccard(text[j], t) >= 0.8]
+        assert (got[k] == k) or any(got[j] == got[k] for j in close)  # nothing else is linked
+        hits += (got[k] != k) == bool(close)
+        assert got[k] in (k, *range(base, k + 1))
+    assert hits >= 0.95 * len(text)
+    assert simhash.near_duplicates(none, at_least=0.8).count() == 0
+    assert simhash.near_duplicates(docs, limit=12, at_least=0.8).count() == docs.count()
+
+
 @given(st.integers(0, 5), st.integers(2, 10**9))
 @settings(max_examples=20, deadline=None)
 def test_plan_keeps_the_pigeonhole(limit, total):
