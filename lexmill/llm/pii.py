@@ -106,16 +106,13 @@ def term_of(column: str) -> Column:
     return F.expr(f"lower(trim(both {_quoted(_EDGES)} from {column}))")
 
 
-def document_frequencies(docs: DataFrame, terms: DataFrame, broadcast_terms: int = 50_000) -> DataFrame:
-    """(term, df) over all rows of docs (column t). A few terms go to every task, by their count; many are joined."""
+def document_frequencies(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """(term, df) over all rows of docs (column t): counted in each task first, so that a word costs a row a task, then joined."""
+    if not terms.limit(1).count():
+        return terms.select("term", F.lit(0).cast("long").alias("df"))
     spaced = F.translate("t", "\t\n\x0b\x0c\r", "     ")
     # a word may stand in a text with different edges: of these, one counts
     words = docs.select(F.explode(F.array_distinct(F.transform(F.split(spaced, " "), lambda w: F.lower(F.btrim(w, F.lit(_EDGES)))))).alias("term"))
-    number = terms.limit(broadcast_terms + 1).count()
-    if not number:
-        return terms.select("term", F.lit(0).cast("long").alias("df"))
-    if number <= broadcast_terms:
-        return words.join(F.broadcast(terms), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
     return words.groupBy("term").agg(F.count("*").alias("df")).join(terms, "term", "left_semi")
 
 
