@@ -3,9 +3,9 @@
 Document frequencies, the number of documents and their mean length are those of the whole corpus, so the
 scores of all shards compare. Within a shard a query's terms part into essential ones, rare in the
 shard, whose postings are added up in full, and frequent ones, of which each block of 64 documents has
-the greatest impact. A document is scored in full only if its rare part and its block's greatest
-frequent part together beat the k-th best score found so far (in this and earlier shards of the task):
-the pivot test of block-max WAND, on all documents of the shard at once.
+the greatest impact. A block is looked into only if its greatest frequent part and its best rare part
+together can beat the k-th best score that a query has so far, in this and earlier shards of the task: the
+pivot test of block-max WAND, for many queries and all blocks of a shard at once.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from lexmill.llm.storage import written
 K1, B = 1.2, 0.75
 BLOCK = 64
 #: A term in over this share of a shard's documents counts as frequent there.
-FREQUENT = 0.02
+FREQUENT = 0.06
 _MARGIN = 1e-9
 SCHEMA = "query_id long, doc_id long, score double"
 
@@ -55,6 +55,12 @@ def _unpacked(data) -> dict:
     return pickle.loads(zstandard.ZstdDecompressor().decompress(data))
 
 
+def _merged(blocks: list[dict]) -> pa.RecordBatch:
+    lengths = np.concatenate([np.diff(b["bounds"]) for b in blocks])
+    data = _packed(ids=np.concatenate([b["ids"] for b in blocks]), bounds=np.append(0, np.cumsum(lengths)), terms=np.concatenate([b["terms"] for b in blocks]))
+    return pa.RecordBatch.from_arrays([pa.array([data], pa.binary())], ["data"])
+
+
 class Shard:
     """An inverted index in memory: impacts (inverse document frequency included) and block maxima."""
 
@@ -71,48 +77,62 @@ class Shard:
         self.frequent = np.full(len(self.keys), -1)
         self.frequent[frequent] = np.arange(len(frequent))
         self.blocks = -(-n // BLOCK)
-        dense = np.zeros((len(frequent), self.blocks * BLOCK))
+        self.dense = np.zeros((len(frequent), self.blocks * BLOCK))
         for f, t in enumerate(frequent.tolist()):
             at = slice(self.start[t], self.start[t + 1])
-            dense[f, self.doc[at]] = self.weight[at]
-        self.dense = np.ascontiguousarray(dense.T)
-        self.block_max = dense.reshape(len(frequent), self.blocks, BLOCK).max(2)
+            self.dense[f, self.doc[at]] = self.weight[at]
+        self.short = self.dense.astype(np.float32)
+        self.block_max = self.short.reshape(len(frequent), self.blocks, BLOCK).max(2)
+        #: Sums of 32-bit numbers are this near to the exact ones, and nearer.
+        self.slack = 1e-5 * (1 + float(self.dense.sum(0).max(initial=0)))
 
-    def search(self, query_ids: np.ndarray, bounds: np.ndarray, terms: np.ndarray, k: int, best: dict[int, list]) -> None:
+    def search(self, query_ids: np.ndarray, bounds: np.ndarray, terms: np.ndarray, k: int, best: dict[int, list], at_once: int = 64) -> None:
         """Brings best (query id -> (score, document id), best first) up to date with this shard."""
-        n = len(self.ids)
-        at = np.minimum(np.searchsorted(self.keys, terms), max(0, len(self.keys) - 1))
-        known = self.keys[at] == terms if len(self.keys) else np.zeros(len(terms), bool)
-        f = np.where(known, self.frequent[at], -1) if len(self.keys) else np.full(len(terms), -1)
-        owner = np.repeat(np.arange(len(query_ids)), np.diff(bounds))
-        has = np.zeros((len(query_ids), len(self.block_max)))
+        for q in range(0, len(query_ids), at_once):
+            some = bounds[q : q + at_once + 1]
+            self._search(query_ids[q : q + at_once], some - some[0], terms[some[0] : some[-1]], k, best)
+
+    def _search(self, query_ids: np.ndarray, bounds: np.ndarray, terms: np.ndarray, k: int, best: dict[int, list]) -> None:
+        m, n, width = len(query_ids), len(self.ids), self.blocks * BLOCK
+        owner = np.repeat(np.arange(m), np.diff(bounds))
+        at = np.searchsorted(self.keys, terms)
+        known = np.flatnonzero(self.keys[np.minimum(at, len(self.keys) - 1)] == terms) if len(self.keys) else np.zeros(0, np.int64)
+        at, owner = at[known], owner[known]
+        f = self.frequent[at]
+        # essential terms: all postings
+        rare, who = at[f < 0], owner[f < 0]
+        size = self.start[rare + 1] - self.start[rare]
+        posting = np.repeat(self.start[rare] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        partial = np.bincount(np.repeat(who, size) * width + self.doc[posting], self.weight[posting], m * width).reshape(m, width)
+        # frequent terms: blocks that can't bring a document above a query's k-th best are passed over
+        has = np.zeros((m, len(self.short)), np.float32)
         has[owner[f >= 0], f[f >= 0]] = 1
-        block_bound = has @ self.block_max
-        for q, query_id in enumerate(query_ids.tolist()):
-            part = slice(bounds[q], bounds[q + 1])
-            rare = at[part][known[part] & (f[part] < 0)]
-            common = f[part][f[part] >= 0]
-            size = self.start[rare + 1] - self.start[rare]
-            posting = np.repeat(self.start[rare] - np.append(0, np.cumsum(size)[:-1]), size) + np.arange(size.sum()) if len(rare) else np.zeros(0, np.int64)
-            score = np.bincount(self.doc[posting], self.weight[posting], n)
-            bound = score + np.repeat(block_bound[q], BLOCK)[:n]
-            bound[self.ids == query_id] = 0
-            top = best.setdefault(query_id, [])
-            least = top[k - 1][0] if len(top) >= k else 0.0
-            first = np.argpartition(-bound, k)[:k] if n > k else np.arange(n)
-            for chosen in (first, None):
-                if chosen is None:  # everything that may still enter
-                    chosen = np.flatnonzero(bound > least - _MARGIN)
-                chosen = chosen[bound[chosen] > 0]
-                if not len(chosen):
-                    continue
-                bound[chosen] = 0
-                full = score[chosen] + self.dense[np.ix_(chosen, common)].sum(1)
-                fine = (full > 0) & (full >= least - _MARGIN)
-                top += zip(np.round(full[fine], 9).tolist(), self.ids[chosen[fine]].tolist())
-                top.sort(key=lambda x: (-x[0], x[1]))
-                del top[k:]
-                least = top[k - 1][0] if len(top) >= k else 0.0
+        tops = [best.setdefault(q, []) for q in query_ids.tolist()]
+        least = np.array([t[k - 1][0] if len(t) >= k else 0.0 for t in tops])
+        limit = least - self.slack - _MARGIN
+        bound = has @ self.block_max + partial.reshape(m, self.blocks, BLOCK).max(2)
+        open_ = np.flatnonzero((bound > limit[:, None]).any(0))
+        if not len(open_):
+            return
+        columns = (open_[:, None] * BLOCK + np.arange(BLOCK)).ravel()
+        columns = columns[columns < n]
+        part = slice(None, n) if len(columns) == n else columns
+        near = has @ self.short[:, part] + partial[:, part]
+        near[self.ids[part] == query_ids[:, None]] = 0
+        for q in np.flatnonzero(near.max(1) > np.maximum(limit, 0)).tolist():
+            row = near[q]
+            over = limit[q]
+            if len(row) > k:
+                over = max(over, float(np.partition(row, len(row) - k)[len(row) - k]) - 2 * self.slack)
+            chosen = np.flatnonzero((row > over) & (row > 0))
+            docs = chosen if isinstance(part, slice) else part[chosen]
+            common = f[(owner == q) & (f >= 0)]
+            full = partial[q, docs] + self.dense[np.ix_(common, docs)].sum(0)
+            fine = full > 0
+            top = tops[q]
+            top += zip(np.round(full[fine], 9).tolist(), self.ids[docs[fine]].tolist())
+            top.sort(key=lambda x: (-x[0], x[1]))
+            del top[k:]
 
 
 def _document_frequencies(keys: np.ndarray, values: list, part: np.ndarray):
@@ -123,7 +143,7 @@ def _document_frequencies(keys: np.ndarray, values: list, part: np.ndarray):
     return out, None
 
 
-def search(docs: DataFrame, query_filter: str, k: int = 10, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = 16 << 20, query_block: int = 256) -> DataFrame:
+def search(docs: DataFrame, query_filter: str, k: int = 10, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = 8 << 20, query_block: int = 512) -> DataFrame:
     """(query_id, rank, doc_id, score) of the k best rows by BM25 for each row that query_filter (SQL on `k`, the id) picks.
 
     A query is the set of its text's words (`[^\\x20\\x09-\\x0D]+`, A to Z lower-cased); rows of its own id are
@@ -168,6 +188,24 @@ def search(docs: DataFrame, query_filter: str, k: int = 10, id_col: str = "doc_i
             yield pa.RecordBatch.from_arrays([pa.array(is_query), pa.array(data, pa.binary())], ["is_query", "data"])
 
     made = written(together(batches, df).mapInArrow(index, "is_query boolean, data binary"), "bm25-index")
+    asked_for = source.where(query_filter).count()
+
+    def merge(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Small query blocks as few larger ones, so that a shard is handed out for each of few."""
+        held: list[dict] = []
+        size = 0
+        for rows in parts:
+            for data in rows.column("data"):
+                held.append(_unpacked(data.as_buffer()))
+                size += len(held[-1]["ids"])
+                if size >= query_block:
+                    yield _merged(held)
+                    held, size = [], 0
+        if held:
+            yield _merged(held)
+
+    query_blocks = made.where("is_query").select("data").repartition(max(1, -(-asked_for // (2 * query_block))))
+    blocks = written(query_blocks.mapInArrow(merge, "data binary"), "bm25-queries")
 
     def run(pairs: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best: dict[int, list] = {}
@@ -184,7 +222,7 @@ def search(docs: DataFrame, query_filter: str, k: int = 10, id_col: str = "doc_i
         yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.float64())], ["query_id", "doc_id", "score"])
 
     # blocks of a stated query set against all shards
-    pairs = made.where("not is_query").select(F.col("data").alias("shard")).join(made.where("is_query").select(F.col("data").alias("query")))
+    pairs = made.where("not is_query").select(F.col("data").alias("shard")).join(blocks.select(F.col("data").alias("query")))
     found = pairs.mapInArrow(run, SCHEMA)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")

@@ -113,7 +113,8 @@ def document_frequencies(docs: DataFrame, terms: DataFrame) -> DataFrame:
     spaced = F.translate("t", "\t\n\x0b\x0c\r", "     ")
     # a word may stand in a text with different edges: of these, one counts
     words = docs.select(F.explode(F.array_distinct(F.transform(F.split(spaced, " "), lambda w: F.lower(F.btrim(w, F.lit(_EDGES)))))).alias("term"))
-    return words.groupBy("term").agg(F.count("*").alias("df")).join(terms, "term", "left_semi")
+    # an inner join with distinct terms: the optimiser would move a semi-join below the counts, to single words
+    return words.groupBy("term").agg(F.count("*").alias("df")).join(terms.distinct(), "term")
 
 
 def disclosing(docs: DataFrame, near: DataFrame, spanned: DataFrame, rows: int, least_surroundings: int, generalise_at: float, remove_at: float) -> DataFrame:

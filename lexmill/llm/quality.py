@@ -97,7 +97,7 @@ def fit(batches: list[tuple], y: np.ndarray, factors: int = 4, epochs: int = 8,
     return fm
 
 
-def train(docs: DataFrame, labels: DataFrame, keep: F.Column, most: int = 6000, label: str = "quality", id_col: str = "doc_id", text_col: str = "text") -> FactorisationMachine:
+def train(docs: DataFrame, labels: DataFrame, keep: F.Column, most: int = 4000, label: str = "quality", id_col: str = "doc_id", text_col: str = "text") -> FactorisationMachine:
     """Fit on at most `most` labelled rows; their features, not their texts, come to the driver."""
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,7 +111,9 @@ def train(docs: DataFrame, labels: DataFrame, keep: F.Column, most: int = 6000,
     got.sort(key=lambda g: bytes(g["k"]))  # the order of tasks doesn't matter
     load = lambda x, t: np.frombuffer(x, t)
     batches = [(load(g["row"], np.int32).astype(np.int64), load(g["feature"], np.int32).astype(np.int64), load(g["value"], np.float32).astype(float), load(g["rows"], float).reshape(-1, len(STRUCTURE))) for g in got]
-    return fit(batches, np.concatenate([load(g["y"], float) for g in got]) if got else np.zeros(0))
+    y = np.concatenate([load(g["y"], float) for g in got]) if got else np.zeros(0)
+    del got
+    return fit(batches, y)
 
 
 def score(docs: DataFrame, model: FactorisationMachine, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5, carry: list[str] | None = None) -> DataFrame:
