@@ -164,11 +164,11 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[inner], nodes[label[inner]]
 
 
-def nearest_forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Edges of a spanning forest of least distances: any two linked nodes are joined by steps no longer than their own."""
+def nearest_forest(a: np.ndarray, b: np.ndarray, distance: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Edges of a spanning forest of least distances (by default, of differing bits): any two linked nodes are joined by steps no longer than their own."""
     nodes, both = np.unique(np.concatenate([a, b]), return_inverse=True)
     x, y = both[: len(a)], both[len(a) :]
-    distance = np.bitwise_count(a ^ b)
+    distance = np.bitwise_count(a ^ b) if distance is None else distance
     label = np.arange(len(nodes))
     kept = [np.zeros(0, np.int64)]
     for d in np.unique(distance):
@@ -194,79 +194,120 @@ def links(fps: DataFrame, limit: int, bucket_rows: int = 16384, nearest_first: b
 
     A value that more than bucket_rows fingerprints share is dealt out as pairs of chunks, so that no task
     holds more of it than two chunks; no pair is lost. nearest_first: edges are pairs within the limit, and
-    the forests those of least distances.
+    the forests those of least distances. With a column `node` beside `fp`, edges join nodes, of which several may
+    have one fingerprint. With a column `label` too, the edges are all pairs of nodes within the limit whose
+    labels differ, a the lesser, instead of a forest.
     """
+    more = [c for c in ("node", "label") if c in fps.columns]
+    every = "label" in more
     sample = np.array([r.fp for r in fps.orderBy(F.xxhash64("fp"), "fp").limit(2048).collect()], np.int64).view(np.uint64)  # for estimates only
     groups = [(g, bits, t) for g, (bits, t) in enumerate(plan(sample, fps.count(), limit)) if t >= 0]
 
+    masks = [np.uint64(sum(1 << b for b in bits)) for _, bits, _ in groups]
+    place = {g: i for i, (g, _, _) in enumerate(groups)}
+
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = batch.column("fp").to_numpy().view(np.uint64)
+            carried = [batch.column(c).to_numpy() for c in more]
             for g, bits, t in groups:
                 value = x & np.uint64(sum(1 << b for b in bits))
-                yield row(g, value, x, True)
+                yield row(g, value, x, True, carried)
                 for k in range(1, t + 1):
                     for flipped in combinations(bits, k):
                         other = value ^ np.uint64(sum(1 << b for b in flipped))
                         up = other > value
-                        yield row(g, other[up], x[up], False)
+                        yield row(g, other[up], x[up], False, [c[up] for c in carried])
 
-    def row(g, value, x, own):
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(x), g, np.int32)), pa.array(value.view(np.int64)), pa.array(x.view(np.int64)), pa.array(np.full(len(x), own))], ["g", "v", "fp", "own"])
+    def row(g, value, x, own, carried):
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(x), g, np.int32)), pa.array(value.view(np.int64)), pa.array(x.view(np.int64)), pa.array(np.full(len(x), own)), *map(pa.array, carried)], ["g", "v", "fp", "own", *more])
 
-    dealt = fps.mapInArrow(deal, "g int, v long, fp long, own boolean")
+    dealt = fps.select("fp", *more).mapInArrow(deal, "g int, v long, fp long, own boolean" + "".join(f", {c} long" for c in more))
     large = dealt.where("own").groupBy("g", "v").count().where(F.col("count") > bucket_rows)
     chunks = F.coalesce(F.ceil(F.col("count") / bucket_rows), F.lit(1)).cast("int")
-    mine = F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int")
+    mine = F.pmod(F.xxhash64("node" if more else "fp"), F.col("chunks")).cast("int")
     cells = (
         dealt.join(large, ["g", "v"], "left")
         .withColumn("chunks", chunks)
         .withColumn("mine", mine)
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-        .select("g", "v", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), "fp", "own")
+        .select("g", "v", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), "fp", "own", *more)
     )
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
         for batch in batches:
-            now = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("g", "v", "x", "y", "fp", "own")])
+            now = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("g", "v", "x", "y", "fp", "own", *more)])
             held = now if held is None else np.concatenate([held, now], 1)
             new = np.flatnonzero((held[:4, 1:] != held[:4, :-1]).any(0)) + 1
             if len(new):
-                yield edges(held[:, : new[-1]])
+                yield from edges(held[:, : new[-1]])
                 held = held[:, new[-1] :]
         if held is not None and held.shape[1]:
-            yield edges(held)
+            yield from edges(held)
 
-    def edges(rows: np.ndarray) -> pa.RecordBatch:
+    def edges(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
         fp, own = np.ascontiguousarray(rows[4]).view(np.uint64), rows[5].astype(bool)
         starts = np.append(0, np.flatnonzero((rows[:4, 1:] != rows[:4, :-1]).any(0)) + 1)
         size = np.diff(np.append(starts, len(fp)))
         end = np.repeat(starts + size, size)
         at = np.flatnonzero(np.repeat(size <= SMALL, size))
-        found: list[tuple[np.ndarray, np.ndarray]] = []
+        found: list[tuple[np.ndarray, np.ndarray]] = []  # places of both ends
+        held = 0
         for d in range(1, int(size[size <= SMALL].max(initial=0))):
             at = at[at + d < end[at]]
             hit = at[np.bitwise_count(fp[at] ^ fp[at + d]) <= limit]
-            found.append((fp[hit], fp[hit + d]))
+            found.append(wanted(rows, hit, hit + d))
+            held += len(found[-1][0])
+            if every and held > 1 << 21:
+                yield batch_of(rows, found)
+                found, held = [], 0
         held = 0
         for s, k in zip(starts[size > SMALL].tolist(), size[size > SMALL].tolist()):
             part = fp[s : s + k]
-            mine = part[own[s : s + k]]  # two probes that are alike also meet in a bucket of one's own
+            mine = s + np.flatnonzero(own[s : s + k])  # two probes that are alike also meet in a bucket of one's own
             step = max(1, (1 << 20) // k)
             for i in range(0, len(mine), step):
-                x, y = np.nonzero(np.bitwise_count(mine[i : i + step, None] ^ part) <= limit)
-                x, y = mine[i + x], part[y]
-                found.append((x[x != y], y[x != y]))
-                held += len(x)
-                if held > 1 << 21:  # a crowd of copies: only a spanning forest of it is kept
-                    found, held = [spanning(found)], 0
-        x, y = spanning(found)
-        return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)), pa.array(y.view(np.int64))], ["a", "b"])
-
-    def spanning(found: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-        none = [np.zeros(0, np.uint64)]
-        return (nearest_forest if nearest_first else forest)(*[np.concatenate([f[i] for f in found] + none) for i in (0, 1)])
+                x, y = np.nonzero(np.bitwise_count(fp[mine[i : i + step], None] ^ part) <= limit)
+                found.append(wanted(rows, mine[i + x], s + y))
+                held += len(found[-1][0])
+                if held > 1 << 21:
+                    if every:
+                        yield batch_of(rows, found)
+                        found, held = [], 0
+                    else:  # a crowd of copies: only a spanning forest of it is kept
+                        found, held = [spanning(rows, found)], 0
+        yield batch_of(rows, found)
+
+    def wanted(rows: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of pairs of places those of two nodes; where every pair counts, each from one bucket only, as long as values aren't dealt out in chunks."""
+        node = rows[6 if more else 4]
+        keep = node[x] != node[y]
+        if every:
+            keep &= (rows[7, x] != rows[7, y]) & ((rows[5, x] | rows[5, y]) != 0)
+            x, y = x[keep], y[keep]
+            apart = (rows[4, x] ^ rows[4, y]).view(np.uint64)
+            at = np.array([place[g] for g in rows[0, x].tolist()], np.int64)
+            keep = np.ones(len(x), bool)
+            for i, (mask, (_, _, t)) in enumerate(zip(masks, groups)):
+                keep &= (at <= i) | (np.bitwise_count(apart & mask) > t)
+        return x[keep], y[keep]
+
+    def spanning(rows: np.ndarray, found: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        """The places of a spanning forest's edges."""
+        x, y = (np.concatenate([f[i] for f in found] + [np.zeros(0, np.int64)]) for i in (0, 1))
+        node = rows[6 if more else 4]
+        names, first = np.unique(node, return_index=True)
+        if nearest_first:
+            a, b = nearest_forest(node[x], node[y], np.bitwise_count((rows[4, x] ^ rows[4, y]).view(np.uint64)))
+        else:
+            a, b = forest(node[x], node[y])
+        return first[np.searchsorted(names, a)], first[np.searchsorted(names, b)]
+
+    def batch_of(rows: np.ndarray, found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        x, y = (np.concatenate([f[i] for f in found] + [np.zeros(0, np.int64)]) for i in (0, 1)) if every else spanning(rows, found)
+        a, b = rows[6 if more else 4, x], rows[6 if more else 4, y]
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
     return cells.repartition("g", "v", "x", "y").sortWithinPartitions("g", "v", "x", "y").mapInArrow(compare, "a long, b long")
 
@@ -286,20 +327,36 @@ def shingle_sets(text: pa.Array, shingle: int) -> list[np.ndarray]:
     return out
 
 
-def alike(docs: DataFrame, fps: DataFrame, edges: DataFrame, at_least: float, shingle: int, fingerprint_shingle: int, seed: int, id_col: str, text_col: str) -> DataFrame:
-    """The edges (a, b) whose fingerprints' first documents share at least so much of their word shingles (Jaccard)."""
-    involved = edges.select(F.col("a").alias("fp")).union(edges.select(F.col("b").alias("fp"))).distinct().join(fps, "fp")
-    texts = docs.selectExpr(f"cast(`{id_col}` as long) as least", f"`{text_col}` as t").join(involved, "least")
+def described(docs: DataFrame, shingle: int, seed: int, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, fp, node, text_hash) for each row of docs: what stands for its text in comparisons is the node."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("simhash")
+        for batch in slices(batches, "t", 1 << 20):
+            fp = pa.array(fingerprints_of(batch.column("t"), shingle, seed).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column("k"), fp, fp, batch.column("h")], ["doc_id", "fp", "node", "text_hash"])
+
+    return docs.selectExpr(f"cast(`{id_col}` as long) as k", f"`{text_col}` as t", f"xxhash64(coalesce(`{text_col}`, '')) as h").mapInArrow(run, "doc_id long, fp long, node long, text_hash long")
+
+
+def alike(docs: DataFrame, rows: DataFrame, edges: DataFrame, at_least: float, shingle: int, id_col: str, text_col: str) -> DataFrame:
+    """The edges (a, b) whose nodes' texts share at least so much of their word shingles (Jaccard)."""
+    involved = edges.select(F.col("a").alias("node")).union(edges.select(F.col("b").alias("node"))).distinct()
+    # one row stands for a node: that of least id, or of no id if there is no other
+    shown = rows.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", "text_hash").alias("place"), "text_hash")).alias("m")).select("node", "m.place", "m.text_hash")
+    shown = involved.join(shown, "node")
+    texts = docs.selectExpr(f"coalesce(cast(`{id_col}` as long), xxhash64(coalesce(`{text_col}`, ''))) as place", f"xxhash64(coalesce(`{text_col}`, '')) as text_hash", f"`{text_col}` as t").join(shown, ["place", "text_hash"])
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "t", 1 << 20):
-            own = fingerprints_of(batch.column("t"), fingerprint_shingle, seed).view(np.int64) == batch.column("fp").to_numpy()  # rows may repeat an id
             found = shingle_sets(batch.column("t"), shingle)
-            keep = np.flatnonzero(own).tolist()
-            yield pa.RecordBatch.from_arrays([batch.column("fp").take(pa.array(keep, pa.int64())), pa.array([found[i].tobytes() for i in keep], pa.binary())], ["fp", "set"])
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([len(f) for f in found], pa.int32()), pa.array([f.tobytes() for f in found], pa.binary())], ["node", "n", "set"])
 
-    known = written(texts.select("fp", "t").mapInArrow(sets, "fp long, set binary").dropDuplicates(["fp"]), "shingle-sets")
-    pairs = edges.join(known.select(F.col("fp").alias("a"), F.col("set").alias("x")), "a").join(known.select(F.col("fp").alias("b"), F.col("set").alias("y")), "b")
+    known = written(texts.select("node", "t").mapInArrow(sets, "node long, n int, set binary").dropDuplicates(["node"]), "shingle-sets")
+    side = lambda c, n, *more: known.select(F.col("node").alias(c), *[F.col(m).alias(n) for m in more])
+    # sets of too different sizes can't be alike
+    sized = edges.join(side("a", "n", "n"), "a").join(side("b", "m", "n"), "b").where(F.least("n", "m") >= at_least * F.greatest("n", "m") - 1e-6)
+    pairs = sized.select("a", "b").join(side("a", "x", "set"), "a").join(side("b", "y", "set"), "b")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -318,23 +375,31 @@ def near_duplicates(docs: DataFrame, limit: int = 3, shingle: int = 3, seed: int
     """Per row of docs: doc_id, fingerprint (16 hex digits), and component_id, the least doc_id reachable.
 
     Fingerprints link at `limit` or fewer differing bits. With at_least, a link counts only if the texts'
-    shingles of compared_shingle words are alike by so much (Jaccard); of all links those of a spanning forest
-    of least distances are looked at, so their number is linear, and any two texts within the limit are
-    joined by steps no longer than theirs. Texts of one fingerprint count as alike. A to Z are lower-cased; words are
+    shingles of compared_shingle words are alike by so much (Jaccard). First the links of spanning forests of least
+    distances are compared, which joins crowds of copies at a linear number of comparisons; then every link between
+    texts that aren't joined yet, so none is lost. Texts of one fingerprint count as alike. A to Z are lower-cased; words are
     `[^\\x20\\x09-\\x0D]+`; a text of fewer words than a shingle is one shingle, and one without words (or
     null) has fingerprint 0, linked like any other. A null id is reached but never the least unless no row
     of the component has an id. Repeated rows are in the same component; an empty table gives an empty
     result.
     """
-    rows = written(fingerprints(docs, shingle, seed, id_col, text_col), "fingerprints")
-    fps = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
-    edges = links(fps.select("fp"), limit, bucket_rows, nearest_first=at_least is not None)
-    if at_least is not None:
-        edges = alike(docs, fps, written(edges.distinct(), "fingerprint-pairs"), at_least, compared_shingle, shingle, seed, id_col, text_col)
+    if at_least is None:
+        rows = written(fingerprints(docs, shingle, seed, id_col, text_col).withColumn("node", F.col("fp")), "fingerprints")
+        edges = links(rows.select("fp").distinct(), limit, bucket_rows)
+    else:
+        rows = written(described(docs, shingle, seed, id_col, text_col), "fingerprints")
+        nodes = written(rows.select("fp", "node").distinct(), "distinct-fingerprints")
+        tried = written(links(nodes, limit, bucket_rows, nearest_first=True).distinct(), "fingerprint-pairs")
+        joined = written(alike(docs, rows, tried, at_least, compared_shingle, id_col, text_col), "alike")
+        star = stars(joined, "alike-links").select(F.col("a").alias("node"), F.col("b").alias("label"))
+        labelled = nodes.join(star, "node", "left").select("fp", "node", F.coalesce("label", "node").alias("label"))
+        rest = written(links(labelled, limit, bucket_rows).distinct().join(tried, ["a", "b"], "left_anti"), "other-pairs")
+        edges = joined.unionByName(alike(docs, rows, rest, at_least, compared_shingle, id_col, text_col))
+    nodes = written(rows.groupBy("node").agg(F.min("doc_id").alias("least")), "distinct-nodes")
     star = stars(edges, "fingerprint-links")
-    member = star.select(F.col("a").alias("fp"), F.col("b").alias("root")).unionByName(star.select(F.col("b").alias("fp"), F.col("b").alias("root")).distinct())
-    member = member.join(fps, "fp")
-    component = member.join(member.groupBy("root").agg(F.min("least").alias("component")), "root").select("fp", "component")
-    known = fps.join(component, "fp", "left").select("fp", F.coalesce("component", "least").alias("component_id"))
-    out = rows.join(known, "fp")
+    member = star.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(star.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+    member = member.join(nodes, "node")
+    component = member.join(member.groupBy("root").agg(F.min("least").alias("component")), "root").select("node", "component")
+    known = nodes.join(component, "node", "left").select("node", F.coalesce("component", "least").alias("component_id"))
+    out = rows.join(known, "node")
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

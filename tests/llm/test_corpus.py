@@ -261,6 +261,46 @@ def test_near_copies_are_compared(spark, docs, none):
     assert simhash.near_duplicates(docs, limit=12, at_least=0.8).count() == docs.count()
 
 
+def detours(rng, groups):
+    """Threes of texts: the first two are alike, and the third, whose passages stand in another order, is nearer to both in bits, but like neither."""
+    rows = []
+    while len(rows) < 3 * groups:
+        w = ["".join(rng.choices("abcdefgh", k=5)) for _ in range(198)]
+        a, b = " ".join(w), " ".join([*w[:-18], *(f"z{x}" for x in w[-18:])])
+        passages = [w[i : i + 18] for i in range(0, 198, 18)]
+        rng.shuffle(passages)
+        c = " ".join(sum(passages, []))
+        ab, ac, bc = ((fingerprint(x) ^ fingerprint(y)).bit_count() for x, y in ((a, b), (a, c), (b, c)))
+        if max(ac, bc) < ab <= 12 and min(ac, bc) > 0 and jaccard(a, b) >= 0.8 > max(jaccard(a, c), jaccard(b, c)):
+            rows += [(len(rows) + i, s) for i, s in enumerate((a, b, c))]
+    return rows
+
+
+@pytest.mark.parametrize("bucket_rows", [16384, 3])
+def test_every_candidate_is_compared(spark, bucket_rows):
+    import random
+
+    rows = detours(random.Random(6), 8)
+    text = dict(rows)
+    sets = {k: (lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)})(t.split()) for k, t in rows}
+    fps = {k: fingerprint(t) for k, t in rows}
+    root = {k: k for k in text}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in text:
+        for j in text:
+            if i < j and (fps[i] ^ fps[j]).bit_count() <= 12 and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    assert len(set(fps.values())) == len(fps)
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), limit=12, at_least=0.8, bucket_rows=bucket_rows).collect()}
+    assert got == {k: find(k) for k in text}
+
+
 @given(st.integers(0, 5), st.integers(2, 10**9))
 @settings(max_examples=20, deadline=None)
 def test_plan_keeps_the_pigeonhole(limit, total):
