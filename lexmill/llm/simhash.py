@@ -327,14 +327,18 @@ def shingle_sets(text: pa.Array, shingle: int) -> list[np.ndarray]:
     return out
 
 
-def described(docs: DataFrame, shingle: int, seed: int, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, fp, node, text_hash) for each row of docs: what stands for its text in comparisons is the node."""
+def described(docs: DataFrame, shingle: int, compared_shingle: int, seed: int, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, fp, node, text_hash) for each row of docs: the node is the hash of the set of its shingles of compared_shingle words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker_cache("simhash")
         for batch in slices(batches, "t", 1 << 20):
             fp = pa.array(fingerprints_of(batch.column("t"), shingle, seed).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column("k"), fp, fp, batch.column("h")], ["doc_id", "fp", "node", "text_hash"])
+            sets = shingle_sets(batch.column("t"), compared_shingle)
+            end = np.cumsum([8 * len(x) for x in sets], dtype=np.int64)
+            start = end - np.array([8 * len(x) for x in sets], np.int64)
+            node = xxh64(np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.uint8), start, end, seed)
+            yield pa.RecordBatch.from_arrays([batch.column("k"), fp, pa.array(node.view(np.int64)), batch.column("h")], ["doc_id", "fp", "node", "text_hash"])
 
     return docs.selectExpr(f"cast(`{id_col}` as long) as k", f"`{text_col}` as t", f"xxhash64(coalesce(`{text_col}`, '')) as h").mapInArrow(run, "doc_id long, fp long, node long, text_hash long")
 
@@ -377,7 +381,8 @@ def near_duplicates(docs: DataFrame, limit: int = 3, shingle: int = 3, seed: int
     Fingerprints link at `limit` or fewer differing bits. With at_least, a link counts only if the texts'
     shingles of compared_shingle words are alike by so much (Jaccard). First the links of spanning forests of least
     distances are compared, which joins crowds of copies at a linear number of comparisons; then every link between
-    texts that aren't joined yet, so none is lost. Texts of one fingerprint count as alike. A to Z are lower-cased; words are
+    texts that aren't joined yet, so none is lost. Texts of equal shingle sets are alike; texts of
+    one fingerprint are compared like any others. A to Z are lower-cased; words are
     `[^\\x20\\x09-\\x0D]+`; a text of fewer words than a shingle is one shingle, and one without words (or
     null) has fingerprint 0, linked like any other. A null id is reached but never the least unless no row
     of the component has an id. Repeated rows are in the same component; an empty table gives an empty
@@ -387,7 +392,7 @@ def near_duplicates(docs: DataFrame, limit: int = 3, shingle: int = 3, seed: int
         rows = written(fingerprints(docs, shingle, seed, id_col, text_col).withColumn("node", F.col("fp")), "fingerprints")
         edges = links(rows.select("fp").distinct(), limit, bucket_rows)
     else:
-        rows = written(described(docs, shingle, seed, id_col, text_col), "fingerprints")
+        rows = written(described(docs, shingle, compared_shingle, seed, id_col, text_col), "fingerprints")
         nodes = written(rows.select("fp", "node").distinct(), "distinct-fingerprints")
         tried = written(links(nodes, limit, bucket_rows, nearest_first=True).distinct(), "fingerprint-pairs")
         joined = written(alike(docs, rows, tried, at_least, compared_shingle, id_col, text_col), "alike")

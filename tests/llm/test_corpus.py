@@ -301,6 +301,21 @@ def test_every_candidate_is_compared(spark, bucket_rows):
     assert got == {k: find(k) for k in text}
 
 
+@pytest.mark.parametrize("bucket_rows", [16384, 3])
+def test_equal_fingerprints_are_compared(spark, bucket_rows):
+    import random
+
+    rng = random.Random(9)
+    other = [["".join(rng.choices("abcdefgh", k=5)) for _ in range(60)] for _ in range(4)]
+    rows = [(i, " ".join(["na"] * 120 + w)) for i, w in enumerate(other)]
+    rows += [(10 + i, " ".join(["na"] * 130 + w)) for i, w in enumerate(other)]  # the same set of shingles
+    rows += [(20 + i, " ".join(["na"] * 120 + w[:-1] + ["z"])) for i, w in enumerate(other)]
+    rows += [(None, rows[0][1])]
+    assert len({fingerprint(t) for _, t in rows}) == 1
+    got = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), limit=12, at_least=0.8, bucket_rows=bucket_rows).collect()
+    assert sorted((-1 if r.doc_id is None else r.doc_id, r.component_id) for r in got) == sorted((-1 if k is None else k, (k or 0) % 10) for k, _ in rows)
+
+
 @given(st.integers(0, 5), st.integers(2, 10**9))
 @settings(max_examples=20, deadline=None)
 def test_plan_keeps_the_pigeonhole(limit, total):
