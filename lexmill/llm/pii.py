@@ -8,8 +8,9 @@ A term discloses an entity (a protected value such as one e-mail address) if its
 what the entity's own occurrence would: with the information content IC(e) = log2(N / df(e)) and the
 pointwise mutual information PMI(t; e) = log2(N * df(t, e) / (df(t) * df(e))) over the documents of the
 corpus, PMI(t; e) / IC(e) is 1 if the term is never met without the entity, and 0 if they are
-independent. Terms are taken from the surroundings of the entity's mentions and must be met there in
-several different surroundings, so that copies of one text prove nothing.
+independent. Terms are words of whole documents that mention the entity, base spans being separators, and
+must be met with it in several different surroundings, so that copies of one text prove nothing. What
+discloses an entity is marked wherever it stands in the corpus.
 """
 
 from __future__ import annotations
@@ -74,32 +75,36 @@ def _row_key(id_col: str) -> Column:
     return F.struct(F.xxhash64(F.col(f"`{id_col}`").cast("string"), F.col("t")).alias("a"), F.length("t").alias("b"))
 
 
+_CUT = """case when size(spans) = 0 then t else aggregate(array_sort(transform(spans, x -> struct(x.s as s, x.e as e))), named_struct('at', 0, 'out', ''), (a, x) ->
+    if(x.e <= a.at, a, named_struct('at', x.e, 'out', concat(a.out, substring(t, a.at + 1, greatest(0, x.s - a.at)), repeat(' ', x.e - greatest(x.s, a.at))))),
+    a -> concat(a.out, substring(t, a.at + 1))) end"""
+_WORD = _quoted(r"[^\x20\x09-\x0D]+")
+
+
+def cut_at_spans(spanned: DataFrame) -> DataFrame:
+    """spanned with `cut`: t with blanks for base spans, so that words end there and offsets hold."""
+    return spanned.withColumn("cut", F.expr(_CUT))
+
+
 def mentions(spanned: DataFrame, around: int) -> DataFrame:
-    """(row, entity, left_at, left, right_at, right) for each base span: whole words within `around` code points."""
-    m = spanned.where("size(spans) > 0").select("row", "t", "spans", F.explode("spans").alias("x"))
+    """(row, entity, surroundings, words) for each base span: whole words within `around` code points, and the hash of what is there."""
+    m = cut_at_spans(spanned.where("size(spans) > 0")).select("row", "t", "cut", F.explode("spans").alias("x"))
     m = m.withColumn("entity", F.expr(_ENTITY))
     m = m.withColumn("left_at", F.greatest(F.lit(0), F.col("x.s") - around)).withColumn("right_at", F.col("x.e"))
-    m = m.withColumn("left", F.expr("substring(t, left_at + 1, x.s - left_at)")).withColumn("right", F.expr(f"substring(t, right_at + 1, {around})"))
-    # words that the window cuts are left out: blanked, so that offsets hold
-    m = m.withColumn("left", F.expr(r"case when left_at > 0 then concat(repeat(' ', length(regexp_extract(left, r'^[^\x20\x09-\x0D]+', 0))), regexp_replace(left, r'^[^\x20\x09-\x0D]+', '')) else left end"))
-    m = m.withColumn("right", F.expr(rf"case when length(t) > right_at + {around} then regexp_replace(right, r'[^\x20\x09-\x0D]+$', '') else right end"))
-    return m.select("row", "entity", "spans", "left_at", "left", "right_at", "right")
+    sides = []
+    for text in ("t", "cut"):
+        m = m.withColumn(f"{text}_left", F.expr(f"substring({text}, left_at + 1, x.s - left_at)")).withColumn(f"{text}_right", F.expr(f"substring({text}, right_at + 1, {around})"))
+        # words that the window cuts are left out: blanked, so that offsets hold
+        m = m.withColumn(f"{text}_left", F.expr(rf"case when left_at > 0 then concat(repeat(' ', length(regexp_extract({text}_left, r'^[^\x20\x09-\x0D]+', 0))), regexp_replace({text}_left, r'^[^\x20\x09-\x0D]+', '')) else {text}_left end"))
+        m = m.withColumn(f"{text}_right", F.expr(rf"case when length(t) > right_at + {around} then regexp_replace({text}_right, r'[^\x20\x09-\x0D]+$', '') else {text}_right end"))
+        sides += [f"{text}_left", f"{text}_right"]
+    return m.select("row", "entity", F.xxhash64(*sides[:2]).alias("surroundings"), terms_of(F.concat_ws(" ", *sides[2:])).alias("words"))
 
 
-def nearby_terms(found: DataFrame) -> DataFrame:
-    """(row, entity, surroundings, term, s, e) for each word around a mention that is no base span itself."""
-    word = _quoted(r"[^\x20\x09-\x0D]+")
-    sides = []
-    for side in ("left", "right"):
-        m = found.withColumn("surroundings", F.xxhash64("left", "right"))
-        m = m.withColumn("w", F.expr(f"regexp_extract_all({side}, {word}, 0)")).where("size(w) > 0").withColumn("g", F.expr(f"split({side}, {word}, -1)"))
-        m = m.select("row", "entity", "spans", "surroundings", F.col(f"{side}_at").alias("at"), F.explode(F.expr(_placed("w", "g"))).alias("x"))
-        sides.append(m)
-    m = sides[0].unionByName(sides[1]).withColumn("s", F.col("at") + F.col("x.s")).withColumn("e", F.col("at") + F.col("x.e"))
-    m = m.where(~F.expr("exists(spans, y -> y.s < e and s < y.e)"))
-    m = m.withColumn("term", term_of("x.v")).where("term <> ''")
-    lead = F.length("x.v") - F.length(F.expr(f"trim(leading {_quoted(_EDGES)} from x.v)"))
-    return m.select("row", "entity", "surroundings", "term", (F.col("s") + lead).alias("s"), (F.col("s") + lead + F.length("term")).alias("e"))
+def terms_of(text: Column) -> Column:
+    """The distinct words of a text, without edges and in lower case."""
+    words = F.split(F.translate(text, "\t\n\x0b\x0c\r", "     "), " ")
+    return F.array_distinct(F.transform(words, lambda w: F.lower(F.btrim(w, F.lit(_EDGES)))))
 
 
 def term_of(column: str) -> Column:
@@ -110,41 +115,62 @@ def document_frequencies(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """(term, df) over all rows of docs (column t): counted in each task first, so that a word costs a row a task, then joined."""
     if not terms.limit(1).count():
         return terms.select("term", F.lit(0).cast("long").alias("df"))
-    spaced = F.translate("t", "\t\n\x0b\x0c\r", "     ")
     # a word may stand in a text with different edges: of these, one counts
-    words = docs.select(F.explode(F.array_distinct(F.transform(F.split(spaced, " "), lambda w: F.lower(F.btrim(w, F.lit(_EDGES)))))).alias("term"))
+    words = docs.select(F.explode(terms_of(F.col("t"))).alias("term"))
     # an inner join with distinct terms: the optimiser would move a semi-join below the counts, to single words
     return words.groupBy("term").agg(F.count("*").alias("df")).join(terms.distinct(), "term")
 
 
-def disclosing(docs: DataFrame, near: DataFrame, spanned: DataFrame, rows: int, least_surroundings: int, generalise_at: float, remove_at: float) -> DataFrame:
-    """(entity, term, action): the terms whose PMI with an entity is at least generalise_at of its information content.
+def disclosing(base: DataFrame, around: int, least_surroundings: int, generalise_at: float, remove_at: float) -> DataFrame:
+    """(entity, term, disclosure, action): the terms whose PMI with an entity is at least generalise_at of its information content.
 
-    A term is in at least as many documents as it is in near mentions. Where that alone rules it out, as
-    for all common words, its frequency in the corpus isn't asked for.
+    base has the rows of all documents (row, t, spans). A term is in at least as many documents as it is in
+    those that mention such entities. Where that alone rules it out, as for all common words, its frequency in
+    the corpus isn't asked for.
     """
+    found = written(mentions(base, around), "pii-mentions")
+    per_row = found.groupBy("row", "entity").agg(F.xxhash64(F.sort_array(F.collect_set("surroundings"))).alias("kind"))
+    often = found.groupBy("entity").agg(F.countDistinct("surroundings").alias("n")).where(F.col("n") >= least_surroundings).select("entity")
+    texts = base.where("size(spans) > 0").dropDuplicates(["row"]).select("row", "t", "spans")
+    within = cut_at_spans(texts.join(per_row.join(often, "entity").groupBy("row").agg(F.collect_list(F.struct("entity", "kind")).alias("entities")), "row"))
+    words = written(within.select("row", "entities", F.explode(terms_of(F.col("cut"))).alias("term")).where("term <> ''"), "pii-terms")
+    near = found.select("entity", "surroundings", F.explode("words").alias("term")).where("term <> ''").groupBy("entity", "term").agg(F.countDistinct("surroundings").alias("near_kinds"))
     joint = (
-        near.groupBy("entity", "term", "surroundings", "row").agg(F.lit(1).alias("one"))
-        .groupBy("entity", "term").agg(F.countDistinct("surroundings").alias("kinds"), F.countDistinct("row").alias("joint"))
-        .where(F.col("kinds") >= least_surroundings)
+        words.select("term", F.explode("entities").alias("x")).groupBy("term", F.col("x.entity").alias("entity")).agg(F.countDistinct("x.kind").alias("kinds"), F.count("*").alias("joint"))
+        .join(near.where(F.col("near_kinds") >= least_surroundings), ["entity", "term"], "left")
+        .where((F.col("kinds") >= least_surroundings) | F.col("near_kinds").isNotNull())
     )
-    total = F.lit(float(rows))
-    entities = spanned.select("row", F.explode("spans").alias("x")).select("row", F.expr(_ENTITY).alias("entity")).distinct().groupBy("entity").agg(F.count("*").alias("entity_df"))
-    at_least = near.select("term", "row").distinct().groupBy("term").agg(F.count("*").alias("least_df"))
+    total = F.lit(float(base.count()))
+    entities = per_row.groupBy("entity").agg(F.count("*").alias("entity_df"))
+    at_least = words.groupBy("term").agg(F.count("*").alias("least_df"))
     disclosure = lambda df: F.log2(total * F.col("joint") / F.col(df) / F.col("entity_df")) / F.col("ic")
     known = joint.join(entities, "entity").withColumn("ic", F.log2(total / F.col("entity_df"))).where("ic > 0")
     possible = written(known.join(at_least, "term").where(disclosure("least_df") >= generalise_at).drop("least_df"), "pii-joint")
-    df = document_frequencies(docs, possible.select("term").distinct())
+    df = document_frequencies(base.select("t"), possible.select("term").distinct())
     scored = possible.join(df, "term").withColumn("disclosure", disclosure("df"))
     return scored.where(F.col("disclosure") >= generalise_at).select("entity", "term", "disclosure", F.when(F.col("disclosure") >= remove_at, "remove").otherwise("generalise").alias("action"))
 
 
-def term_spans(docs: DataFrame, spanned: DataFrame, around: int = 80, least_surroundings: int = 3, generalise_at: float = 0.8, remove_at: float = 0.97) -> DataFrame:
-    """(row, terms): by row of spanned (row, t, spans), the disclosing terms' spans (s, e, action) around mentions of what they disclose."""
-    near = written(nearby_terms(mentions(spanned, around)), "pii-terms")
-    terms = disclosing(docs, near, spanned, docs.count(), least_surroundings, generalise_at, remove_at)
-    hit = near.join(terms, ["entity", "term"]).select("row", "s", "e", "action").groupBy("row", "s", "e").agg(F.max("action").alias("action"))
-    return hit.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("s", "e", "action"))).alias("terms"))
+#: Where the words w, with the pieces g between them, are among the keys of chosen.
+_OCCURRENCES = f"""aggregate(sequence(0, size(w) - 1), named_struct('at', 0, 'out', cast(array() as array<struct<s:int,e:int,action:string>>)),
+    (a, i) -> named_struct('at', a.at + length(g[i]) + length(w[i]), 'out',
+        case when element_at(chosen, lower(trim(both {_quoted(_EDGES)} from w[i]))) is null then a.out
+             else array_append(a.out, named_struct('s', a.at + length(g[i]) + length(w[i]) - length(trim(leading {_quoted(_EDGES)} from w[i])),
+                 'e', a.at + length(g[i]) + length(w[i]) - length(trim(leading {_quoted(_EDGES)} from w[i])) + length(trim(both {_quoted(_EDGES)} from w[i])),
+                 'action', element_at(chosen, lower(trim(both {_quoted(_EDGES)} from w[i]))))) end),
+    a -> a.out)"""
+
+
+def with_terms(base: DataFrame, around: int = 80, least_surroundings: int = 3, generalise_at: float = 0.8, remove_at: float = 0.97) -> DataFrame:
+    """base (row, t, spans and more, all documents) with `terms`: spans (s, e, action) of every occurrence of a disclosing term."""
+    terms = disclosing(base, around, least_surroundings, generalise_at, remove_at)
+    terms = written(terms.groupBy("term").agg(F.max("action").alias("action")), "pii-disclosing")
+    words = cut_at_spans(base).select("row", F.explode(terms_of(F.col("cut"))).alias("term"))
+    met = words.join(terms, "term").distinct().groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("term", "action"))).alias("chosen"))
+    met = written(met, "pii-met")
+    rows = cut_at_spans(base.join(met, "row", "left"))
+    rows = rows.withColumn("w", F.expr(f"case when chosen is not null then regexp_extract_all(cut, {_WORD}, 0) end")).withColumn("g", F.expr(f"case when chosen is not null then split(cut, {_WORD}, -1) end"))
+    return rows.withColumn("terms", F.expr(f"case when chosen is not null then {_OCCURRENCES} else cast(array() as array<struct<s:int,e:int,action:string>>) end")).drop("w", "g", "cut", "chosen")
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", around: int = 80, least_surroundings: int = 3, generalise_at: float = 0.8, remove_at: float = 0.97) -> DataFrame:
@@ -156,13 +182,8 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", around
     """
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("t"))
     spanned = with_spans(rows, F.col("t")).withColumn("row", _row_key("doc_id"))
-    # the text itself is needed around mentions only
-    base = written(spanned.select("doc_id", "row", "spans", F.when(F.size("spans") > 0, F.col("t")).alias("t")), "pii-base")
-    terms = term_spans(rows.withColumn("t", F.coalesce("t", F.lit(""))), base, around, least_surroundings, generalise_at, remove_at)
-    none = F.expr("cast(array() as array<struct<s:int,e:int,action:string>>)")
-    plain = base.where("size(spans) = 0").select("doc_id", "spans", none.alias("terms"))
-    some = base.where("size(spans) > 0").join(terms, "row", "left").select("doc_id", "spans", F.coalesce("terms", none).alias("terms"))
-    out = plain.unionByName(some)
+    base = written(spanned.select("doc_id", "row", "spans", "t"), "pii-base")
+    out = with_terms(base, around, least_surroundings, generalise_at, remove_at)
     joined = F.expr("array_join(transform(spans, x -> concat_ws(':', x.kind, x.s, x.e)), ',')")
     all_spans = F.expr("array_join(concat(transform(spans, x -> concat_ws(':', x.kind, x.s, x.e)), transform(terms, x -> concat_ws(':', 'term', x.s, x.e))), ',')")
     counts = [F.expr(f"cast(size(filter(spans, x -> x.kind = '{k}')) as long)").alias(f"n_{k}") for k in KINDS]
@@ -186,13 +207,13 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ar
     columns = docs.columns
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_all"))  # so that no column clashes with one of ours
     rows = with_spans(packed, F.col(f"_all.`{text_col}`")).withColumn("row", F.struct(F.xxhash64(F.col(f"_all.`{id_col}`").cast("string"), F.col("t")).alias("a"), F.length("t").alias("b")))
-    base = written(rows.where("size(spans) > 0").select("row", "spans", "t").dropDuplicates(["row"]), "pii-base")
-    terms = term_spans(packed.select(F.coalesce(F.col(f"_all.`{text_col}`"), F.lit("")).alias("t")), base, around, least_surroundings, generalise_at, remove_at)
-    some = rows.where("size(spans) > 0").join(terms, "row", "left")
+    base = written(rows.select("_all", "row", "spans", "t"), "pii-base")
+    out = with_terms(base, around, least_surroundings, generalise_at, remove_at)
+    some = out.where("size(spans) + size(terms) > 0")
     some = some.withColumn("cuts", F.expr("""array_sort(concat(
         transform(spans, x -> named_struct('s', x.s, 'e', x.e, 'label', concat('[', upper(x.kind), ']'))),
         coalesce(transform(terms, x -> named_struct('s', x.s, 'e', x.e, 'label', case when x.action = 'remove' then '' when rlike(substring(t, x.s + 1, x.e - x.s), '[0-9]') then '[NUMBER]' else '[TERM]' end)),
                  cast(array() as array<struct<s:int,e:int,label:string>>))))"""))
     some = some.withColumn("cuts", F.expr(_MERGED)).withColumn("new", F.expr(_REBUILT))
-    rebuilt = rows.where("size(spans) = 0").select("_all", F.col(f"_all.`{text_col}`").alias("new")).unionByName(some.select("_all", "new"))
+    rebuilt = out.where("size(spans) + size(terms) = 0").select("_all", F.col(f"_all.`{text_col}`").alias("new")).unionByName(some.select("_all", "new"))
     return rebuilt.select(*[F.col("new").alias(c) if c == text_col else F.col(f"_all.`{c}`").alias(c) for c in columns])

@@ -76,6 +76,21 @@ def test_terms_that_disclose(spark):
     assert all(w in ("Zorblatt", "then") for _, w in found)
 
 
+def test_terms_are_marked_everywhere(spark):
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(300)]
+    some = lambda n: " ".join(rng.choices(words, k=n))
+    texts = [some(40) for _ in range(400)]
+    for i in range(0, 400, 20):
+        texts[i] = f"{some(9)} Zorblatt, {some(9)} zz@corp.com {some(60)} ZORBLATT! {some(60)} (quixlorp) {some(5)}"
+    texts[7] += " zorblatt again"
+    got = check(spark, texts)
+    marked = {(k, m.start()) for k, r in got.items() for m in re.finditer("zorblatt|quixlorp", texts[k].lower())}
+    assert {(k, int(s.split(":")[1])) for k, r in got.items() for s in r.spans.split(",") if s.startswith("term")} == marked and len(marked) == 61
+    out = pii.sanitise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert not any(re.search("(?i)zorblatt|quixlorp", r.text) for r in out) and len(out) == 400
+
+
 def test_copies_prove_nothing(spark):
     text = "Only here: Quixlorp wrote from zz@corp.com about blumgarten matters"
     got = check(spark, [text] * 30 + ["other words entirely"] * 30)
