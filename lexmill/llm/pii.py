@@ -146,7 +146,7 @@ def disclosing(base: DataFrame, around: int, least_surroundings: int, generalise
     disclosure = lambda df: F.log2(total * F.col("joint") / F.col(df) / F.col("entity_df")) / F.col("ic")
     known = joint.join(entities, "entity").withColumn("ic", F.log2(total / F.col("entity_df"))).where("ic > 0")
     possible = written(known.join(at_least, "term").where(disclosure("least_df") >= generalise_at).drop("least_df"), "pii-joint")
-    df = document_frequencies(base.select("t"), possible.select("term").distinct())
+    df = document_frequencies(cut_at_spans(base).select(F.col("cut").alias("t")), possible.select("term").distinct())
     scored = possible.join(df, "term").withColumn("disclosure", disclosure("df"))
     return scored.where(F.col("disclosure") >= generalise_at).select("entity", "term", "disclosure", F.when(F.col("disclosure") >= remove_at, "remove").otherwise("generalise").alias("action"))
 

@@ -91,6 +91,14 @@ def test_terms_are_marked_everywhere(spark):
     assert not any(re.search("(?i)zorblatt|quixlorp", r.text) for r in out) and len(out) == 400
 
 
+def test_terms_against_an_entity(spark):
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(300)]
+    texts = [" ".join(rng.choices(words, k=40)) + (f" {rng.choice(words)} Zorblatt<zz@corp.com> {rng.choice(words)}" if i % 20 == 0 else "") for i in range(400)]
+    got = check(spark, texts)
+    assert {k: texts[k][int(s.split(":")[1]) : int(s.split(":")[2])] for k, r in got.items() for s in r.spans.split(",") if s.startswith("term")} == {k: "Zorblatt" for k in range(0, 400, 20)}
+
+
 def test_copies_prove_nothing(spark):
     text = "Only here: Quixlorp wrote from zz@corp.com about blumgarten matters"
     got = check(spark, [text] * 30 + ["other words entirely"] * 30)
