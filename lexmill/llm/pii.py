@@ -168,9 +168,11 @@ def with_terms(base: DataFrame, around: int = 80, least_surroundings: int = 3, g
     words = cut_at_spans(base).select("row", F.explode(terms_of(F.col("cut"))).alias("term"))
     met = words.join(terms, "term").distinct().groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("term", "action"))).alias("chosen"))
     met = written(met, "pii-met")
-    rows = cut_at_spans(base.join(met, "row", "left"))
-    rows = rows.withColumn("w", F.expr(f"case when chosen is not null then regexp_extract_all(cut, {_WORD}, 0) end")).withColumn("g", F.expr(f"case when chosen is not null then split(cut, {_WORD}, -1) end"))
-    return rows.withColumn("terms", F.expr(f"case when chosen is not null then {_OCCURRENCES} else cast(array() as array<struct<s:int,e:int,action:string>>) end")).drop("w", "g", "cut", "chosen")
+    # written, so that no word's turn splits its text again
+    pieces = cut_at_spans(base.join(met, "row")).select("row", "chosen", F.expr(f"regexp_extract_all(cut, {_WORD}, 0)").alias("w"), F.expr(f"split(cut, {_WORD}, -1)").alias("g"))
+    placed = written(written(pieces, "pii-words").where("size(w) > 0").select("row", F.expr(_OCCURRENCES).alias("terms")).dropDuplicates(["row"]), "pii-spans")
+    none = F.expr("cast(array() as array<struct<s:int,e:int,action:string>>)")
+    return base.join(placed, "row", "left").withColumn("terms", F.coalesce("terms", none))
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", around: int = 80, least_surroundings: int = 3, generalise_at: float = 0.8, remove_at: float = 0.97) -> DataFrame:
