@@ -81,11 +81,12 @@ class Trie(dict):
                 start = i + 1
 
 
-def prefixes(texts: DataFrame, keys: DataFrame, text_col: str = "text", key_col: str = "key", longest: int = 64) -> DataFrame:
-    """texts with each key (up to `longest` characters) that its text begins with: an equi-join on the text's prefixes."""
-    cut = texts.withColumn("_n", F.explode(F.sequence(F.lit(1), F.least(F.length(text_col), F.lit(longest))))).where(F.length(text_col) > 0).withColumn("prefix", F.expr(f"substring(`{text_col}`, 1, _n)"))
-    distinct = keys.select(F.col(key_col).alias("prefix")).where(F.length("prefix") <= longest).distinct()
-    return cut.join(distinct, "prefix").drop("_n")
+def prefixes(texts: DataFrame, keys: DataFrame, text_col: str = "text", key_col: str = "key") -> DataFrame:
+    """texts with each key that its text begins with: an equi-join on the text's prefixes, up to the length of the longest key."""
+    distinct = keys.select(F.col(key_col).alias("prefix")).where(F.length("prefix") > 0).distinct()
+    longest = keys.agg(F.max(F.length(key_col)).alias("_longest"))
+    cut = texts.where(F.length(text_col) > 0).join(F.broadcast(longest)).withColumn("_n", F.explode(F.sequence(F.lit(1), F.least(F.length(text_col), F.greatest("_longest", F.lit(1)))))).withColumn("prefix", F.expr(f"substring(`{text_col}`, 1, _n)"))
+    return cut.join(distinct, "prefix").drop("_n", "_longest")
 
 
 def maximum_matches(docs: DataFrame, keys: list[str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -50,3 +50,10 @@ def test_table(spark):
     assert [(r.doc_id, r.step, r.start, r.end, r.matched) for r in maximum_matches(docs, ["ab"]).collect()] == [(1, 0, 0, 1, False), (1, 1, 1, 3, True)]
     lines = spark.createDataFrame([("b x",), ("  a",), ("",), ("b",)], "value string")
     assert [r.word for r in word_list(lines).collect()] == ["a", "b"]
+
+
+def test_long_prefixes(spark):
+    texts = spark.createDataFrame([("a" * 90,), ("b",), ("",), (None,)], "text string")
+    keys = spark.createDataFrame([("a" * 80,), ("a",), ("b",), ("",), (None,)], "key string")
+    assert sorted(r.prefix for r in prefixes(texts, keys).collect()) == ["a", "a" * 80, "b"]
+    assert prefixes(texts, keys.limit(0)).count() == 0
