@@ -118,3 +118,43 @@ def test_assignment_leaves_less_than_a_sequence(lengths):
 def test_assignment_balances_cost():
     placed = packing.assign(np.array([60, 30, 30, 4, 4]), 64, 1.0, 1 / 64)
     assert [k for _, _, _, k in placed] == [0, 1, 1, 1, 0] or len({k for *_, k in placed}) == 2
+    # brute force: each piece goes to the cheapest sequence that has room, longest first
+    rng = np.random.default_rng(3)
+    lengths = rng.integers(1, 33, 200)
+    room, cost = [64] * -(-int(lengths.sum()) // 64), [0.0] * -(-int(lengths.sum()) // 64)
+    for item, start, n, k in packing.assign(lengths, 64, 1.0, 1 / 64):
+        left = int(lengths[item]) - start
+        fits = [i for i, r in enumerate(room) if r >= left]
+        if fits:
+            assert n == left and cost[k] == min(cost[i] for i in fits)
+        else:
+            assert room[k] == max(room) == n
+        room[k] -= n
+        cost[k] += n + n * n / 64
+
+
+@pytest.fixture(scope="module")
+def whole():
+    return packing.TextIds(JSON)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.one_of(st.text(max_size=80), st.text("ab 's\n\t.,'é😀漢1<|>", max_size=80)))
+def test_ids_are_those_of_tokenizers(whole, text):
+    assert whole.fast is not None
+    assert np.frombuffer(whole.ids(text), "<u4").tolist() == whole.tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_ids_of_odd_texts(whole):
+    for text in ("<|endoftext|>", "x" * 30_000, " \n" * 6_000 + "end", "a" + "\u3000" * 12_000, "word " * 20_000):
+        assert np.frombuffer(whole.ids(text), "<u4").tolist() == whole.tokenizer.encode(text, add_special_tokens=False).ids
+    assert len(whole.ids(" " * 1_000_000)) > 0
+    assert packing.as_tiktoken(P.path("word_bpe_49k.json")) is None
+    other = packing.TextIds(P.path("word_bpe_49k.json"))
+    assert np.frombuffer(other.ids("Some words"), "<u4").tolist() == other.tokenizer.encode("Some words", add_special_tokens=False).ids
+
+
+def test_packing_of_null_ids(spark, docs, texts):
+    rows = packing.pack(docs.where("doc_id is null"), JSON).collect()
+    want = sorted(len(Tokenizer.from_file(JSON).encode(t or "", add_special_tokens=False).ids) + 1 for k, t in texts if k is None)
+    assert all(r.doc_id is None for r in rows) and sorted(r.doc_tokens for r in rows if r.start == 0) == want
