@@ -1,7 +1,7 @@
 """Whole texts as numpy arrays: word bounds and 64-bit word hashes without a Python loop.
 
-A word is a maximal run of bytes that a 256-entry table does not map to 0. Hashes are polynomial
-sums over random byte values, modulo 2**64, finalised by a bijective mix.
+A word is a maximal run of bytes that a 256-entry table does not map to 0. Its hash is the XXH64 of the
+bytes that the table maps it to.
 """
 
 from __future__ import annotations
@@ -13,6 +13,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
+from lexmill.llm.xxh64 import xxh64
+
 SEGMENT = 1 << 20
 SPACES = b" \t\n\x0b\x0c\r"
 
@@ -30,10 +32,6 @@ def worker_cache(owner: str = "") -> dict:
     return held.setdefault(f"of {owner}", {})
 
 
-def powers_cache() -> dict:
-    return sys.modules.setdefault("_lexmill_powers", types.ModuleType("_lexmill_powers")).__dict__
-
-
 def plain_table() -> np.ndarray:
     """Words `[^\\x20\\x09-\\x0D]+`, bytes unchanged (0 separates; byte 0 itself stands as 256)."""
     t = np.arange(256, dtype=np.uint16)
@@ -63,37 +61,27 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def powers(n: int, base: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i modulo 2**64 for i < n; base is odd."""
-    cache = powers_cache()
-    got = cache.get(("powers", base))
-    if got is None or len(got[0]) < n:
-        size = 1 << (n - 1).bit_length()
-        both = []
-        for b in (base, pow(base, -1, 1 << 64)):
-            p = np.full(size, b, np.uint64)
-            p[0] = 1
-            both.append(np.cumprod(p, dtype=np.uint64))
-        got = cache["powers", base] = tuple(both)
-    return got[0][:n], got[1][:n]
-
-
-def span_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int) -> np.ndarray:
-    """Hash of values[start:end] for each span."""
-    up, down = powers(len(values) + 1, base)
-    sums = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * up[:-1], dtype=np.uint64, out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+_STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
-_BYTE_VALUES = np.random.default_rng(20240607).integers(1, 1 << 63, 257, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BASE = 0x9E3779B97F4A7C15
+def chained(hashes: np.ndarray, at: np.ndarray, length: np.ndarray | int) -> np.ndarray:
+    """Hash of hashes[i : i + length] for each i of at: each step mixes what is there with the next, so that no sum of differences cancels."""
+    length = np.broadcast_to(np.asarray(length, np.int64), at.shape)
+    h = length.astype(np.uint64)
+    for k in range(int(length.max(initial=0))):
+        on = length > k
+        if on.all():
+            h = mix(h * _STEP + hashes[at + k])
+        else:
+            h[on] = mix(h[on] * _STEP + hashes[at[on] + k])
+    return h
 
 
 def words(buf: np.ndarray, doc_starts: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts, ends (byte offsets in buf) and hashes of all words; words never cross doc_starts."""
     out_s, out_e, out_h = [], [], []
     n, at = len(buf), 0
+    written_as = table.astype(np.uint8)
     cuts = np.unique(np.append(doc_starts, n))
     while at < n:
         end = min(n, at + SEGMENT)
@@ -108,8 +96,7 @@ def words(buf: np.ndarray, doc_starts: np.ndarray, table: np.ndarray) -> tuple[n
                 sep = np.flatnonzero(table[buf[end:later]] == 0)
                 cut = end + int(sep[0]) if len(sep) else later
             end = cut
-        part = table[buf[at:end]]
-        inside = part != 0
+        inside = table[buf[at:end]] != 0
         first = inside.copy()
         first[1:] &= ~inside[:-1]
         last = inside.copy()
@@ -118,7 +105,7 @@ def words(buf: np.ndarray, doc_starts: np.ndarray, table: np.ndarray) -> tuple[n
         first[here] = inside[here]
         last[here - 1] = inside[here - 1]
         s, e = np.flatnonzero(first), np.flatnonzero(last) + 1
-        out_h.append(span_hash(_BYTE_VALUES[part], s, e, _BASE))
+        out_h.append(xxh64(written_as[buf[at:end]], s, e, 0))
         out_s.append(s + at)
         out_e.append(e + at)
         at = end

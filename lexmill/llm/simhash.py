@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.llm.arrow_text import lower_table, slices, span_hash, text_buffers, words, worker_cache
+from lexmill.llm.arrow_text import chained, lower_table, slices, text_buffers, words, worker_cache
 from lexmill.llm.components import stars
 from lexmill.llm.storage import written
 from lexmill.llm.xxh64 import xxh64
@@ -312,9 +312,6 @@ def links(fps: DataFrame, limit: int, bucket_rows: int = 16384, nearest_first: b
     return cells.repartition("g", "v", "x", "y").sortWithinPartitions("g", "v", "x", "y").mapInArrow(compare, "a long, b long")
 
 
-_SHINGLE_BASE = 0xC2B2AE3D27D4EB4F
-
-
 def shingle_sets(text: pa.Array, shingle: int) -> list[np.ndarray]:
     """The distinct hashed shingles of each text, in order; a text of fewer words is one shingle, one of none has none."""
     buf, offsets = text_buffers(text)
@@ -323,7 +320,7 @@ def shingle_sets(text: pa.Array, shingle: int) -> list[np.ndarray]:
     out = []
     for first, n in zip((np.cumsum(count) - count).tolist(), count.tolist()):
         at = first + np.arange(max(n - shingle + 1, min(n, 1)))
-        out.append(np.unique(span_hash(h, at, np.minimum(at + shingle, first + n), _SHINGLE_BASE)))
+        out.append(np.unique(chained(h, at, np.minimum(shingle, first + n - at))))
     return out
 
 

@@ -15,14 +15,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from lexmill.llm.arrow_text import plain_table, span_hash, text_buffers, words
+from lexmill.llm.arrow_text import chained, plain_table, text_buffers, words
 from lexmill.llm.exchange import aligned, answered, as_batches, gathered, groups, questions, tasks_for, together
 from lexmill.llm.storage import written
+from lexmill.llm.xxh64 import xxh64
 
 PERIOD = 13
 #: A perfect difference cover modulo 13: each residue is a difference of two of them.
 COVER = (0, 1, 3, 9)
-_ANCHOR_BASE, _BASE_A, _BASE_B = 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB
 _FIRST = np.iinfo(np.int64).min
 
 
@@ -47,7 +47,7 @@ class Batch:
         """Start words, sorted distinct hashes, and which of those each start has."""
         length = self.window - PERIOD + 1
         at = np.flatnonzero(np.isin(np.arange(PERIOD), COVER)[self.position % PERIOD] & (self.left >= length))
-        keys, which = np.unique(span_hash(self.hashes, at, at + length, _ANCHOR_BASE), return_inverse=True)
+        keys, which = np.unique(chained(self.hashes, at, length), return_inverse=True)
         return at, keys, which
 
     def windows(self, seen: np.ndarray) -> Windows:
@@ -65,8 +65,14 @@ class Windows:
     """Windows of a batch, sorted by their words; `least` of equal ones starts first."""
 
     def __init__(self, batch: Batch, at: np.ndarray):
-        a = span_hash(batch.hashes, at, at + batch.window, _BASE_A)
-        b = (span_hash(batch.hashes, at, at + batch.window, _BASE_B) >> np.uint64(32)).astype(np.uint32)
+        cover = np.zeros(len(batch.doc) + 1, np.int32)
+        np.add.at(cover, at, 1)
+        np.add.at(cover, at + batch.window, -1)
+        used = np.flatnonzero(np.cumsum(cover[:-1]))
+        other = np.zeros(len(batch.doc), np.uint64)  # a second hash of the words' bytes, independent of the first
+        other[used] = xxh64(batch.buf, batch.starts[used], batch.ends[used], 1)
+        a = chained(batch.hashes, at, batch.window)
+        b = (chained(other, at, batch.window) >> np.uint64(32)).astype(np.uint32)
         ids, position = batch.ids[batch.doc[at]], batch.position[at]
         order, new = groups(a, b)
         order = np.lexsort((position, ids, b, a))
@@ -141,7 +147,7 @@ def remove_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", te
     A word goes if a window of `window` words over it has the same words as one that starts earlier, that
     is, in a document of smaller id or earlier in the same document. with_text adds kept_text, the text
     without the removed words and the white space behind each; columns named in carry come along. Words
-    are `[^\\x20\\x09-\\x0D]+`, compared as bytes by 96 bits of hash.
+    are `[^\\x20\\x09-\\x0D]+`, compared as bytes by 96 bits of hash, from two independent XXH64 of each word.
 
     Null text counts as empty. Rows of null id count as one document that comes before all others, and
     rows that repeat an id as the same document: of such rows with equal words at equal places neither

@@ -13,7 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from lexmill.llm import bm25, ngram, simhash, substring
-from lexmill.llm.arrow_text import lower_table, plain_table, words
+from lexmill.llm.arrow_text import chained, lower_table, plain_table, words
 from lexmill.llm.components import stars
 from lexmill.llm.xxh64 import xxh64
 
@@ -43,6 +43,44 @@ def test_words(parts):
     assert len(set(low.tolist())) == len({w.translate(LOWER) for w in want})
 
 
+def alternating(n):
+    """n bytes and their complement: sums over powers of an odd base can't tell them apart where n is a power of two from 1024 on."""
+    a = "".join("ab"[i.bit_count() % 2] for i in range(n))
+    return a, a.translate(str.maketrans("ab", "ba"))
+
+
+def test_words_of_alternating_parity():
+    data = [x.encode() for n in (64, 1024, 2048, 4096) for x in alternating(n)]
+    buf = np.frombuffer(b" ".join(data), np.uint8)
+    assert len(set(words(buf, np.array([0]), plain_table())[2].tolist())) == len(data)
+    assert words(buf, np.array([0]), plain_table())[2].tolist() == [xxhash.xxh64_intdigest(d, 0) for d in data]
+    pair = np.array([3, 17], np.uint64)
+    rows = np.stack([pair[[i.bit_count() % 2 for i in range(4096)]], pair[[1 - i.bit_count() % 2 for i in range(4096)]]])
+    assert len(np.unique(chained(rows.ravel(), np.array([0, 4096]), 4096))) == 2
+
+
+def test_long_words_that_occur_once_stay(spark):
+    common = " ".join(f"w{i}" for i in range(19))
+    a, b = alternating(2048)
+    df = spark.createDataFrame([(1, f"{common} {a}"), (2, f"{common} {b}"), (3, f"{common} {a}")], "doc_id long, text string")
+    assert {r.doc_id: r.n_removed for r in substring.remove_repeats(df).collect()} == {1: 0, 2: 0, 3: 20}
+    # held out: document 2 knows neither word that it alone has
+    k = next(i for i in range(1000) if zlib.crc32(str(i).encode()) % 10 == 0)
+    df = spark.createDataFrame([(1 if zlib.crc32(b"1") % 10 else 3, a), (k, b)], "doc_id long, text string")
+    assert {r.doc_id == k: r.n_known for r in ngram.score_texts(df).collect()} == {False: 2, True: 1}
+
+
+def test_very_long_texts(spark):
+    """One of a million words, one of a word of three million letters, beside small ones."""
+    many = " ".join(f"w{i % 50000}x{i // 50000}" for i in range(400_000))
+    rows = [(10, many), (11, "y" * 3_000_000), (12, " ".join(many.split(" ")[1000:1100])), (13, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in substring.remove_repeats(df).collect()}
+    assert (got[10].n_words, got[10].n_removed, got[11].n_words, got[12].n_removed, got[13].n_words) == (400_000, 0, 1, 100, 0)
+    assert {r.doc_id: r.n_tokens for r in ngram.score_texts(df).collect()} == {10: 400_001, 11: 2, 12: 101, 13: 1}
+    assert {r.doc_id: int(r.fingerprint, 16) for r in simhash.near_duplicates(df).collect()} == {k: fingerprint(t) for k, t in rows}
+
+
 def training(texts):
     return {i: (k is not None and zlib.crc32(str(k).encode()) % 10 != 0) for i, (k, _) in enumerate(texts)}
 
