@@ -8,9 +8,11 @@ A term discloses an entity (a protected value such as one e-mail address) if its
 what the entity's own occurrence would: with the information content IC(e) = log2(N / df(e)) and the
 pointwise mutual information PMI(t; e) = log2(N * df(t, e) / (df(t) * df(e))) over the documents of the
 corpus, PMI(t; e) / IC(e) is 1 if the term is never met without the entity, and 0 if they are
-independent. Terms are words of whole documents that mention the entity, base spans being separators, and
-must be met with it in several different surroundings, so that copies of one text prove nothing. What
-discloses an entity is marked wherever it stands in the corpus.
+independent. Terms are words of whole documents, base spans being separators, and co-occurrence is counted
+by documents. A word is considered for an entity if it is met with it in several different surroundings, so
+that its evidence doesn't come from copies of one text, or if it stands near a mention and is so rare that
+PMI alone is strong evidence (it makes the entity 2**least_bits times as likely as chance). What discloses
+an entity is marked wherever it stands in the corpus.
 """
 
 from __future__ import annotations
@@ -111,71 +113,79 @@ def term_of(column: str) -> Column:
     return F.expr(f"lower(trim(both {_quoted(_EDGES)} from {column}))")
 
 
-def document_frequencies(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """(term, df) over all rows of docs (column t): counted in each task first, so that a word costs a row a task, then joined."""
-    if not terms.limit(1).count():
-        return terms.select("term", F.lit(0).cast("long").alias("df"))
-    # a word may stand in a text with different edges: of these, one counts
-    words = docs.select(F.explode(terms_of(F.col("t"))).alias("term"))
-    # an inner join with distinct terms: the optimiser would move a semi-join below the counts, to single words
-    return words.groupBy("term").agg(F.count("*").alias("df")).join(terms.distinct(), "term")
+def occurrences(docs: DataFrame, terms: DataFrame, common: DataFrame) -> DataFrame:
+    """(row, term) for each document (row, t) and each of terms (distinct) that it holds.
 
+    common: words that are none of the terms, of bounded number and length: they are left out before anything is
+    shuffled, so that no word of every document becomes a hot key.
+    """
+    words = docs.select("row", F.explode(terms_of(F.col("t"))).alias("term")).where("term <> ''")
+    return words.join(F.broadcast(common), "term", "left_anti").join(terms, "term").distinct()
+
+
+#: Words that occur in most documents with base spans are told apart early: so many, of at most so many letters.
+COMMON_WORDS, COMMON_LENGTH = 10_000, 64
 
-def disclosing(base: DataFrame, around: int, least_surroundings: int, generalise_at: float, remove_at: float) -> DataFrame:
+
+def disclosing(base: DataFrame, around: int, least_surroundings: int, least_bits: float, generalise_at: float, remove_at: float) -> tuple[DataFrame, DataFrame]:
     """(entity, term, disclosure, action): the terms whose PMI with an entity is at least generalise_at of its information content.
 
-    base has the rows of all documents (row, t, spans). A term is in at least as many documents as it is in
-    those that mention such entities. Where that alone rules it out, as for all common words, its frequency in
-    the corpus isn't asked for.
+    Also (row, term) of the documents that hold a considered term. base has the rows of all documents (row, t, spans).
+    Rows of equal id and text count once. A term is in at least as many documents as it is in those with base
+    spans: where that alone rules it out, as for all common words, the corpus isn't asked for it.
     """
     found = written(mentions(base, around), "pii-mentions")
-    per_row = found.groupBy("row", "entity").agg(F.xxhash64(F.sort_array(F.collect_set("surroundings"))).alias("kind"))
+    per_row = written(found.groupBy("row", "entity").agg(F.xxhash64(F.sort_array(F.collect_set("surroundings"))).alias("kind")), "pii-entities")
     often = found.groupBy("entity").agg(F.countDistinct("surroundings").alias("n")).where(F.col("n") >= least_surroundings).select("entity")
-    texts = base.where("size(spans) > 0").dropDuplicates(["row"]).select("row", "t", "spans")
-    within = cut_at_spans(texts.join(per_row.join(often, "entity").groupBy("row").agg(F.collect_list(F.struct("entity", "kind")).alias("entities")), "row"))
-    words = written(within.select("row", "entities", F.explode(terms_of(F.col("cut"))).alias("term")).where("term <> ''"), "pii-terms")
-    near = found.select("entity", "surroundings", F.explode("words").alias("term")).where("term <> ''").groupBy("entity", "term").agg(F.countDistinct("surroundings").alias("near_kinds"))
-    joint = (
-        words.select("term", F.explode("entities").alias("x")).groupBy("term", F.col("x.entity").alias("entity")).agg(F.countDistinct("x.kind").alias("kinds"), F.count("*").alias("joint"))
-        .join(near.where(F.col("near_kinds") >= least_surroundings), ["entity", "term"], "left")
-        .where((F.col("kinds") >= least_surroundings) | F.col("near_kinds").isNotNull())
-    )
-    total = F.lit(float(base.count()))
+    texts = cut_at_spans(base.where("size(spans) > 0").dropDuplicates(["row"]).select("row", "t", "spans"))
+    words = written(texts.select("row", F.explode(terms_of(F.col("cut"))).alias("term")).where("term <> ''"), "pii-terms")
+    near = found.select("entity", "surroundings", F.explode("words").alias("term")).where("term <> ''").groupBy("entity", "term").agg((F.countDistinct("surroundings") >= least_surroundings).alias("repeated"))
+    repeats = per_row.join(often, "entity").join(words, "row").groupBy("entity", "term").agg(F.countDistinct("kind").alias("kinds")).where(F.col("kinds") >= least_surroundings)
+    considered = near.unionByName(repeats.select("entity", "term", F.lit(True).alias("repeated"))).groupBy("entity", "term").agg(F.max("repeated").alias("repeated"))
+    total = F.lit(float(base.select("row").distinct().count()))
     entities = per_row.groupBy("entity").agg(F.count("*").alias("entity_df"))
     at_least = words.groupBy("term").agg(F.count("*").alias("least_df"))
-    disclosure = lambda df: F.log2(total * F.col("joint") / F.col(df) / F.col("entity_df")) / F.col("ic")
-    known = joint.join(entities, "entity").withColumn("ic", F.log2(total / F.col("entity_df"))).where("ic > 0")
-    possible = written(known.join(at_least, "term").where(disclosure("least_df") >= generalise_at).drop("least_df"), "pii-joint")
-    df = document_frequencies(cut_at_spans(base).select(F.col("cut").alias("t")), possible.select("term").distinct())
-    scored = possible.join(df, "term").withColumn("disclosure", disclosure("df"))
-    return scored.where(F.col("disclosure") >= generalise_at).select("entity", "term", "disclosure", F.when(F.col("disclosure") >= remove_at, "remove").otherwise("generalise").alias("action"))
-
-
-#: Where the words w, with the pieces g between them, are among the keys of chosen.
-_OCCURRENCES = f"""aggregate(sequence(0, size(w) - 1), named_struct('at', 0, 'out', cast(array() as array<struct<s:int,e:int,action:string>>)),
-    (a, i) -> named_struct('at', a.at + length(g[i]) + length(w[i]), 'out',
-        case when element_at(chosen, lower(trim(both {_quoted(_EDGES)} from w[i]))) is null then a.out
-             else array_append(a.out, named_struct('s', a.at + length(g[i]) + length(w[i]) - length(trim(leading {_quoted(_EDGES)} from w[i])),
-                 'e', a.at + length(g[i]) + length(w[i]) - length(trim(leading {_quoted(_EDGES)} from w[i])) + length(trim(both {_quoted(_EDGES)} from w[i])),
-                 'action', element_at(chosen, lower(trim(both {_quoted(_EDGES)} from w[i]))))) end),
+    pmi = lambda joint, df: F.log2(total * F.col(joint) / F.col(df) / F.col("entity_df"))
+    telling = lambda joint, df: (pmi(joint, df) >= generalise_at * F.col("ic")) & (F.col("repeated") | (pmi(joint, df) >= least_bits))
+    known = considered.join(entities, "entity").withColumn("ic", F.log2(total / F.col("entity_df"))).where("ic > 0").join(at_least, "term")
+    bounded = known.withColumn("at_most", F.least("entity_df", "least_df")).where(telling("at_most", "least_df")).drop("at_most")
+    together = bounded.join(words, "term").join(per_row.select("row", "entity"), ["row", "entity"])
+    joint = together.groupBy("entity", "term").agg(*[F.first(c).alias(c) for c in ("repeated", "entity_df", "ic", "least_df")], F.count("*").alias("joint"))
+    possible = written(joint.where(telling("joint", "least_df")), "pii-joint")
+    terms = possible.select("term").distinct()
+    common = at_least.where(F.length("term") <= COMMON_LENGTH).join(terms, "term", "left_anti").orderBy(F.desc("least_df"), "term").limit(COMMON_WORDS).select("term")
+    held = written(occurrences(cut_at_spans(base).select("row", F.col("cut").alias("t")), terms, written(common, "pii-common")), "pii-held")
+    scored = possible.join(held.groupBy("term").agg(F.count("*").alias("df")), "term").where(telling("joint", "df")).withColumn("disclosure", pmi("joint", "df") / F.col("ic"))
+    return scored.select("entity", "term", "disclosure", F.when(F.col("disclosure") >= remove_at, "remove").otherwise("generalise").alias("action")), held
+
+
+def _let(name: str, value: str, body: str) -> str:
+    """body with name bound to value, which is computed once: the optimiser would put it into every turn of body's loops."""
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
+#: Where the words p.w, with the pieces p.g between them, are among the keys of p.chosen.
+_OCCURRENCES = f"""aggregate(sequence(0, size(p.w) - 1), named_struct('at', 0, 'out', cast(array() as array<struct<s:int,e:int,action:string>>)),
+    (a, i) -> named_struct('at', a.at + length(p.g[i]) + length(p.w[i]), 'out',
+        case when element_at(p.chosen, lower(trim(both {_quoted(_EDGES)} from p.w[i]))) is null then a.out
+             else array_append(a.out, named_struct('s', a.at + length(p.g[i]) + length(p.w[i]) - length(trim(leading {_quoted(_EDGES)} from p.w[i])),
+                 'e', a.at + length(p.g[i]) + length(p.w[i]) - length(trim(leading {_quoted(_EDGES)} from p.w[i])) + length(trim(both {_quoted(_EDGES)} from p.w[i])),
+                 'action', element_at(p.chosen, lower(trim(both {_quoted(_EDGES)} from p.w[i]))))) end),
     a -> a.out)"""
 
 
-def with_terms(base: DataFrame, around: int = 80, least_surroundings: int = 3, generalise_at: float = 0.8, remove_at: float = 0.97) -> DataFrame:
+def with_terms(base: DataFrame, around: int = 80, least_surroundings: int = 3, least_bits: float = 7.0, generalise_at: float = 0.95, remove_at: float = 0.99) -> DataFrame:
     """base (row, t, spans and more, all documents) with `terms`: spans (s, e, action) of every occurrence of a disclosing term."""
-    terms = disclosing(base, around, least_surroundings, generalise_at, remove_at)
-    terms = written(terms.groupBy("term").agg(F.max("action").alias("action")), "pii-disclosing")
-    words = cut_at_spans(base).select("row", F.explode(terms_of(F.col("cut"))).alias("term"))
-    met = words.join(terms, "term").distinct().groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("term", "action"))).alias("chosen"))
-    met = written(met, "pii-met")
-    # written, so that no word's turn splits its text again
-    pieces = cut_at_spans(base.join(met, "row")).select("row", "chosen", F.expr(f"regexp_extract_all(cut, {_WORD}, 0)").alias("w"), F.expr(f"split(cut, {_WORD}, -1)").alias("g"))
-    placed = written(written(pieces, "pii-words").where("size(w) > 0").select("row", F.expr(_OCCURRENCES).alias("terms")).dropDuplicates(["row"]), "pii-spans")
-    none = F.expr("cast(array() as array<struct<s:int,e:int,action:string>>)")
-    return base.join(placed, "row", "left").withColumn("terms", F.coalesce("terms", none))
-
-
-def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", around: int = 80, least_surroundings: int = 3, generalise_at: float = 0.8, remove_at: float = 0.97) -> DataFrame:
+    terms, held = disclosing(base, around, least_surroundings, least_bits, generalise_at, remove_at)
+    terms = terms.groupBy("term").agg(F.max("action").alias("action"))
+    met = written(held.join(terms, "term").groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("term", "action"))).alias("chosen")), "pii-met")
+    none = "cast(array() as array<struct<s:int,e:int,action:string>>)"
+    parts = f"named_struct('w', regexp_extract_all(cut, {_WORD}, 0), 'g', split(cut, {_WORD}, -1), 'chosen', chosen)"
+    out = cut_at_spans(base.join(met, "row", "left"))
+    return out.withColumn("terms", F.expr(f"case when chosen is null then {none} else {_let('p', parts, _OCCURRENCES)} end")).drop("cut", "chosen")
+
+
+def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", around: int = 80, least_surroundings: int = 3, least_bits: float = 7.0, generalise_at: float = 0.95, remove_at: float = 0.99) -> DataFrame:
     """Per row of docs: n_email, n_ip, n_card, n_phone, base_sha256 and spans (kind:start:end, comma-joined).
 
     Spans are in code points, end exclusive, by kind (email, ip, card, phone, then term), then start; the
@@ -185,22 +195,25 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", around
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("t"))
     spanned = with_spans(rows, F.col("t")).withColumn("row", _row_key("doc_id"))
     base = written(spanned.select("doc_id", "row", "spans", "t"), "pii-base")
-    out = with_terms(base, around, least_surroundings, generalise_at, remove_at)
+    out = with_terms(base, around, least_surroundings, least_bits, generalise_at, remove_at)
     joined = F.expr("array_join(transform(spans, x -> concat_ws(':', x.kind, x.s, x.e)), ',')")
     all_spans = F.expr("array_join(concat(transform(spans, x -> concat_ws(':', x.kind, x.s, x.e)), transform(terms, x -> concat_ws(':', 'term', x.s, x.e))), ',')")
     counts = [F.expr(f"cast(size(filter(spans, x -> x.kind = '{k}')) as long)").alias(f"n_{k}") for k in KINDS]
     return out.select("doc_id", *counts, F.sha2(joined, 256).alias("base_sha256"), all_spans.alias("spans"))
 
 
-_MERGED = """aggregate(cuts, cast(array() as array<struct<s:int,e:int,label:string>>), (a, x) ->
+_MERGED = """aggregate(m, cast(array() as array<struct<s:int,e:int,label:string>>), (a, x) ->
     case when size(a) > 0 and x.s < element_at(a, -1).e
          then concat(slice(a, 1, size(a) - 1), array(named_struct('s', element_at(a, -1).s, 'e', greatest(element_at(a, -1).e, x.e), 'label', element_at(a, -1).label)))
          else array_append(a, x) end)"""
-_REBUILT = """concat(array_join(transform(cuts, (x, i) -> concat(
-    substring(t, 1 + if(i = 0, 0, cuts[i - 1].e), x.s - if(i = 0, 0, cuts[i - 1].e)), x.label)), ''), substring(t, 1 + element_at(cuts, -1).e))"""
+_REBUILT = """concat(array_join(transform(c, (x, i) -> concat(
+    substring(t, 1 + if(i = 0, 0, c[i - 1].e), x.s - if(i = 0, 0, c[i - 1].e)), x.label)), ''), substring(t, 1 + element_at(c, -1).e))"""
+_CUTS = """array_sort(concat(
+    transform(spans, x -> named_struct('s', x.s, 'e', x.e, 'label', concat('[', upper(x.kind), ']'))),
+    transform(terms, x -> named_struct('s', x.s, 'e', x.e, 'label', case when x.action = 'remove' then '' when rlike(substring(t, x.s + 1, x.e - x.s), '[0-9]') then '[NUMBER]' else '[TERM]' end))))"""
 
 
-def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", around: int = 80, least_surroundings: int = 3, generalise_at: float = 0.8, remove_at: float = 0.97) -> DataFrame:
+def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", around: int = 80, least_surroundings: int = 3, least_bits: float = 7.0, generalise_at: float = 0.95, remove_at: float = 0.99) -> DataFrame:
     """docs with the text column rewritten: base spans give way to [EMAIL], [IP], [CARD] or [PHONE], disclosing terms go or are generalised.
 
     A generalised term becomes [NUMBER] if it has a digit, else [TERM]. Spans that overlap are cut out as one. Texts
@@ -210,12 +223,7 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ar
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_all"))  # so that no column clashes with one of ours
     rows = with_spans(packed, F.col(f"_all.`{text_col}`")).withColumn("row", F.struct(F.xxhash64(F.col(f"_all.`{id_col}`").cast("string"), F.col("t")).alias("a"), F.length("t").alias("b")))
     base = written(rows.select("_all", "row", "spans", "t"), "pii-base")
-    out = with_terms(base, around, least_surroundings, generalise_at, remove_at)
-    some = out.where("size(spans) + size(terms) > 0")
-    some = some.withColumn("cuts", F.expr("""array_sort(concat(
-        transform(spans, x -> named_struct('s', x.s, 'e', x.e, 'label', concat('[', upper(x.kind), ']'))),
-        coalesce(transform(terms, x -> named_struct('s', x.s, 'e', x.e, 'label', case when x.action = 'remove' then '' when rlike(substring(t, x.s + 1, x.e - x.s), '[0-9]') then '[NUMBER]' else '[TERM]' end)),
-                 cast(array() as array<struct<s:int,e:int,label:string>>))))"""))
-    some = some.withColumn("cuts", F.expr(_MERGED)).withColumn("new", F.expr(_REBUILT))
-    rebuilt = out.where("size(spans) + size(terms) = 0").select("_all", F.col(f"_all.`{text_col}`").alias("new")).unionByName(some.select("_all", "new"))
-    return rebuilt.select(*[F.col("new").alias(c) if c == text_col else F.col(f"_all.`{c}`").alias(c) for c in columns])
+    out = with_terms(base, around, least_surroundings, least_bits, generalise_at, remove_at)
+    changed = _let("m", _CUTS, _let("c", _MERGED, _REBUILT))
+    new = F.expr(f"case when size(spans) + size(terms) > 0 then {changed} else _all.`{text_col}` end")
+    return out.select(*[new.alias(c) if c == text_col else F.col(f"_all.`{c}`").alias(c) for c in columns])

@@ -1,6 +1,8 @@
 import hashlib
+import math
 import random
 import re
+from collections import Counter
 
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -123,10 +125,86 @@ def test_repeated_rows_and_null_ids(spark):
     assert sorted((r.doc_id or 0, r.text or "") for r in pii.sanitise(df).collect()) == [(0, ""), (0, "[EMAIL]"), (1, "[EMAIL]"), (1, "[EMAIL]")]
 
 
-def test_document_frequencies(spark):
-    docs = spark.createDataFrame([("a b, A",), ("b",), ("",)], "t string")
+def test_occurrences(spark):
+    docs = spark.createDataFrame([(1, "a b, A"), (2, "b"), (3, ""), (2, "b")], "row long, t string")
     terms = spark.createDataFrame([("a",), ("b",), ("z",)], "term string")
-    assert {r.term: r.df for r in pii.document_frequencies(docs, terms).collect()} == {"a": 1, "b": 2}
+    common = spark.createDataFrame([("c",)], "term string")
+    assert sorted((r.row, r.term) for r in pii.occurrences(docs, terms, common).collect()) == [(1, "a"), (1, "b"), (2, "b")]
+
+
+def brute_terms(texts, around=80, kinds=3, bits=7.0, share=0.95):
+    """Disclosing terms by the definition, from each document's words and mentions."""
+    blanked, mentions, holders = [], {}, {}
+    for k, t in enumerate(texts):
+        t, found, cut = t or "", spans(t), t or ""
+        for _, s, e in found:
+            cut = cut[:s] + " " * (e - s) + cut[e:]
+        blanked.append(cut)
+        for kind, s, e in found:
+            value = re.sub("[^0-9]", "", t[s:e]) if kind in ("card", "phone") else t[s:e].lower()
+            sides = []
+            for x in (t, cut):
+                left, right = x[max(0, s - around) : s], x[e : e + around]
+                if s > around:
+                    first = re.match(r"[^\x20\x09-\x0D]*", left).end()
+                    left = " " * first + left[first:]
+                if len(t) > e + around:
+                    right = re.sub(r"[^\x20\x09-\x0D]+\Z", "", right)
+                sides.append((left, right))
+            mentions.setdefault((kind, value), []).append((sides[0], bag(" ".join(sides[1]))))
+            holders.setdefault((kind, value), set()).add(k)
+    words = [bag(c) for c in blanked]
+    df = Counter(w for ws in words for w in ws)
+    n, out = len(texts), set()
+    for e, docs in holders.items():
+        ic = math.log2(n / len(docs))
+        near: dict = {}
+        for where, ws in mentions[e]:
+            for w in ws:
+                near.setdefault(w, set()).add(where)
+        far: dict = {}
+        for k in docs:
+            for w in words[k]:
+                far.setdefault(w, set()).add(k)
+        for w in {*near, *(w for w in far if len(far[w]) >= kinds)}:
+            pmi = math.log2(n * len(far[w]) / df[w] / len(docs)) if w in far else -1
+            if ic > 0 and pmi >= share * ic - 1e-12 and (len(near.get(w, ())) >= kinds or len(far[w]) >= kinds or pmi >= bits):
+                out.add(w)
+    return out, words
+
+
+def bag(text):
+    return {w for w in (x.strip(pii._EDGES).lower() for x in re.split(r"[\x20\x09-\x0D]", text)) if w}
+
+
+def test_terms_by_brute_force(spark):
+    """Rare names beside one mention, names over many, footers, and common words; each document is of its own kind."""
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(150)]
+    texts = []
+    for i in range(500):
+        t = " ".join(rng.choices(words, k=25))
+        if i % 25 == 3:
+            t += f" Name{i} Surname{i % 50} wrote from p{i}@corp.com about w{i % 9} x{i} {' '.join(rng.choices(words, k=25))} far{i}"
+        if i % 9 == 1:
+            t += f" call +44 20 7946 0{i % 3}58 office{i % 3} {rng.choice(words)}"
+        texts.append(f"{t} end{i % 4}")
+    terms, held = brute_terms(texts)
+    want = {(k, w) for k, ws in enumerate(held) for w in ws & terms}
+    got = check(spark, texts)
+    mine = {(k, texts[k][int(s.split(":")[1]) : int(s.split(":")[2])].lower()) for k, r in got.items() for s in r.spans.split(",") if s.startswith("term")}
+    assert mine == want and {"name3", "office1", "x28"} <= terms and not {"w1", "far3", "end1", "wrote"} & terms
+
+
+def test_terms_of_the_tables(spark):
+    """The method adds spans on the test tables: words that stand beside one address and nowhere else."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = pii.find(docs).collect()
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    found = [(r.doc_id, s.split(":")) for r in rows for s in r.spans.split(",") if s.startswith("term")]
+    assert len(rows) == len(texts) and len(found) > 50
+    terms, held = brute_terms([texts[k] for k in sorted(texts)])
+    assert {texts[k][int(s[1]) : int(s[2])].lower() for k, s in found} == {w for ws in held for w in ws & terms}
 
 
 def test_main_path_has_no_python(spark, small):
