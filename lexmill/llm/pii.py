@@ -113,14 +113,27 @@ def term_of(column: str) -> Column:
     return F.expr(f"lower(trim(both {_quoted(_EDGES)} from {column}))")
 
 
+#: Bits of the filter of terms, in buckets of 512 longs: 8 MB, however many terms there are.
+FILTER_BITS, _BUCKET_BITS = 1 << 26, 512 * 64
+
+
+def term_filter(terms: DataFrame) -> DataFrame:
+    """(bucket, bits) of a Bloom filter of one hash: at most FILTER_BITS / 8 bytes. Beyond some ten million terms it lets most words through."""
+    place = F.pmod(F.xxhash64("term"), F.lit(FILTER_BITS))
+    longs = terms.select(place.alias("p")).groupBy(F.expr("p div 64").alias("i")).agg(F.expr("bit_or(shiftleft(1L, int(p % 64)))").alias("m"))
+    found = longs.groupBy(F.expr("i div 512").alias("bucket")).agg(F.map_from_entries(F.collect_list(F.struct(F.expr("int(i % 512)"), "m"))).alias("by"))
+    return found.select("bucket", F.expr("transform(sequence(0, 511), k -> coalesce(by[k], 0L))").alias("bits"))
+
+
 def occurrences(docs: DataFrame, terms: DataFrame, common: DataFrame) -> DataFrame:
     """(row, term) for each document (row, t) and each of terms (distinct) that it holds.
 
-    common: words that are none of the terms, of bounded number and length: they are left out before anything is
-    shuffled, so that no word of every document becomes a hot key.
+    Words that aren't terms are left out before anything is shuffled: nearly all by a filter of fixed size, and those of
+    common, of bounded number and length, whatever the filter says, so that no word of every document becomes a hot key.
     """
-    words = docs.select("row", F.explode(terms_of(F.col("t"))).alias("term")).where("term <> ''")
-    return words.join(F.broadcast(common), "term", "left_anti").join(terms, "term").distinct()
+    words = docs.select("row", F.explode(terms_of(F.col("t"))).alias("term")).where("term <> ''").withColumn("p", F.pmod(F.xxhash64("term"), F.lit(FILTER_BITS)))
+    likely = words.join(F.broadcast(term_filter(terms)), F.col("bucket") == F.expr(f"p div {_BUCKET_BITS}")).where(f"shiftright(bits[int(p div 64 % 512)], int(p % 64)) & 1 = 1").select("row", "term")
+    return likely.join(F.broadcast(common), "term", "left_anti").join(terms.hint("merge"), "term").distinct()
 
 
 #: Words that occur in most documents with base spans are told apart early: so many, of at most so many letters.
