@@ -19,7 +19,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexmill.llm.arrow_text import lower_table, text_buffers, words
+from lexmill.llm.arrow_text import lower_table, slices, text_buffers, words
 from lexmill.llm.exchange import aligned, answered, as_batches, figure_sums, figures_of, gathered, groups, questions, tasks_for, together
 from lexmill.llm.storage import written
 
@@ -39,7 +39,6 @@ class Batch:
         starts, _, h = words(buf, offsets[:-1], lower_table())
         doc = np.searchsorted(offsets, starts, side="right") - 1
         self.ids = docs.column("k").to_numpy()
-        self.asked = docs.column("q").to_numpy(zero_copy_only=False).astype(bool)
         self.lengths = np.bincount(doc, minlength=docs.num_rows)
         self.keys, which = np.unique(h, return_inverse=True)
         pair, self.tf = np.unique(which * np.int64(max(1, docs.num_rows)) + doc, return_counts=True)
@@ -143,18 +142,18 @@ def _document_frequencies(keys: np.ndarray, values: list, part: np.ndarray):
     return out, None
 
 
-def search(docs: DataFrame, query_filter: str, k: int = 10, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = 8 << 20, query_block: int = 512) -> DataFrame:
+def search(docs: DataFrame, query_filter: str, k: int = 10, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = 8 << 20, shard_rows: int = 16384, query_block: int = 512) -> DataFrame:
     """(query_id, rank, doc_id, score) of the k best rows by BM25 for each row that query_filter (SQL on `k`, the id) picks.
 
     A query is the set of its text's words (`[^\\x20\\x09-\\x0D]+`, A to Z lower-cased); rows of its own id are
     left out, and so are rows of score 0. Scores are rounded to 9 decimals; ties go to the smaller id. Rows of
     null id take no part; null text counts as empty, and an empty query has no result. Rows that repeat an
-    id are documents each, and of queries that repeat an id one counts. An empty table gives an empty result.
+    id are documents each; of queries that repeat an id the text that sorts first counts. An empty table gives an empty
+    result. A shard holds shard_bytes of text, or shard_rows of shorter ones.
     """
     rows = docs.where(F.col(f"`{id_col}`").isNotNull())
-    columns = {"k": f"cast(`{id_col}` as long)", "t": f"`{text_col}`"}
-    source = rows.selectExpr(*[f"{e} as {n}" for n, e in columns.items()])
-    batches = written(as_batches(source, {"k": "k", "t": "t", "q": f"coalesce({query_filter}, false)"}, shard_bytes), "bm25-batches")
+    source = rows.selectExpr(f"cast(`{id_col}` as long) as k", f"coalesce(`{text_col}`, '') as t")
+    batches = written(as_batches(source, {"k": "k", "t": "t"}, shard_bytes, most_rows=shard_rows), "bm25-batches")
     tasks = tasks_for(docs)
     buckets = 4 * tasks
 
@@ -175,37 +174,31 @@ def search(docs: DataFrame, query_filter: str, k: int = 10, id_col: str = "doc_i
     def index(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, part, answers in gathered(parts):
             batch = Batch(part)
-            data = [_packed(ids=batch.ids, lengths=batch.lengths.astype(np.int32), keys=batch.keys, df=aligned(answers, 1, np.int64), df_here=batch.df.astype(np.int32), doc=batch.doc.astype(np.int32), tf=batch.tf.astype(np.int32))]
-            is_query = [False]
-            asked = np.flatnonzero(batch.asked)
-            by_doc = np.argsort(batch.doc, kind="stable")
-            at = np.searchsorted(batch.doc[by_doc], np.arange(part.num_rows + 1))
-            for i in range(0, len(asked), query_block):
-                some = asked[i : i + query_block]
-                lists = [batch.keys[batch.term[by_doc[at[d] : at[d + 1]]]] for d in some.tolist()]
-                data.append(_packed(ids=batch.ids[some], bounds=np.cumsum([0, *map(len, lists)]), terms=np.concatenate(lists)))
-                is_query.append(True)
-            yield pa.RecordBatch.from_arrays([pa.array(is_query), pa.array(data, pa.binary())], ["is_query", "data"])
-
-    made = written(together(batches, df).mapInArrow(index, "is_query boolean, data binary"), "bm25-index")
-    asked_for = source.where(query_filter).count()
-
-    def merge(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Small query blocks as few larger ones, so that a shard is handed out for each of few."""
+            data = _packed(ids=batch.ids, lengths=batch.lengths.astype(np.int32), keys=batch.keys, df=aligned(answers, 1, np.int64), df_here=batch.df.astype(np.int32), doc=batch.doc.astype(np.int32), tf=batch.tf.astype(np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array([data], pa.binary())], ["data"])
+
+    made = written(together(batches, df).mapInArrow(index, "data binary"), "bm25-index")
+    asked = written(source.where(query_filter).groupBy("k").agg(F.min("t").alias("t")), "bm25-asked")
+
+    def as_queries(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Few large query blocks, so that a shard is handed out for each of few."""
         held: list[dict] = []
         size = 0
-        for rows in parts:
-            for data in rows.column("data"):
-                held.append(_unpacked(data.as_buffer()))
-                size += len(held[-1]["ids"])
+        for part in slices(parts, "t", shard_bytes):
+            batch = Batch(part)
+            by_doc = np.argsort(batch.doc, kind="stable")
+            at = np.searchsorted(batch.doc[by_doc], np.arange(part.num_rows + 1))
+            for i in range(0, part.num_rows, query_block):
+                to = min(i + query_block, part.num_rows)
+                held.append({"ids": batch.ids[i:to], "bounds": at[i : to + 1], "terms": batch.keys[batch.term[by_doc[at[i] : at[to]]]]})
+                size += to - i
                 if size >= query_block:
                     yield _merged(held)
                     held, size = [], 0
         if held:
             yield _merged(held)
 
-    query_blocks = made.where("is_query").select("data").repartition(max(1, -(-asked_for // (2 * query_block))))
-    blocks = written(query_blocks.mapInArrow(merge, "data binary"), "bm25-queries")
+    blocks = written(asked.repartition(max(1, -(-asked.count() // (2 * query_block)))).mapInArrow(as_queries, "data binary"), "bm25-queries")
 
     def run(pairs: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best: dict[int, list] = {}
@@ -222,7 +215,7 @@ def search(docs: DataFrame, query_filter: str, k: int = 10, id_col: str = "doc_i
         yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.float64())], ["query_id", "doc_id", "score"])
 
     # blocks of a stated query set against all shards
-    pairs = made.where("not is_query").select(F.col("data").alias("shard")).join(blocks.select(F.col("data").alias("query")))
+    pairs = made.select(F.col("data").alias("shard")).join(blocks.select(F.col("data").alias("query")))
     found = pairs.mapInArrow(run, SCHEMA)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")

@@ -49,10 +49,10 @@ def rows_of(b, kind, q, n1, n2, data) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(b, long), pa.array(kind, int_), pa.array(q, int_), pa.array(n1, long), pa.array(n2, long), pa.array(data, pa.binary())], _NAMES)
 
 
-def as_batches(docs: DataFrame, columns: dict[str, str], most_bytes: int = 4 << 20) -> DataFrame:
+def as_batches(docs: DataFrame, columns: dict[str, str], most_bytes: int = 4 << 20, most_rows: int = 1 << 20) -> DataFrame:
     """Rows of kind DOCUMENTS; columns: SQL expression by name, among them ``t``, the text.
 
-    A batch holds about most_bytes of text, or one longer document. Write the result once: batches
+    A batch holds about most_bytes of text, at most most_rows documents, or one longer document. Write the result once: batches
     are numbered by the task that cut them.
     """
 
@@ -69,14 +69,15 @@ def as_batches(docs: DataFrame, columns: dict[str, str], most_bytes: int = 4 <<
                 out.write_table(table)
             return rows_of([number], [DOCUMENTS], [0], [table.num_rows], [size], [sink.getvalue().to_pybytes()])
 
-        for part in slices(batches, "t", most_bytes):
-            more = part.column("t").nbytes
-            if held and size + more > most_bytes:
-                yield flush()
-                number += 1
-                held, size = [], 0
-            held.append(part)
-            size += more
+        for whole in slices(batches, "t", most_bytes):
+            for part in (whole.slice(i, most_rows) for i in range(0, whole.num_rows, most_rows)):
+                more = part.column("t").nbytes
+                if held and (size + more > most_bytes or sum(h.num_rows for h in held) + part.num_rows > most_rows):
+                    yield flush()
+                    number += 1
+                    held, size = [], 0
+                held.append(part)
+                size += more
         if held:
             yield flush()
 

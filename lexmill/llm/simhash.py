@@ -80,14 +80,14 @@ def fingerprints_of(text: pa.Array, shingle: int, seed: int) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp) for each row of docs; null text counts as empty, and a text without words has 0."""
+    """(doc_id, fp, text_hash) for each row of docs; null text counts as empty, and a text without words has 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker_cache("simhash")
         for batch in slices(batches, "t", 1 << 20):
-            yield pa.RecordBatch.from_arrays([batch.column("k"), pa.array(fingerprints_of(batch.column("t"), shingle, seed).view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("k"), pa.array(fingerprints_of(batch.column("t"), shingle, seed).view(np.int64)), batch.column("h")], ["doc_id", "fp", "text_hash"])
 
-    return docs.selectExpr(f"cast(`{id_col}` as long) as k", f"`{text_col}` as t").mapInArrow(run, "doc_id long, fp long")
+    return docs.selectExpr(f"cast(`{id_col}` as long) as k", f"`{text_col}` as t", f"xxhash64(coalesce(`{text_col}`, '')) as h").mapInArrow(run, "doc_id long, fp long, text_hash long")
 
 
 def correlated_groups(sample: np.ndarray, m: int) -> list[list[int]]:
@@ -372,7 +372,7 @@ def alike(docs: DataFrame, rows: DataFrame, edges: DataFrame, at_least: float, s
 
 
 def near_duplicates(docs: DataFrame, limit: int = 3, shingle: int = 3, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", bucket_rows: int = 16384,
-                    at_least: float | None = None, compared_shingle: int = 5) -> DataFrame:
+                    at_least: float | None = None, compared_shingle: int = 5, with_kept: bool = False) -> DataFrame:
     """Per row of docs: doc_id, fingerprint (16 hex digits), and component_id, the least doc_id reachable.
 
     Fingerprints link at `limit` or fewer differing bits. With at_least, a link counts only if the texts'
@@ -383,7 +383,8 @@ def near_duplicates(docs: DataFrame, limit: int = 3, shingle: int = 3, seed: int
     `[^\\x20\\x09-\\x0D]+`; a text of fewer words than a shingle is one shingle, and one without words (or
     null) has fingerprint 0, linked like any other. A null id is reached but never the least unless no row
     of the component has an id. Repeated rows are in the same component; an empty table gives an empty
-    result.
+    result. with_kept adds text_hash, the xxhash64 of the text ('' for null), and kept: whether the row has the id and
+    text_hash of the component's least (one id may come with several texts, in several components).
     """
     if at_least is None:
         rows = written(fingerprints(docs, shingle, seed, id_col, text_col).withColumn("node", F.col("fp")), "fingerprints")
@@ -397,11 +398,18 @@ def near_duplicates(docs: DataFrame, limit: int = 3, shingle: int = 3, seed: int
         labelled = nodes.join(star, "node", "left").select("fp", "node", F.coalesce("label", "node").alias("label"))
         rest = written(links(labelled, limit, bucket_rows).distinct().join(tried, ["a", "b"], "left_anti"), "other-pairs")
         edges = joined.unionByName(alike(docs, rows, rest, at_least, compared_shingle, id_col, text_col))
-    nodes = written(rows.groupBy("node").agg(F.min("doc_id").alias("least")), "distinct-nodes")
+    row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
+    nodes = written(rows.groupBy("node").agg(F.min(row).alias("least"), F.count("*").alias("n")), "distinct-nodes")
     star = stars(edges, "fingerprint-links")
     member = star.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(star.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
     member = member.join(nodes, "node")
     component = member.join(member.groupBy("root").agg(F.min("least").alias("component")), "root").select("node", "component")
-    known = nodes.join(component, "node", "left").select("node", F.coalesce("component", "least").alias("component_id"))
-    out = rows.join(known, "node")
-    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    known = written(nodes.join(component, "node", "left").select("node", "n", F.coalesce("component", "least").alias("component")), "known-nodes")
+    # nodes of over a thousandth of all rows, fewer than a thousand, don't go by a shuffle, where each would be one task
+    share = known.agg(F.sum("n").alias("n")).first().n or 0
+    hot = F.broadcast(known.where(F.col("n") > share / 1000).drop("n"))
+    out = rows.join(hot, "node").unionByName(rows.join(hot, "node", "left_anti").join(known.drop("n"), "node"))
+    columns = ["doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component.doc_id").alias("component_id")]
+    if with_kept:
+        columns += ["text_hash", (F.col("doc_id").eqNullSafe(F.col("component.doc_id")) & (F.col("text_hash") == F.col("component.text_hash"))).alias("kept")]
+    return out.select(*columns)

@@ -339,6 +339,16 @@ def test_every_candidate_is_compared(spark, bucket_rows):
     assert got == {k: find(k) for k in text}
 
 
+def test_kept_rows(spark):
+    """Of each component one id and text is kept; an id with two texts is in two components."""
+    words = lambda c: " ".join(f"{c}{i}" for i in range(50))
+    rows = [(1, words("a")), (2, words("a")), (2, words("b")), (2, words("c")), (2, words("c") + " d"), (3, words("b")), (None, words("a")), (None, words("e"))]
+    got = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), limit=12, at_least=0.8, with_kept=True).collect()
+    assert len(got) == len(rows)
+    assert sorted((r.doc_id, r.component_id) for r in got if r.kept and r.doc_id) == [(1, 1), (2, 2), (2, 2)]
+    assert sorted((r.doc_id, r.component_id) for r in got if not r.kept and r.doc_id) == [(2, 1), (2, 2), (3, 2)]
+
+
 @pytest.mark.parametrize("bucket_rows", [16384, 3])
 def test_equal_fingerprints_are_compared(spark, bucket_rows):
     import random
@@ -389,3 +399,12 @@ def test_bm25(docs, none, texts):
             assert [x[1] for x in mine] == [k for _, k in best]
             assert [x[2] for x in mine] == pytest.approx([-s for s, _ in best], abs=1e-8)
     assert bm25.search(none, "k % 10 = 0").count() == 0
+
+
+def test_bm25_of_repeated_queries(spark):
+    """Of the texts of a query's id the first counts; no document is listed twice but for rows that repeat it; tiny texts fill many shards."""
+    rows = [(50, "a b"), (50, "a c d"), (50, "a b"), (1, "a b"), (2, "a c"), (3, "c d"), (4, "b")] + [(100 + i, "") for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for shard_rows in (3, 16384):
+        got = bm25.search(df, "k = 50", shard_rows=shard_rows).orderBy("rank").collect()
+        assert [(r["rank"], r.doc_id) for r in got] == [(1, 1), (2, 4), (3, 2)] and got[0].score > got[1].score > got[2].score > 0
