@@ -4,7 +4,7 @@ All pre-tokens of a batch stand in one linked list of symbols; a pre-token's las
 successor, so no merge crosses it. Each adjacent pair that is a token waits in the bucket of its
 merge rank. A two-level bitmap over the ranks gives the lowest non-empty bucket by find-first-set;
 stale entries are skipped when they surface. A pre-token of n bytes costs O(n) queue operations,
-however long it is.
+however long it is; as merges of all pre-tokens share their buckets, most are made by the array.
 """
 
 from __future__ import annotations
@@ -21,8 +21,8 @@ from pyspark.sql import DataFrame
 from lexmill.llm.arrow_text import slices, worker_cache
 
 _WORD = 256
-#: Up to so many bytes, a scan of a pre-token's few ranks is faster than a queue.
-SHORT = 48
+#: A bucket of so many pairs is merged as an array.
+MANY = 96
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -74,7 +74,6 @@ class Bpe:
         if -1 in self.byte_ids:
             raise ValueError("a byte-level vocabulary has all 256 single bytes")
         self.whole = ranks
-        self.byte_list = self.byte_ids.tolist()
         self.size = max(ranks.values()) + 1
         self.shift = self.size.bit_length()
         self.pair: dict[int, int] = {}
@@ -118,6 +117,7 @@ class Bpe:
         rank_at[:-1] = self.byte_pairs[buf[:-1], buf[1:]]
         rank_at[last] = -1
         queue = RankQueue(self.size)
+        starts_here = np.zeros(n, bool)
         at = np.flatnonzero(rank_at >= 0)
         at = at[np.argsort(rank_at[at], kind="stable")]
         found, starts = np.unique(rank_at[at], return_index=True)
@@ -128,11 +128,16 @@ class Bpe:
         s, x, p, w = memoryview(symbol), memoryview(nxt), memoryview(prev), memoryview(rank_at)
         while queue.top:
             rank, bucket = queue.pop_bucket()
-            if len(bucket) >= 96:
-                i = np.unique(np.array(bucket, np.int32))
+            if len(bucket) >= MANY:
+                i = np.array(bucket, np.int32)
                 i = i[rank_at[i] == rank]
+                i.sort()
+                i = i[np.append(True, i[1:] != i[:-1])] if len(i) else i
                 j = nxt[i]
-                if not len(np.intersect1d(i, j, assume_unique=True)):
+                starts_here[i] = True
+                overlap = starts_here[j].any()
+                starts_here[i] = False
+                if not overlap:
                     symbol[i] = rank
                     symbol[j] = -1
                     rank_at[j] = -1
@@ -147,9 +152,12 @@ class Bpe:
                         rank_at[left] = new
                         order = np.argsort(new, kind="stable")
                         order = order[np.searchsorted(new[order], 0) :]
-                        found, starts = np.unique(new[order], return_index=True)
+                        if not len(order):
+                            continue
+                        new = new[order]
+                        starts = np.flatnonzero(np.append(True, new[1:] != new[:-1]))
                         listed, bounds = left[order].tolist(), [*starts.tolist(), len(order)]
-                        for m, r in enumerate(found.tolist()):
+                        for m, r in enumerate(new[starts].tolist()):
                             queue.push_all(r, listed[bounds[m] : bounds[m + 1]])
                     continue
             bucket.sort()  # leftmost first
@@ -179,52 +187,34 @@ class Bpe:
         cuts = np.append(0, np.cumsum(alive))[ends].tolist()
         return [ids[a:b] for a, b in zip([0, *cuts[:-1]], cuts)]
 
-    def encode_short(self, pretoken: bytes) -> list[int]:
-        """As encode_pretokens, for a pre-token so short that its ranks are scanned for the lowest."""
-        parts = [self.byte_list[b] for b in pretoken]
-        get, shift, none = self.pair.get, self.shift, self.size
-        ranks = [get(a << shift | b, none) for a, b in zip(parts, parts[1:])]
-        while ranks:
-            r = min(ranks)
-            if r == none:
-                break
-            i = ranks.index(r)
-            parts[i] = r
-            del parts[i + 1], ranks[i]
-            if i < len(ranks):
-                ranks[i] = get(r << shift | parts[i + 1], none)
-            if i:
-                ranks[i - 1] = get(parts[i - 1] << shift | r, none)
-        return parts
-
-    def encode_piece(self, text: str) -> list[int]:
-        """Ids of a text by itself: pre-tokens of over SHORT bytes by the rank queue."""
+    def pretokens(self, text: str) -> list[bytes]:
         if text[1:].isalpha() and (text[0] == " " or text[0].isalpha()) and text[0] != "'":
-            found = (text,)
-        else:
-            found = self.pattern.findall(text)
-        ids: list[int] = []
-        for x in found:
-            data = x.encode()
-            whole = self.whole.get(data)
-            if whole is not None:
-                ids.append(whole)
-            elif len(data) <= SHORT:
-                ids += self.encode_short(data)
-            else:
-                ids += self.encode_pretokens([data])[0]
-        return ids
-
-    encode = encode_piece
+            return [text.encode()]
+        return [x.encode() for x in self.pattern.findall(text)]
+
+    def encode_all(self, texts: list[str]) -> list[list[int]]:
+        """Ids of each text by itself: all their distinct pre-tokens go through one rank queue; those that are tokens need none."""
+        parts = [self.pretokens(t) if t else [] for t in texts]
+        known: dict[bytes, list[int]] = {}
+        left: dict[bytes, None] = {}
+        for p in parts:
+            for x in p:
+                if x not in known and x not in left:
+                    whole = self.whole.get(x)
+                    if whole is None:
+                        left[x] = None
+                    else:
+                        known[x] = [whole]
+        known |= zip(left, self.encode_pretokens(list(left)))
+        return [known[p[0]] if len(p) == 1 else [i for x in p for i in known[x]] for p in parts]
+
+    def encode(self, text: str) -> list[int]:
+        return self.encode_all([text])[0]
 
     def decode_bytes(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.token.__getitem__, ids))
 
 
-_MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
-_PIECE = regex.compile(r"\s*\S+|\s+")
-
-
 class Pieces(dict):
     """Ids (decimal, comma-joined) of pieces of text; ``bytes_of`` has what those ids decode to.
 
@@ -236,55 +226,52 @@ class Pieces(dict):
     def __init__(self, bpe: Bpe, most: int = 300_000):
         self.bpe, self.most = bpe, most
         self.decimal = list(map(str, range(bpe.size)))
-        self.newline = self.text_of(bpe.encode_piece("\n"))
         self.bytes_of: dict[str, bytes] = {}
         self.old: tuple[dict[str, str], dict[str, bytes]] = ({}, {})
 
-    def __missing__(self, key: str) -> str:
-        ids = self.old[0].get(key)
-        if ids is not None:
-            data = self.old[1][key]
-        elif not key or key.isspace():
-            raise KeyError(key)
-        else:
-            ids, data = self.put_together(key)
-        self[key] = ids
-        self.bytes_of[key] = data
-        return ids
-
-    def put_together(self, key: str) -> tuple[str, bytes]:
-        """From what is known of its parts, where a line's end or a word's end parts the piece anyway."""
-        if not key.isalnum():
-            a, line, b = key.partition("\n")
-            if line and a and b and not a[-1].isspace() and not b[0].isspace():
-                b = "  " + b
-                return f"{self[a]},{self.newline[0]},{self[b]}", self.bytes_of[a] + self.newline[1] + self.bytes_of[b]
-            word = key.rstrip(_MARKS)
-            if word.isalpha() and len(key) > len(word):
-                mark = "  " + key[len(word) :]
-                return f"{self[word]},{self[mark]}", self.bytes_of[word] + self.bytes_of[mark]
-        return self.text_of(self.bpe.encode_piece(key[2:] if key[:2] == "  " else " " + key))
-
     def text_of(self, found: list[int]) -> tuple[str, bytes]:
+        if len(found) == 1:
+            return self.decimal[found[0]], self.bpe.token[found[0]]
         return ",".join([self.decimal[i] for i in found]), self.bpe.decode_bytes(found)
 
     def turn(self) -> None:
-        """Called between texts."""
+        """Called between batches."""
         if len(self) > self.most:
             self.old = (dict(self), self.bytes_of)
             self.clear()
             self.bytes_of = {}
 
-    def encoded(self, text: str) -> tuple[str, bytes]:
-        """Ids of the text, comma-joined, and the bytes they decode to."""
+    def learn(self, keys: set[str]) -> None:
+        """Takes the pieces that aren't known yet, none blank, through the rank queue together."""
+        old, old_bytes = self.old
+        new = []
+        for k in keys:
+            if k in old:
+                self[k], self.bytes_of[k] = old[k], old_bytes[k]
+            else:
+                new.append(k)
+        found = self.bpe.encode_all([k[2:] if k[:2] == "  " else " " + k for k in new])
+        for k, ids in zip(new, found):
+            self[k], self.bytes_of[k] = self.text_of(ids)
+
+    def encoded(self, texts: list[str]) -> Iterator[tuple[str, bytes]]:
+        """For each text its ids, comma-joined, and the bytes they decode to."""
         self.turn()
-        parts = text.split(" ")
-        parts[0] = "  " + parts[0]
-        try:
-            return ",".join(map(self.__getitem__, parts)), b"".join(map(self.bytes_of.__getitem__, parts))
-        except KeyError:  # a blank piece: white space with two spaces in it, or at an end
-            ids = [i for x in _PIECE.findall(text) for i in self.bpe.encode_piece(x)]
-            return self.text_of(ids)
+        split = []
+        for t in texts:
+            parts = t.split(" ")
+            parts[0] = "  " + parts[0]
+            split.append(parts)
+        missing = {p for p in set().union(*split) if p not in self}
+        blank = {p for p in missing if not p or p.isspace()}
+        self.learn(missing - blank)
+        odd = [i for i, parts in enumerate(split) if not blank.isdisjoint(parts)] if blank else []
+        whole = dict(zip(odd, self.bpe.encode_all([texts[i] for i in odd])))  # two spaces in a row, or one at an end
+        for i, parts in enumerate(split):
+            if i in whole:
+                yield self.text_of(whole[i])
+            else:
+                yield ",".join(map(self.__getitem__, parts)), b"".join(map(self.bytes_of.__getitem__, parts))
 
 
 DIGEST_SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -308,8 +295,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str
         sha = hashlib.sha256
         for batch in slices(batches, "t", 1 << 21):
             n, ids_sha, dec_sha, texts = [], [], [], []
-            for text in batch.column("t").to_pylist():
-                ids, data = known.encoded(text or "")
+            for ids, data in known.encoded([t or "" for t in batch.column("t").to_pylist()]):
                 ids_sha.append(sha(ids.encode()).hexdigest())
                 dec_sha.append(sha(data).hexdigest())
                 n.append(ids.count(",") + 1 if ids else 0)

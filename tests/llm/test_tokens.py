@@ -36,7 +36,7 @@ def test_encodes_as_tiktoken(own, reference, text):
     want = reference.encode_ordinary(text)
     assert [i for ids in own.encode_pretokens([p.encode() for p in pieces]) for i in ids] == want  # all by the queue
     assert own.encode(text) == want
-    ids, data = bpe.Pieces(own).encoded(text)
+    ids, data = next(bpe.Pieces(own).encoded([text]))
     assert ids == ",".join(map(str, want)) and data == text.encode()
 
 
@@ -45,6 +45,30 @@ def test_very_long_pretokens(own, reference):
         assert own.encode(text) == reference.encode_ordinary(text)
 
 
+def test_pieces_turn_over(own, reference):
+    known = bpe.Pieces(own, most=3)
+    texts = ["one two  three", "", "one two", "four five six seven", "two\n\nthree", "one"]
+    for some in ([t] for t in texts * 2):
+        assert [i for i, _ in known.encoded(some)] == [",".join(map(str, reference.encode_ordinary(t))) for t in some]
+    assert [d for _, d in known.encoded(texts)] == [t.encode() for t in texts]
+
+
+def test_tables_go_through_the_queue(own, reference, monkeypatch):
+    """Every pre-token of the test table that isn't a token itself is encoded by the rank queue."""
+    import pyarrow.parquet as pq
+
+    texts = pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"]).column("text").to_pylist()[:200]
+    sent = set()
+    encode = own.encode_pretokens
+    monkeypatch.setattr(own, "encode_pretokens", lambda p: (sent.update(p), encode(p))[1])
+    known = bpe.Pieces(own)
+    for at in range(0, len(texts), 50):
+        for (ids, _), t in zip(known.encoded(texts[at : at + 50]), texts[at : at + 50]):
+            assert ids == ",".join(map(str, reference.encode_ordinary(t)))
+    want = {x.encode() for t in texts for x in own.pattern.findall(t)}
+    assert sent >= {x for x in want if x not in own.whole} and len(sent) > 5000
+
+
 def test_rank_queue():
     q = bpe.RankQueue(1000)
     for rank, at in ((900, 1), (3, 2), (3, 5), (256, 7)):
