@@ -74,4 +74,28 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_toxicity": op10_toxicity,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_WORD = r"'[^\x20\x09-\x0D]+'"
+
+ORACLE_SQL: dict[str, str] = {
+    "op3_substring": f"""
+        WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), {_WORD}) AS ws FROM documents),
+        starts AS (SELECT doc_id, ws, unnest(range(1, len(ws) - 18)) AS i FROM w WHERE len(ws) >= 20),
+        windows AS (SELECT doc_id, i, row_number() OVER (PARTITION BY array_to_string(ws[i : i + 19], ' ') ORDER BY doc_id, i) AS nth FROM starts),
+        gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS i FROM windows WHERE nth > 1),
+        words AS (SELECT doc_id, generate_subscripts(ws, 1) AS i, unnest(ws) AS w FROM w),
+        kept AS (SELECT doc_id, string_agg(w, ' ' ORDER BY i) AS text, count(*) AS n FROM words ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+        SELECT w.doc_id, len(w.ws) AS n_words, len(w.ws) - coalesce(kept.n, 0) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+        FROM w LEFT JOIN kept USING (doc_id)""",
+    "op8_bm25": f"""
+        WITH words AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), {_WORD})) AS w
+            FROM documents WHERE doc_id IS NOT NULL),
+        tf AS (SELECT doc_id, w, count(*) AS tf FROM words GROUP BY doc_id, w),
+        long AS (SELECT doc_id, sum(tf) AS n FROM tf GROUP BY doc_id),
+        df AS (SELECT w, count(*) AS df FROM tf GROUP BY w),
+        corpus AS (SELECT count(*) AS n, (SELECT sum(n) FROM long) / count(*) AS mean FROM documents WHERE doc_id IS NOT NULL),
+        hits AS (SELECT q.doc_id AS query_id, tf.doc_id, round(sum(ln(1 + (corpus.n - df.df + 0.5) / (df.df + 0.5)) * tf.tf * 2.2 / (tf.tf + 1.2 * (0.25 + 0.75 * long.n / corpus.mean))), 9) AS score
+            FROM tf AS q JOIN tf ON q.w = tf.w AND q.doc_id <> tf.doc_id JOIN df ON df.w = tf.w JOIN long ON long.doc_id = tf.doc_id CROSS JOIN corpus
+            WHERE q.doc_id % 50 = 0 GROUP BY ALL),
+        best AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM hits WHERE score > 0)
+        SELECT query_id, rank, doc_id, score FROM best WHERE rank <= 10""",
+}
