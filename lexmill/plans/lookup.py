@@ -32,12 +32,16 @@ def word_ruby(morphemes: DataFrame) -> DataFrame:
 
 
 def sibling_ruby(variants: DataFrame, morphemes: DataFrame) -> DataFrame:
-    """(variant_id, sibling_id, ruby) of the other variants of a variant's lemma."""
-    return sibling_ruby_of(variants, variants, morphemes)
+    """(variant_id, lemma_id, n_siblings, ruby) of every variant: its siblings are the other rows of its lemma.
+
+    A row for each variant and not for each pair of siblings, whose number grows with the square of a lemma's variants.
+    """
+    size = variants.groupBy("lemma_id").agg((F.count("*") - 1).alias("n_siblings"))
+    return variants.select("variant_id", "lemma_id").join(size, "lemma_id").join(word_ruby(morphemes), "variant_id").select("variant_id", "lemma_id", "n_siblings", "ruby")
 
 
-def sibling_ruby_of(wanted: DataFrame, variants: DataFrame, morphemes: DataFrame) -> DataFrame:
-    """sibling_ruby() of some variants."""
+def siblings_of(wanted: DataFrame, variants: DataFrame, morphemes: DataFrame) -> DataFrame:
+    """(variant_id, sibling_id, ruby) of the other variants of the lemmas of some looked-up variants."""
     one = wanted.select("variant_id", "lemma_id")
     other = variants.select(F.col("variant_id").alias("sibling_id"), "lemma_id")
     pairs = one.join(other, "lemma_id").where("variant_id <> sibling_id").select("variant_id", "sibling_id")

@@ -160,11 +160,9 @@ def word_ruby(spark, t):
     return lookup.word_ruby(t.morphemes).withColumn("ruby", _shown("ruby"))
 
 
-@query(oracle(f"SELECT a.variant_id, b.variant_id AS sibling_id, r.ruby FROM variants a JOIN variants b ON b.lemma_id = a.lemma_id AND b.variant_id <> a.variant_id JOIN (SELECT variant_id, {_RUBY} AS ruby FROM morphemes GROUP BY variant_id) r ON r.variant_id = b.variant_id JOIN items i ON i.item_id = a.item_id"))
+@query(oracle(f"SELECT v.variant_id, v.lemma_id, count(*) OVER (PARTITION BY v.lemma_id) - 1 AS n_siblings, r.ruby FROM variants v JOIN (SELECT variant_id, {_RUBY} AS ruby FROM morphemes GROUP BY variant_id) r ON r.variant_id = v.variant_id"))
 def sibling_ruby(spark, t):
-    """Of the words under review: all words would give every pair within a lemma."""
-    reviewed = t.variants.where("item_id is not null")
-    return lookup.sibling_ruby_of(reviewed, t.variants, t.morphemes).withColumn("ruby", _shown("ruby"))
+    return lookup.sibling_ruby(t.variants, t.morphemes).withColumn("ruby", _shown("ruby"))
 
 
 _RELATED = """SELECT variant_id, morpheme_index, spelling, reading, rank, is_full_match, related_id FROM (
