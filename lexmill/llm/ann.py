@@ -2,8 +2,9 @@
 
 Each table has a pseudo-rotation of its own (random signs and a fast Hadamard transform, three times).
 A vector's bucket is its nearest signed axis. A query probes a table's axes in falling order of its own
-rotated coordinates; candidates of all tables are compared by their exact cosines. The tables are built
-per shard of vectors, and a query's shard results merge by score, so no bucket ever leaves its shard.
+rotated coordinates; the vectors in the buckets that it probes, of all tables, are compared by their exact cosines, and
+no others. The bucket lists are built once per shard of vectors and written with it; a query's shard results
+merge by score, so no bucket ever leaves its shard.
 """
 
 from __future__ import annotations
@@ -65,31 +66,40 @@ def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a * b).sum(1) / np.sqrt((a * a).sum(1) * (b * b).sum(1))
 
 
-def nearest_in_shard(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, tables: Tables, probes: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The k nearest candidates in the shard for each query: query ids, vector ids, cosines."""
+def bucket_lists(vectors: np.ndarray, tables: Tables) -> tuple[np.ndarray, np.ndarray]:
+    """For each table the places of the vectors in order of their buckets, and where each bucket begins and ends there."""
+    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    order = np.empty((len(tables.signs), len(vectors)), np.int32)
+    bounds = np.empty((len(tables.signs), 2 * tables.size + 1), np.int32)
+    for t in range(len(tables.signs)):
+        axes = tables.axes(unit, t)
+        order[t] = np.argsort(axes, kind="stable")
+        bounds[t] = np.searchsorted(axes[order[t]], np.arange(2 * tables.size + 1))
+    return order, bounds
+
+
+def nearest_in_shard(ids: np.ndarray, vectors: np.ndarray, order: np.ndarray, bounds: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, tables: Tables, probes: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k nearest candidates in the shard for each query: query ids, vector ids, cosines. Where its buckets hold fewer than k, all vectors are candidates."""
     unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
     query_unit = queries / np.linalg.norm(queries, axis=1, keepdims=True)
-    n_tables = len(tables.signs)
-    wanted = np.zeros((n_tables, len(queries), 2 * tables.size), bool)
-    axes = np.empty((n_tables, len(vectors)), np.int64)
-    for t in range(n_tables):
-        axes[t] = tables.axes(unit, t)
-        wanted[t, np.arange(len(queries))[:, None], tables.probes(query_unit, t, probes)] = True
+    probed = [tables.probes(query_unit, t, probes) for t in range(len(tables.signs))]
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    for at in range(0, len(queries), 64):
-        near = query_unit[at : at + 64] @ unit.T
-        candidate = np.zeros(near.shape, bool)
-        for t in range(n_tables):
-            candidate |= wanted[t, at : at + 64][:, axes[t]]
-        candidate &= query_ids[at : at + 64, None] != ids
-        for q in range(len(near)):
-            c = np.flatnonzero(candidate[q])
-            if len(c) > k:
-                s = near[q, c]
-                c = c[s >= np.partition(s, len(s) - k)[len(s) - k] - 1e-9]  # ties, whatever the order of the sums, come along
-            score = cosines(np.broadcast_to(queries[at + q], (len(c), queries.shape[1])), vectors[c])
-            best = np.lexsort((ids[c], -score))[:k]
-            out.append((np.full(len(best), query_ids[at + q]), ids[c[best]], score[best]))
+    hit = np.zeros(len(vectors), bool)
+    for q in range(len(queries)):
+        hit[:] = False
+        for t, axes in enumerate(probed):
+            for a in axes[q].tolist():
+                hit[order[t, bounds[t, a] : bounds[t, a + 1]]] = True
+        hit &= ids != query_ids[q]
+        c = np.flatnonzero(hit)
+        if len(c) < k:
+            c = np.flatnonzero(ids != query_ids[q])
+        if len(c) > k:
+            s = unit[c] @ query_unit[q]
+            c = c[s >= np.partition(s, len(s) - k)[len(s) - k] - 1e-9]  # ties, whatever the order of the sums, come along
+        score = cosines(np.broadcast_to(queries[q], (len(c), queries.shape[1])), vectors[c])
+        best = np.lexsort((ids[c], -score))[:k]
+        out.append((np.full(len(best), query_ids[q]), ids[c[best]], score[best]))
     return tuple(np.concatenate([o[i] for o in out] or [np.zeros(0, t)]) for i, t in enumerate((np.int64, np.int64, float)))
 
 
@@ -101,14 +111,17 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return rows.where(fine & F.exists("v", lambda x: x != 0))
 
 
-def blocks(rows: DataFrame, dim: int, most: int) -> DataFrame:
-    """(n long, ids binary, v binary): up to `most` vectors of `dim` components a row."""
+def blocks(rows: DataFrame, dim: int, most: int, tables: int = 0, seed: int = 0) -> DataFrame:
+    """(n long, ids binary, v binary, place binary, bounds binary): up to `most` vectors of `dim` components a row, with their bucket lists in so many tables."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, parts, size = [], [], 0
 
         def flush() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([size], pa.int64()), pa.array([np.concatenate(ids).tobytes()], pa.binary()), pa.array([np.concatenate(parts).tobytes()], pa.binary())], ["n", "ids", "v"])
+            vectors = np.concatenate(parts)
+            lists = bucket_lists(vectors.reshape(-1, dim), Tables(dim, tables, seed)) if tables else (np.zeros(0), np.zeros(0))
+            data = [np.concatenate(ids), vectors, *lists]
+            return pa.RecordBatch.from_arrays([pa.array([size], pa.int64()), *[pa.array([x.tobytes()], pa.binary()) for x in data]], ["n", "ids", "v", "place", "bounds"])
 
         for batch in batches:
             for at in range(0, batch.num_rows, most):
@@ -122,7 +135,7 @@ def blocks(rows: DataFrame, dim: int, most: int) -> DataFrame:
         if size:
             yield flush()
 
-    return rows.where(F.size("v") == dim).mapInArrow(run, "n long, ids binary, v binary")
+    return rows.where(F.size("v") == dim).mapInArrow(run, "n long, ids binary, v binary, place binary, bounds binary")
 
 
 def search(vectors: DataFrame, query_filter: str, k: int = 5, tables: int = 32, probe_share: float = 1 / 64, seed: int = 11, shard_rows: int = 8192, query_rows: int = 4096, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -131,8 +144,9 @@ def search(vectors: DataFrame, query_filter: str, k: int = 5, tables: int = 32,
     probe_share of a table's signed axes are probed. Rows whose vector is null, empty or zero, or has
     null or non-finite components, take no part, nor do rows of null id. A query is compared with vectors
     of its own length only, and with all rows but those of its own id. Ties go to the smaller id. Rows that
-    repeat an id count as one query and as a candidate each. With k candidates or fewer all are returned
-    that were found. An empty table gives an empty result.
+    repeat an id count as one query (the vector that sorts first) and as a candidate each. A shard in whose probed buckets
+    a query finds fewer than k vectors is compared in full, so that all are returned where there are k or fewer. An empty
+    table gives an empty result.
 
     Query blocks meet shards of vectors: each pair of a block and a shard is one task's unit, so either
     side may be of any size.
@@ -142,7 +156,7 @@ def search(vectors: DataFrame, query_filter: str, k: int = 5, tables: int = 32,
     dims = [r.d for r in rows.select(F.size("v").alias("d")).distinct().collect()]  # lengths of vectors, not vectors
     found = None
     for dim in sorted(dims):
-        shards = written(blocks(rows, dim, shard_rows), "ann-shards")
+        shards = written(blocks(rows, dim, shard_rows, tables, seed), "ann-shards")
         asked = rows.where(query_filter).groupBy("id").agg(F.min("v").alias("v"))
         queries = written(blocks(asked, dim, query_rows), "ann-queries")
         query_blocks = queries.select(F.col("ids").alias("q_ids"), F.col("v").alias("q_v"))
@@ -158,10 +172,11 @@ def search(vectors: DataFrame, query_filter: str, k: int = 5, tables: int = 32,
                 for i in range(batch.num_rows):
                     ids, q_ids = (np.frombuffer(batch.column(c)[i].as_buffer(), np.int64) for c in ("ids", "q_ids"))
                     v, q_v = (np.frombuffer(batch.column(c)[i].as_buffer(), float).reshape(-1, dim) for c in ("v", "q_v"))
-                    got = nearest_in_shard(ids, v, q_ids, q_v, cache[key], probes, k)
+                    place, bounds = (np.frombuffer(batch.column(c)[i].as_buffer(), np.int32).reshape(tables, -1) for c in ("place", "bounds"))
+                    got = nearest_in_shard(ids, v, place, bounds, q_ids, q_v, cache[key], probes, k)
                     yield pa.RecordBatch.from_arrays([pa.array(x) for x in got], ["query_id", "vec_id", "score"])
 
-        pairs = shards.select("ids", "v").join(query_blocks)  # blocks of a stated query set against all shards
+        pairs = shards.select("ids", "v", "place", "bounds").join(query_blocks)  # blocks of a stated query set against all shards
         part = pairs.mapInArrow(run, SCHEMA)
         found = part if found is None else found.unionByName(part)
     if found is None:

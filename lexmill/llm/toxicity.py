@@ -1,4 +1,10 @@
-"""Toxicity: a sparse linear classifier, regularised by counterfactual swaps of identity terms."""
+"""Toxicity: a sparse linear classifier, regularised by counterfactual swaps of identity terms.
+
+Terms that stand for one another are of two kinds. IDENTITY lists common names of groups of people. As a corpus has
+names of its own, which no list knows, words that fill the same place of labelled sentences (between the same two
+neighbours) are taken as well, if texts of both labels have them and their share of toxic texts isn't significant: what
+such mentions say of a text is chance, so that swapping one for another mustn't change its score.
+"""
 
 from __future__ import annotations
 
@@ -113,15 +119,50 @@ def swaps(text: pa.Array, groups: Sequence[Sequence[str]]) -> dict[tuple[int, in
     return out
 
 
-def standing_out(counts: DataFrame, positives: int, rows: int, least_docs: int, most_words: int) -> np.ndarray:
-    """Hashes of the most_words features in at least least_docs texts whose share of texts of label 1 stands out most.
+#: Above this distance from the usual share of toxic texts, in standard deviations, a word is no neutral mention.
+NEUTRAL = 3.0
+
+
+def standing_out(counts: DataFrame, positives: int, rows: int, least_docs: int, most_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the most_words features in at least least_docs texts whose share of texts of label 1 stands out most, and which are neutral.
 
     counts: (h, df, positive). No more than most_words rows come to the driver.
     """
     rate = positives / rows
     distance = F.abs(F.col("positive") - rate * F.col("df")) / F.sqrt(rate * (1 - rate) * F.col("df"))
-    found = counts.where(F.col("df") >= least_docs).select("h", distance.alias("z")).where("z > 1").orderBy(F.desc("z"), "h").limit(most_words).collect()
-    return np.sort(np.array([r.h for r in found], np.int64).view(np.uint64))
+    neutral = (distance < NEUTRAL) & (F.col("positive") > 0) & (F.col("positive") < F.col("df"))
+    found = counts.where(F.col("df") >= least_docs).select("h", distance.alias("z"), neutral.alias("neutral")).where("z > 1").orderBy(F.desc("z"), "h").limit(most_words).collect()
+    found.sort(key=lambda r: r.h % (1 << 64))
+    return np.array([r.h for r in found], np.int64).view(np.uint64), np.array([r.neutral for r in found], bool)
+
+
+def interchangeable(sample: DataFrame, neutral: np.ndarray, most_pairs: int) -> dict[tuple[int, int], int]:
+    """Pairs of neutral words (hashes, ascending) that fill the same place in labelled sentences, and how often: the most_pairs most frequent.
+
+    Of a place's words each is paired with the next, a linear number; no place has more words than there are neutral ones.
+    """
+    if not len(neutral):
+        return {}
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "t", 1 << 21):
+            buf, offsets = text_buffers(batch.column("t"))
+            starts, _, h = words(buf, offsets[:-1], letter_table())
+            doc = np.searchsorted(offsets, starts, side="right") - 1
+            i = np.flatnonzero(neutral[np.minimum(np.searchsorted(neutral, h), len(neutral) - 1)] == h)
+            i = i[(i > 0) & (i < len(h) - 1)]
+            i = i[(doc[i - 1] == doc[i]) & (doc[i + 1] == doc[i])]
+            place = mix(mix(h[i - 1]) * np.uint64(3) + h[i + 1])
+            order, new = grouped(place, h[i])
+            at = np.flatnonzero(new)
+            n = np.diff(np.append(at, len(order)))
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (place[order[at]].view(np.int64), h[i][order[at]].view(np.int64), n.astype(np.int64))], ["place", "h", "n"])
+
+    fillers = sample.mapInArrow(places, "place long, h long, n long").groupBy("place", "h").agg(F.sum("n").alias("n"))
+    lists = fillers.groupBy("place").agg(F.array_sort(F.collect_list(F.struct("h", "n"))).alias("f")).where("size(f) > 1")
+    pairs = lists.select(F.explode(F.expr("transform(sequence(0, size(f) - 2), i -> struct(f[i].h as a, f[i + 1].h as b, least(f[i].n, f[i + 1].n) as n))")).alias("p"))
+    found = pairs.groupBy("p.a", "p.b").agg(F.sum("p.n").alias("n")).orderBy(F.desc("n"), "a", "b").limit(most_pairs).collect()
+    return {(r.a % (1 << 64), r.b % (1 << 64)): r.n for r in found}
 
 
 def fit(doc: np.ndarray, column: np.ndarray, y: np.ndarray, hashes: np.ndarray, pairs: dict[tuple[int, int], int], lasso: float = 5e-4, ridge: float = 1e-5, swap_weight: float = 1.0, steps: int = 400) -> SparseModel:
@@ -166,8 +207,8 @@ WIDTH = 200
 
 
 def train(docs: DataFrame, labels: DataFrame, keep: F.Column, most: int = 12_000, label: str = "toxic", groups: Sequence[Sequence[str]] = IDENTITY, least_docs: int = 4, most_words: int = 20_000,
-          swap_weight: float = 1.0, id_col: str = "doc_id", text_col: str = "text") -> SparseModel:
-    """Fit on at most `most` labelled rows. Counts of features come to the driver, and which of the chosen ones each text has; no texts do.
+          swap_weight: float = 1.0, most_pairs: int = 20_000, id_col: str = "doc_id", text_col: str = "text") -> SparseModel:
+    """Fit on at most `most` labelled rows. Counts of features come to the driver, which of the chosen ones each text has, and at most most_pairs pairs; no texts do.
 
     Prefixes of identity terms are no features, so that a swap changes words only, which the penalty covers.
     """
@@ -184,9 +225,11 @@ def train(docs: DataFrame, labels: DataFrame, keep: F.Column, most: int = 12_000
     if not total.n or total.positive in (0, total.n):
         return fit(np.zeros(0, int), np.zeros(0, int), np.repeat([1.0, 0.0], [total.positive, total.n - total.positive]), np.zeros(0, np.uint64), {})
     counts = sample.mapInArrow(count, "h long, df long, positive long").groupBy("h").agg(F.sum("df").alias("df"), F.sum("positive").alias("positive"))
-    hashes = standing_out(counts, total.positive, total.n, least_docs, most_words)
+    hashes, neutral = standing_out(counts, total.positive, total.n, least_docs, most_words)
     terms = pa.array([t for g in groups for t in g] or [""])
-    hashes = np.setdiff1d(hashes, np.setdiff1d(features(terms)[1], word_hashes([t for g in groups for t in g] or [""])))
+    stay = ~np.isin(hashes, np.setdiff1d(features(terms)[1], word_hashes([t for g in groups for t in g] or [""])))
+    hashes, neutral = hashes[stay], neutral[stay]
+    mined = interchangeable(sample, hashes[neutral], most_pairs)
 
     def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "t", 1 << 21):
@@ -200,7 +243,7 @@ def train(docs: DataFrame, labels: DataFrame, keep: F.Column, most: int = 12_000
     got.sort(key=lambda g: bytes(g["k"]))  # the order of tasks doesn't matter
     ys = [np.frombuffer(g["y"], float) for g in got]
     before = np.cumsum([0, *map(len, ys)])
-    pairs: dict[tuple[int, int], int] = {}
+    pairs = dict(mined)
     for g in got:
         for a, b, c in np.frombuffer(g["pairs"], np.uint64).reshape(-1, 3).tolist():
             pairs[a, b] = pairs.get((a, b), 0) + c

@@ -103,6 +103,59 @@ def test_hadamard():
     assert (t.axes(v, 0) == t.probes(v, 0, 1)[:, 0]).all()
 
 
+def test_only_probed_buckets_are_compared():
+    rng = np.random.default_rng(6)
+    v, q = rng.normal(size=(600, 20)), rng.normal(size=(9, 20))
+    tables, ids = ann.Tables(20, 5, 3), np.arange(600)
+    unit, asked = (x / np.linalg.norm(x, axis=1, keepdims=True) for x in (v, q))
+    candidate = np.zeros((9, 600), bool)
+    for t in range(5):
+        candidate |= (tables.probes(asked, t, 2)[:, :, None] == tables.axes(unit, t)).any(1)
+    assert candidate.mean() < 0.3
+    of, found, score = ann.nearest_in_shard(ids, v, *ann.bucket_lists(v, tables), 1000 + np.arange(9), q, tables, 2, 4)
+    for i in range(9):
+        near = np.where(candidate[i], unit @ asked[i], -9)
+        assert found[of == 1000 + i].tolist() == np.argsort(-near)[:4].tolist() and np.allclose(score[of == 1000 + i], np.sort(near)[::-1][:4])
+
+
+def test_small_tables_are_compared_in_full(spark):
+    rng = np.random.default_rng(7)
+    rows = [(50 * i, rng.normal(size=16).tolist()) for i in range(4)]
+    got = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("id") % 50 == 0, tables=1).collect()
+    assert sorted((r.query_id, r.vec_id) for r in got) == [(50 * i, 50 * j) for i in range(4) for j in range(4) if i != j]
+
+
+def test_mined_mentions_change_the_fit(spark):
+    """On the test tables, which hold no listed term, words that fill the same places of labelled sentences are swapped."""
+    from lexmill.llm.labelled import fold
+
+    sf = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    models = [toxicity.train(docs, labels, fold("k") % 5 != 0, swap_weight=w) for w in (0.0, 1.0)]
+    weights = [dict(zip(m.hashes.tolist(), m.weights.tolist())) for m in models]
+    assert weights[0] != weights[1]
+    sample = labels.where(fold("doc_id") % 5 != 0).where("toxic is not null").join(docs, "doc_id").selectExpr("doc_id as k", "text as t", "toxic as y")
+    known = np.sort(np.array([*weights[0], *weights[1]], np.uint64))
+    pairs = toxicity.interchangeable(sample, np.unique(known), 2000)
+    gap = [sum(n * (w.get(a, 0) - w.get(b, 0)) ** 2 for (a, b), n in pairs.items()) for w in weights]
+    assert pairs and gap[1] < gap[0]
+    insults = pa.array(["you idiot", "such scum", "a moron", "plain words"])
+    got = models[1].logits(insults)
+    assert (got[:3] > got[3]).all()
+
+
+def test_interchangeable_words(spark):
+    """Against brute force: words between the same neighbours, each with the next of the place."""
+    texts = ["the red fox ran the blue fox ran the green fox", "the green fox sat the blue dog", "red"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "k long, t string")
+    h = {w: int(toxicity.word_hashes([w])[0]) for t in texts for w in t.split()}
+    neutral = np.sort(np.array([h[w] for w in ("red", "blue", "green")], np.uint64))
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    a, b, c = sorted(("red", "blue", "green"), key=lambda w: signed(h[w]))
+    assert toxicity.interchangeable(df, neutral, 10) == {(h[a], h[b]): 1, (h[b], h[c]): 1}
+    assert toxicity.interchangeable(df, neutral, 1) in ({(h[a], h[b]): 1}, {(h[b], h[c]): 1})
+
+
 def test_recall(spark):
     rows = spark.read.parquet(f"{SF}/embeddings.parquet")
     got: dict = {}
