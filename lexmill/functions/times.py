@@ -60,3 +60,13 @@ def decoration_colour(is_due: Column | str, status: Column | str) -> Column:
 def reading_position(line: Column | str, lines: Column | str) -> Column:
     """Share of the lines, in per cent with one decimal."""
     return F.format_string("%.1f%%", F.lit(100.0) * _col(line) / _col(lines))
+
+
+#: Words of the frequency list that percentiles refer to: a fixed value.
+FREQUENCY_LIST = 160_836
+
+
+def frequency_label(frequency: Column | str) -> Column:
+    """A place in the frequency list as 'top x %'; 0 or null is unknown."""
+    f = F.coalesce(_col(frequency), F.lit(0))
+    return F.when(f == 0, "unknown").otherwise(F.format_string("top %.2f%%", F.lit(100.0) * f / FREQUENCY_LIST))

@@ -11,7 +11,7 @@ import math
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Weights that the review screen uses: fixed values.
@@ -186,3 +186,10 @@ def intervals(states: DataFrame) -> DataFrame:
     """Whole days between a state's review and the time that was then set for the next: per item, in order."""
     days = F.floor((F.unix_seconds("next_due") - F.unix_seconds("reviewed_at")) / DAY).cast("long")
     return states.select("item_id", "review_number", days.alias("interval_days"))
+
+
+def interval_history(states: DataFrame) -> DataFrame:
+    """(item_id, review_number, days): whole days from the review before to the time a review was due; the first of an item has none."""
+    order = Window.partitionBy("item_id").orderBy("review_number")
+    rows = states.select("item_id", "review_number", "due_at", F.lag("reviewed_at").over(order).alias("before")).where("before is not null")
+    return rows.select("item_id", "review_number", F.expr(f"(unix_seconds(due_at) - unix_seconds(before)) div {DAY}").alias("days"))

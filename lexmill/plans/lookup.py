@@ -119,3 +119,25 @@ def context_sentences(variants_wanted: DataFrame, valid_lines: DataFrame, docs:
     out = shown.groupBy(*keys).agg(sentence.alias("s"))
     out = out.withColumn("sentence", F.transform("s", lambda x: F.struct(x.word_id.alias("variant_id"), x.content.alias("content"), (x.word_id == F.col("variant_id")).alias("is_hit")))).drop("s")
     return out.join(docs.select("doc_id", F.col("title").alias("doc_title")), "doc_id")
+
+
+def item_of(variants: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(variant_id, item_id) of the looked-up variants (wanted: variant_id); null without a review item."""
+    return wanted.select("variant_id").join(variants.select("variant_id", "item_id"), "variant_id")
+
+
+def related_by_ideograph(aligned: DataFrame, frequency: DataFrame, most: int = 5) -> DataFrame:
+    """(variant_id, kanji, reading, same_reading, rank, related_id): other words with an ideograph of the word, the most frequent first.
+
+    aligned: variant_id, status, spans; frequency: variant_id, frequency (a place, the least is the commonest). For each
+    ideograph and reading of a word, up to `most` words that read it so, and as many that read it otherwise. Only most + 1
+    words of a reading can rank, so each list is cut before the join.
+    """
+    spans = aligned.where("status = 'Valid'").select("variant_id", F.explode("spans").alias("s")).where("s.kind = 'kanji'").select("variant_id", F.col("s.spelling").alias("kanji"), F.col("s.reading").alias("reading")).distinct()
+    best = Window.partitionBy("kanji", "reading").orderBy("frequency", "variant_id")
+    lists = spans.join(frequency, "variant_id").withColumn("n", F.row_number().over(best)).where(F.col("n") <= most + 1)
+    lists = lists.select(F.col("variant_id").alias("related_id"), "kanji", F.col("reading").alias("other"), "frequency")
+    pairs = spans.join(lists, "kanji").where("variant_id <> related_id").withColumn("same_reading", F.col("reading") == F.col("other"))
+    pairs = pairs.groupBy("variant_id", "kanji", "reading", "same_reading", "related_id").agg(F.min("frequency").alias("frequency"))
+    rank = Window.partitionBy("variant_id", "kanji", "reading", "same_reading").orderBy("frequency", "related_id")
+    return pairs.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= most).select("variant_id", "kanji", "reading", "same_reading", "rank", "related_id")

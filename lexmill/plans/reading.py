@@ -138,3 +138,9 @@ def with_items(variants: DataFrame, attached: DataFrame) -> DataFrame:
     """Variants after items were attached to some: (variant_id, item_id) pairs win over what was there."""
     new = attached.groupBy("variant_id").agg(F.max("item_id").alias("new_item"))
     return variants.join(new, "variant_id", "left").withColumn("item_id", F.coalesce("new_item", "item_id")).drop("new_item")
+
+
+def tokens_in_order(tokens: DataFrame) -> DataFrame:
+    """tokens with their place in the document (from 0), by line and token."""
+    order = Window.partitionBy("doc_id").orderBy("line_index", "token_index")
+    return tokens.withColumn("place", F.row_number().over(order) - 1)

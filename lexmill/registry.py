@@ -11,11 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexmill.functions import text as T
-from lexmill.functions import times
+from lexmill.functions import jsons, times
 from lexmill.operators import alignment, integrity, lattice, lexicon, numbering, reviews, segment
 from lexmill.plans import lookup, reading
 from lexmill.plans.crosswalk import Tables, oracle
-from lexmill.sources import html, term_bank
+from lexmill.sources import epub, html, lexicon_csv, term_bank
+from lexmill.sources.scratch import put, scratch_folder
+from lexmill.sources.text_files import read_texts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -441,21 +443,169 @@ def _aligned(t: Tables) -> DataFrame:
     return alignment.annotated(words, kd)
 
 
-@query()
+_PICK = lambda values, by: "[" + ", ".join(f"'{v}'" for v in values) + f"][(p_partkey + {by}) % 6 + 1]"
+_ALIGNED = {
+    "pairs": f"SELECT p_partkey, {_PICK(_SYLLABLES, 0)} AS s0, {_PICK(_SOUNDS, 0)} AS r0, {_PICK(_SYLLABLES, 'p_size')} AS s1, {_PICK(_SOUNDS, 'p_size')} AS r1, p_partkey % 11 > 0 AS valid FROM part",
+    "parts": "SELECT p_partkey, 0 AS n, s0 AS s, r0 AS r FROM pairs WHERE valid UNION ALL SELECT p_partkey, 1, s1, r1 FROM pairs WHERE valid",
+}
+
+
+@query(oracle("SELECT p_partkey::VARCHAR AS variant_id, CASE WHEN valid THEN 'Valid' ELSE 'Invalid' END AS status, CASE WHEN valid THEN 'kanji:' || s0 || ':' || r0 || ':' || r0 || repeat(':Identical', length(r0)::INT) || ' kanji:' || s1 || ':' || r1 || ':' || r1 || repeat(':Identical', length(r1)::INT) ELSE '' END AS spans FROM pairs", **_ALIGNED))
 def ruby_annotate(spark, t):
-    return _aligned(t)
+    shown = F.array_join(F.transform("spans", lambda x: F.concat_ws(":", x.kind, x.spelling, x.reading, x.underlying, x.match_kinds)), " ")
+    return _aligned(t).withColumn("spans", F.coalesce(shown, F.lit("")))
 
 
-@query()
+@query(oracle("SELECT p_partkey::VARCHAR AS variant_id, n AS morpheme_index, s AS spelling, r AS reading, r AS underlying_reading FROM parts", **_ALIGNED))
 def morphemes(spark, t):
     return alignment.morphemes(_aligned(t))
 
 
-@query()
+@query(oracle("SELECT CASE WHEN valid THEN 'Valid' ELSE 'Invalid' END AS status, count(*) AS words, count(*) * 100.0::DOUBLE / (SELECT count(*) FROM pairs) AS percent FROM pairs GROUP BY ALL", **_ALIGNED))
 def alignment_coverage(spark, t):
     return alignment.coverage(_aligned(t))
 
 
+@query(oracle("SELECT s AS spelling, r AS reading, count(*) AS times FROM parts GROUP BY ALL HAVING count(*) >= 10", **_ALIGNED))
+def common_readings(spark, t):
+    return alignment.common_readings(_aligned(t))
+
+
+@query(oracle("""SELECT variant_id, kanji, reading, same_reading, rank::INT AS rank, related_id FROM (
+    SELECT *, row_number() OVER (PARTITION BY variant_id, kanji, reading, same_reading ORDER BY frequency, related_id) AS rank FROM (
+      SELECT DISTINCT a.p_partkey::VARCHAR AS variant_id, a.s AS kanji, a.r || (a.p_partkey % 2) AS reading, a.p_partkey % 2 = b.p_partkey % 2 AS same_reading, b.p_partkey::VARCHAR AS related_id, p.p_size AS frequency
+      FROM parts a JOIN parts b ON a.s = b.s AND a.p_partkey <> b.p_partkey JOIN part p ON p.p_partkey = b.p_partkey)) WHERE rank <= 5""", **_ALIGNED))
+def related_by_ideograph(spark, t):
+    """Words with an odd number read their ideographs in another way."""
+    odd = (F.col("variant_id").cast("long") % 2).cast("string")
+    other = _aligned(t).withColumn("spans", F.transform("spans", lambda x: F.struct(x.kind.alias("kind"), x.spelling.alias("spelling"), F.concat(x.reading, odd).alias("reading"))))
+    return lookup.related_by_ideograph(other, t.read("part").select(F.col("p_partkey").cast("string").alias("variant_id"), F.col("p_size").alias("frequency")))
+
+
+@query(oracle("SELECT r.item_id, r.n AS review_number, (due_at // 1000000 - before // 1000000) // 86400 AS days FROM (SELECT *, lag(reviewed_at) OVER (PARTITION BY item_id ORDER BY n) AS before FROM srs) r WHERE before IS NOT NULL", **_SRS))
+def interval_history(spark, t):
+    return reviews.interval_history(reviews.history(t.reviews))
+
+
+@query(oracle("SELECT doc_id, line_index, token_index, (row_number() OVER (PARTITION BY doc_id ORDER BY line_index, token_index) - 1)::INT AS place FROM tokens"))
+def tokens_in_order(spark, t):
+    return reading.tokens_in_order(t.tokens.select("doc_id", "line_index", "token_index"))
+
+
+@query(oracle("SELECT v.variant_id, v.item_id FROM variants v WHERE v.variant_id IN (SELECT spelling FROM defs)"))
+def item_of_variant(spark, t):
+    return lookup.item_of(t.variants, t.defs.select(F.col("spelling").alias("variant_id")).distinct())
+
+
+@query(oracle("SELECT 1 AS one, count(*) AS lemmas FROM lemmas"))
+def probe(spark, t):
+    return t.lemmas.agg(F.lit(1).alias("one"), F.count("*").alias("lemmas"))
+
+
+@query(oracle("SELECT 'docs' AS table_name, EXISTS (SELECT 1 FROM docs) AS loaded UNION ALL SELECT 'defs', EXISTS (SELECT 1 FROM defs WHERE dict_name = 'Alpha') UNION ALL SELECT 'others', EXISTS (SELECT 1 FROM defs WHERE dict_name = 'Gamma')"))
+def loaded_tables(spark, t):
+    some = {"docs": t.docs, "defs": t.defs.where("dict_name = 'Alpha'"), "others": t.defs.where("dict_name = 'Gamma'")}
+    parts = [df.limit(1).agg((F.count("*") > 0).alias("loaded")).select(F.lit(name).alias("table_name"), "loaded") for name, df in some.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query(oracle("SELECT dict_name FROM (VALUES ('Alpha'), ('Beta'), ('Gamma'), ('JMnedict')) AS w(dict_name) WHERE dict_name NOT IN (SELECT dict_name FROM defs)"))
+def missing_dictionaries(spark, t):
+    return term_bank.missing_dictionaries(spark.createDataFrame([(n,) for n in ("Alpha", "Beta", "Gamma", "JMnedict")], "dict_name string"), t.defs)
+
+
+@query(oracle("SELECT doc_id, line_index, contains(content, 'x') OR contains(content, 'w') AS ideographs, regexp_full_match(content, '[aeioustxy]+') AS japanese FROM line_texts"))
+def character_kinds(spark, t):
+    """Of lines with some letters put for kana, marks and ideographs: 々 and 〇 are no ideographs."""
+    c = F.translate("content", "aeioustxwy", "アえ々〇ーっン漢㐂ｱ")
+    return t.line_texts.select("doc_id", "line_index", T.is_ideograph(c).alias("ideographs"), T.is_japanese(F.translate("content", "aeioustxy", "アえ々〇ーっン漢ｱ")).alias("japanese"))
+
+
+@query(oracle("SELECT doc_id, line_index, printf('%.1f%%', round(100.0::DOUBLE * line_index / count(*) OVER (PARTITION BY doc_id), 1)) AS position FROM lines"))
+def reading_position(spark, t):
+    size = t.lines.groupBy("doc_id").agg(F.count("*").alias("n"))
+    return t.lines.join(size, "doc_id").select("doc_id", "line_index", times.reading_position("line_index", "n").alias("position"))
+
+
+@query("SELECT page_id, 'O/' || page_id || '/x' AS path FROM pages")
+def normalised_paths(spark, t):
+    return t.read("pages").select("page_id", T.normalised_path(F.concat(F.lit("../O/./y/../"), F.col("page_id"), F.lit("//z/../x"))).alias("path"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_partkey = 0 THEN 'unknown' ELSE printf('top %.2f%%', round(100.0::DOUBLE * p_partkey / 160836, 2)) END AS label FROM part")
+def frequency_percentile(spark, t):
+    return t.read("part").select("p_partkey", times.frequency_label("p_partkey").alias("label"))
+
+
+@query("""SELECT conv_id, turn, '{"turn":' || turn || ',"who_hash":{"role_hash":"' || sha256(role) || '","kept_hash":"x"},"parts_hash":["' || sha256(text) || '",null,true]}' AS value FROM conversations""")
+def anonymised_json(spark, t):
+    tree = F.struct("turn", F.struct("role", F.lit("x").alias("kept_hash")).alias("who"))
+    text = F.concat(F.expr("left(j, length(j) - 1)"), F.lit(',"parts":['), F.to_json(F.struct("text")).substr(F.lit(9), F.length(F.to_json(F.struct("text"))) - 9), F.lit(",null,true]}"))
+    return t.read("conversations").withColumn("j", F.to_json(tree)).select("conv_id", "turn", jsons.anonymised(text).alias("value"))
+
+
+# Readers, over files that the query writes to the shared folder first.
+
+
+@query(oracle(r"SELECT DISTINCT regexp_extract(content, '^\s*(\S+)', 1) AS word FROM line_texts WHERE regexp_matches(content, '\S')"))
+def word_list(spark, t):
+    path = scratch_folder(spark, "words")
+    t.line_texts.select("content").write.text(path)
+    return segment.word_list(spark.read.text(path))
+
+
+@query("SELECT '??' AS title, n_name || chr(10) AS text FROM nation")
+def text_files(spark, t):
+    path = scratch_folder(spark, "texts")
+    t.read("nation").select("n_nationkey", "n_name").write.partitionBy("n_nationkey").text(path)
+    return read_texts(spark, f"{path}/*/").select("title", "text")
+
+
+@query("SELECT 'Bank' AS dict_name, p_name AS spelling, 'よ' || p_partkey AS reading, 'n,v' AS tags, p_brand AS content FROM part")
+def term_bank_folder(spark, t):
+    path = scratch_folder(spark, "bank")
+    entry = F.array(F.to_json(F.struct(F.col("p_name").alias("v"))), F.to_json(F.struct(F.concat(F.lit("ヨ"), F.col("p_partkey")).alias("v"))))
+    plain = lambda x: F.expr(f"substring(x[{x}], 6, length(x[{x}]) - 6)")
+    rows = t.read("part").withColumn("x", entry)
+    texts = rows.select(F.concat(F.lit("["), plain(0), F.lit(","), plain(1), F.lit(',"n  v","",'), F.col("p_partkey"), F.lit(',["'), F.col("p_brand"), F.lit('"],1,""]')).alias("e"), (F.col("p_partkey") % 8).alias("file"))
+    files = texts.groupBy("file").agg(F.concat(F.lit("["), F.array_join(F.collect_list("e"), ","), F.lit("]")).alias("value"))
+    files.write.partitionBy("file").text(f"{path}/term_bank_1.json")
+    found = term_bank.read_definitions(spark, path, "Bank")
+    return found.select("dict_name", "spelling", "reading", F.array_join("tags", ",").alias("tags"), F.element_at("contents", 1).alias("content"))
+
+
+@query("SELECT c_custkey AS lemma_id, 'w' || c_custkey AS orth_base, CASE WHEN c_custkey % 3 > 0 THEN 'f' END AS form_base, CASE WHEN c_custkey % 2 = 0 THEN 'Meishi' ELSE 'Doushi' END AS main_pos, 'lexicon' AS comes_from FROM customer")
+def lexicon_csv_file(spark, t):
+    path = scratch_folder(spark, "lexicon")
+    value = {"main_pos": F.when(F.col("c_custkey") % 2 == 0, "名詞").otherwise("動詞"), "orth_base": F.concat(F.lit("w"), "c_custkey"), "form_base": F.when(F.col("c_custkey") % 3 > 0, "f").otherwise("*"), "lemma_id": F.col("c_custkey")}
+    t.read("customer").select(*[F.lit("0").alias(f"_{i}") for i in range(4)], *[value.get(c, F.lit("7" if c == "lemma_guid" else "*")).cast("string").alias(c) for c in lexicon_csv.FEATURES]).write.csv(path)
+    return lexicon_csv.read_terms(spark, path).select("lemma_id", "orth_base", "form_base", "main_pos", "comes_from")
+
+
+@query("SELECT 'n' || n_nationkey AS surface, CASE WHEN n_nationkey % 4 = 0 THEN 357 WHEN n_nationkey % 4 = 1 THEN 2793 ELSE 6812 END AS left_class, CASE WHEN n_nationkey % 4 = 0 THEN 14993 WHEN n_nationkey % 4 = 1 THEN 11570 ELSE 546 END AS right_class, 5000 AS cost FROM nation WHERE n_nationkey % 4 < 3")
+def name_csv(spark, t):
+    path = scratch_folder(spark, "names")
+    kind = F.element_at(F.array(*[F.lit(k) for k in ("Myou", "Sei", "Noun", "Other")]), (F.col("n_nationkey") % 4 + 1).cast("int"))
+    t.read("nation").select(kind.alias("kind"), F.concat(F.lit("n"), "n_nationkey").alias("surface"), F.lit("ナ").alias("reading")).write.csv(path)
+    return lexicon_csv.name_entries(spark, path).select("surface", F.col("left").alias("left_class"), F.col("right").alias("right_class"), "cost")
+
+
+@query("SELECT 'p' || p_partkey AS surface, p_size AS left_class, 1 AS right_class, (p_partkey - 50)::BIGINT AS cost, p_brand || ',x' AS feature FROM part")
+def word_cost_csv(spark, t):
+    path = scratch_folder(spark, "costs")
+    line = F.concat_ws(",", F.concat(F.lit("p"), "p_partkey"), "p_size", F.lit("1"), F.col("p_partkey") - 50, "p_brand", F.lit("x"))
+    t.read("part").select(F.explode(F.array(line, F.lit("no entry"))).alias("value")).write.text(path)
+    return lexicon_csv.word_costs(spark, path).withColumnsRenamed({"left": "left_class", "right": "right_class"})
+
+
+@query("SELECT 'Book ' || n_name AS title, i::INT AS chapter_index, 'c' || i AS chapter_title, n AS line_index, CASE WHEN n = 0 THEN n_name || ' ' || i ELSE '' END || chr(10) AS line FROM nation, range(1, 3) AS r(i), range(0, 2) AS l(n)")
+def epub_books(spark, t):
+    path = scratch_folder(spark, "books")
+    for r in t.read("nation").select("n_name").collect():  # 25 rows
+        put(spark, f"{path}/{r.n_name}.epub", book(f"Book {r.n_name} (new)", [(f"c{i}", f"<p>{r.n_name} {i}</p>") for i in (1, 2)]))
+    return epub.book_lines(spark, f"{path}/*.epub").select(F.trim("title").alias("title"), "chapter_index", "chapter_title", "line_index", "line")
+
+
 def book(title: str, chapters: list[tuple[str, str]]) -> bytes:
     """A small EPUB archive of (title, body) chapters behind a cover."""
     out = io.BytesIO()
