@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 from heapq import heappop, heappush
@@ -154,20 +155,19 @@ def cheapest_path(ranks: Sequence[int], nexts: Sequence[int], edge, first, last)
     return path[::-1], (cost[best] or 0) + last(best)
 
 
-def tokenise(lexicon: Lexicon, text: str, sw: Switches = Switches()) -> tuple[list[Token], int]:
-    """The cheapest segmentation and its cost; none and 0 for the empty text. A text of spaces only raises ValueError.
+def _lattice(lexicon: Lexicon, text: str, sw: Switches, incoming: Sequence[tuple[int, int]] | None = None):
+    """Nodes, their costs and sources, the nodes by the place they end at, and the furthest such place.
 
     The lattice is built from left to right, and only at places that some word ends at; of the words
     that end there, the cheapest of each right class is what later ones can follow. Ties are broken as in
-    cheapest_path().
+    cheapest_path(). incoming: (right class, cost) of what stands before the text, as nodes of their own, in order;
+    None at the beginning of all.
     """
-    if not text:
-        return [], 0
-    m = lexicon.matrix.tolist()
-    nodes: list[Token] = []
-    costs: list[int] = []
-    source: list[int] = []
-    ending: dict[int, dict[int, int]] = {0: {}}  # by place: the node to follow, by right class
+    m = memoryview(np.ascontiguousarray(lexicon.matrix))
+    nodes: list[Token | None] = [None for _ in incoming or ()]
+    costs: list[int] = [c for _, c in incoming or ()]
+    source: list[int] = [-1] * len(costs)
+    ending: dict[int, dict[int, int]] = {0: {right: i for i, (right, _) in enumerate(incoming or ())}}  # by place: the node to follow, by right class
     places = [0]
     furthest = 0
     runs: dict[str, tuple[int, int]] = {}
@@ -177,12 +177,12 @@ def tokenise(lexicon: Lexicon, text: str, sw: Switches = Switches()) -> tuple[li
         found = tokens_at(lexicon, text, rank, sw, runs)[0]
         for token in found:
             entry = token.entry
-            if rank == 0:
-                best, cost = -1, m[0][entry.left]
+            if rank == 0 and incoming is None:
+                best, cost = -1, m[0, entry.left]
             else:
                 best, cost = -1, None
                 for right, i in before.items():
-                    c = costs[i] + m[right][entry.left]
+                    c = costs[i] + m[right, entry.left]
                     if cost is None or c < cost or c == cost and i < best:
                         best, cost = i, c
             here = len(nodes)
@@ -197,15 +197,83 @@ def tokenise(lexicon: Lexicon, text: str, sw: Switches = Switches()) -> tuple[li
             other = ends.get(entry.right)
             if other is None or costs[here] < costs[other]:
                 ends[entry.right] = here
+    return nodes, costs, source, ending, furthest
+
+
+def tokenise(lexicon: Lexicon, text: str, sw: Switches = Switches()) -> tuple[list[Token], int]:
+    """The cheapest segmentation and its cost; none and 0 for the empty text. A text of spaces only raises ValueError."""
+    if not text:
+        return [], 0
+    nodes, costs, source, ending, furthest = _lattice(lexicon, text, sw)
     if not nodes:
         raise ValueError("nothing but spaces")
-    cost, last = min((costs[i] + m[right][0], i) for right, i in ending[furthest].items())
+    cost, last = min((costs[i] + int(lexicon.matrix[right, 0]), i) for right, i in ending[furthest].items())
     path = [last]
     while source[path[-1]] >= 0:
         path.append(source[path[-1]])
     return [nodes[i] for i in path[::-1]], cost
 
 
+_PIECE = re.compile(" *[^ ]+")
+
+
+class Segmenter:
+    """tokenise() piece by piece, with a memory of what pieces came to.
+
+    Where no word crosses a space, every path passes through each place before one. What a piece of text (spaces, then a
+    word) comes to depends on nothing but the right classes that may stand before it, what they cost more than the
+    cheapest, and their order, which decides ties. So each piece is worked out once for each such state.
+    """
+
+    def __init__(self, lexicon: Lexicon, sw: Switches = Switches(), most: int = 200_000, longest: int = 64):
+        self.lexicon, self.sw, self.most, self.longest = lexicon, sw, most, longest
+        self.known: dict = {}
+        alone = all(not (c := lexicon.classes.get(n, CharClass(n))).greedy and c.prefix_len <= 1 for n in lexicon.classes_of(" "))
+        self.parted = sw.strip_spaces and alone and not any(" " in w for words in (lexicon.words, lexicon.user) for w in words)
+
+    def piece(self, text: str, state: tuple | None) -> tuple[list, tuple, int]:
+        """Outcomes (place in the state before, tokens as (content, kind, feature, cost)), the state after, and the cost of its cheapest."""
+        nodes, costs, source, ending, furthest = _lattice(self.lexicon, text, self.sw, state)
+        ends = sorted(ending[furthest].items(), key=lambda x: x[1])
+        if len(ends) > 1:  # what is dearer than another whatever follows is never followed
+            ahead = np.array([costs[i] for _, i in ends])[:, None] + self.lexicon.matrix[[right for right, _ in ends]]
+            ends = [e for j, e in enumerate(ends) if not (ahead < ahead[j]).all(1).any()]
+        least = min(costs[i] for _, i in ends)
+        outcomes = []
+        for _, i in ends:
+            path = [i]
+            while source[path[-1]] >= 0:
+                path.append(source[path[-1]])
+            begin = path.pop() if state is not None else -1
+            tokens = [nodes[k] for k in path[::-1]]
+            rights = [state[begin][0] if state is not None else 0, *[t.entry.right for t in tokens]]
+            outcomes.append((begin, [(text[t.start : t.end], t.kind, t.entry.feature, t.entry.cost + int(self.lexicon.matrix[r, t.entry.left])) for r, t in zip(rights, tokens)]))
+        return outcomes, tuple((right, costs[i] - least) for right, i in ends), least
+
+    def tokens(self, text: str) -> list[tuple[str, str, str, int]]:
+        """(content, kind, feature, cost) of the cheapest segmentation's tokens."""
+        if not text.strip(" "):
+            return []
+        if len(self.known) > self.most:
+            self.known.clear()
+        steps, state = [], None
+        for piece in _PIECE.findall(text) if self.parted else [text]:
+            key = (piece, state)
+            found = self.known.get(key)
+            if found is None:
+                found = self.piece(piece, state)
+                if len(piece) <= self.longest:
+                    self.known[key] = found
+            steps.append(found[0])
+            state = found[1]
+        at = min(range(len(state)), key=lambda i: (state[i][1] + int(self.lexicon.matrix[state[i][0], 0]), i))
+        chains = []
+        for outcomes in reversed(steps):
+            at, chain = outcomes[at]
+            chains.append(chain)
+        return [t for chain in reversed(chains) for t in chain]
+
+
 def real_costs(lexicon: Lexicon, tokens: Sequence[Token]) -> list[int]:
     """Each token's own cost and that of its connection to the one before."""
     before = [0, *[t.entry.right for t in tokens]]
@@ -222,23 +290,21 @@ def tokens_of(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", text_co
     resource = shared(docs.sparkSession, lexicon)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lex = resource()
+        known = Segmenter(resource(), sw)
         for batch in batches:
             rows: list[tuple] = []
-            for doc, text in zip(batch.column("k").to_pylist(), batch.column("t").to_pylist()):
-                if text and text.strip(" "):
-                    found = tokenise(lex, text, sw)[0]
-                    line = index = 0
-                    for token, cost in zip(found, real_costs(lex, found)):
-                        content = text[token.start : token.end]
-                        if content == "\n" or starts_line and content.startswith("\n"):
-                            line, index = line + 1, 0
-                            continue
-                        rows.append((doc, line, index, content, token.kind, token.entry.feature, cost))
-                        index += 1
-                if len(rows) > 50_000:
-                    yield _rows(rows)
-                    rows = []
+            ids, texts = batch.column("k").to_pylist(), batch.column("t")
+            for i, doc in enumerate(ids):  # one text at a time, however long they are
+                line = index = 0
+                for token in known.tokens(texts[i].as_py() or ""):
+                    if token[0] == "\n" or starts_line and token[0].startswith("\n"):
+                        line, index = line + 1, 0
+                        continue
+                    rows.append((doc, line, index, *token))
+                    index += 1
+                    if len(rows) > 50_000:
+                        yield _rows(rows)
+                        rows = []
             yield _rows(rows)
 
     return docs.selectExpr(f"cast(`{id_col}` as long) as k", f"`{text_col}` as t").mapInArrow(run, "doc_id long, line_index int, token_index int, content string, kind string, feature string, cost long")

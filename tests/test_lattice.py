@@ -5,7 +5,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from lexmill.operators.lattice import CharClass, Entry, Lexicon, Switches, cheapest_path, lexicon_of, tokenise, tokens_of
+from lexmill.operators.lattice import CharClass, Entry, Lexicon, Segmenter, Switches, cheapest_path, lexicon_of, real_costs, tokenise, tokens_of
 
 
 def path(nodes, edges=(), first=(), last=()):
@@ -87,6 +87,25 @@ def test_against_all_segmentations(text, words, m):
         assert tokenise(lex, text)[1] == best
 
 
+@settings(max_examples=120, deadline=None)
+@given(
+    st.lists(st.text("abX鬱\n  ", min_size=1, max_size=25).filter(lambda t: t.strip(" ")), min_size=1, max_size=4),
+    st.dictionaries(st.text("abX", min_size=1, max_size=3), st.lists(st.tuples(st.integers(0, 2), st.integers(0, 2), st.integers(-3, 6)), min_size=1, max_size=2), max_size=8),
+    st.lists(st.integers(-3, 3), min_size=9, max_size=9),
+    st.booleans(),
+)
+def test_pieces_as_whole_texts(texts, words, m, crossing):
+    """Remembered pieces give the whole text's tokens, ties included; where a word may cross a space, the text is one piece."""
+    if crossing:
+        words = words | {"a b": [(0, 1, -9)]}
+    lex = Lexicon({w: [Entry(*e) for e in es] for w, es in words.items()}, np.array(m, np.int16).reshape(3, 3), CLASSES, RANGES, {n: [Entry(e.left, e.right, e.cost // 100) for e in es] for n, es in UNKNOWN.items()})
+    known = Segmenter(lex)
+    assert known.parted != crossing
+    for text in texts * 2:
+        found = tokenise(lex, text)[0]
+        assert known.tokens(text) == [(text[t.start : t.end], t.kind, t.entry.feature, c) for t, c in zip(found, real_costs(lex, found))]
+
+
 def test_table(spark):
     docs = spark.createDataFrame([(1, "これを\n持っ"), (2, None), (3, ""), (4, "  "), (None, "を"), (5, "を"), (5, "を")], "doc_id long, text string").selectExpr("*", "1 as cost", "'x' as content")
     rows = tokens_of(docs, lexicon()).collect()
