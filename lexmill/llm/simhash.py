@@ -189,17 +189,30 @@ def nearest_forest(a: np.ndarray, b: np.ndarray, distance: np.ndarray | None = N
     return a[at], b[at]
 
 
-def links(fps: DataFrame, limit: int, bucket_rows: int = 16384, nearest_first: bool = False) -> DataFrame:
+#: Longs of a set's parity bits, and their columns: bit i is set if an odd number of the set's hashes fall on it.
+PARITY = 8
+_PARITY = [f"p{i}" for i in range(PARITY)]
+
+
+def parity_of(values: np.ndarray) -> np.ndarray:
+    """Sets whose parity bits differ in d places differ in d members at least: which rules pairs out without the sets."""
+    odd = np.bincount((values % np.uint64(64 * PARITY)).astype(np.int64), minlength=64 * PARITY) % 2
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+
+
+def links(fps: DataFrame, limit: int, bucket_rows: int = 16384, nearest_first: bool = False, at_least: float = 0.0) -> DataFrame:
     """Edges (a, b) that join the distinct fingerprints within `limit` bits: a spanning forest a bucket and task.
 
     A value that more than bucket_rows fingerprints share is dealt out as pairs of chunks, so that no task
     holds more of it than two chunks; no pair is lost. nearest_first: edges are pairs within the limit, and
     the forests those of least distances. With a column `node` beside `fp`, edges join nodes, of which several may
     have one fingerprint. With a column `label` too, the edges are all pairs of nodes within the limit whose
-    labels differ, a the lesser, instead of a forest.
+    labels differ, a the lesser, instead of a forest. With columns `n` and PARITY of the nodes' sets, pairs whose sets
+    can't be alike by at_least (Jaccard) are left out.
     """
-    more = [c for c in ("node", "label") if c in fps.columns]
-    every = "label" in more
+    every = "label" in fps.columns
+    more = [c for c in ("node", "label", "n", *_PARITY) if c in fps.columns]
+    at = {c: 6 + i for i, c in enumerate(more)}
     sample = np.array([r.fp for r in fps.orderBy(F.xxhash64("fp"), "fp").limit(2048).collect()], np.int64).view(np.uint64)  # for estimates only
     groups = [(g, bits, t) for g, (bits, t) in enumerate(plan(sample, fps.count(), limit)) if t >= 0]
 
@@ -283,14 +296,19 @@ def links(fps: DataFrame, limit: int, bucket_rows: int = 16384, nearest_first: b
         """Of pairs of places those of two nodes; where every pair counts, each from one bucket only, as long as values aren't dealt out in chunks."""
         node = rows[6 if more else 4]
         keep = node[x] != node[y]
+        if "n" in at:
+            x, y = x[keep], y[keep]
+            n, m = rows[at["n"], x], rows[at["n"], y]
+            apart = sum(np.bitwise_count((rows[at[c], x] ^ rows[at[c], y]).view(np.uint64)).astype(np.int64) for c in _PARITY)
+            keep = (np.minimum(n, m) >= at_least * np.maximum(n, m) - 1e-6) & (apart <= (1 - at_least) / (1 + at_least) * (n + m) + 1e-6)
         if every:
-            keep &= (rows[7, x] != rows[7, y]) & ((rows[5, x] | rows[5, y]) != 0)
+            keep &= (rows[at["label"], x] != rows[at["label"], y]) & ((rows[5, x] | rows[5, y]) != 0)
             x, y = x[keep], y[keep]
             apart = (rows[4, x] ^ rows[4, y]).view(np.uint64)
-            at = np.array([place[g] for g in rows[0, x].tolist()], np.int64)
+            own_group = np.array([place[g] for g in rows[0, x].tolist()], np.int64)
             keep = np.ones(len(x), bool)
             for i, (mask, (_, _, t)) in enumerate(zip(masks, groups)):
-                keep &= (at <= i) | (np.bitwise_count(apart & mask) > t)
+                keep &= (own_group <= i) | (np.bitwise_count(apart & mask) > t)
         return x[keep], y[keep]
 
     def spanning(rows: np.ndarray, found: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -325,7 +343,7 @@ def shingle_sets(text: pa.Array, shingle: int) -> list[np.ndarray]:
 
 
 def described(docs: DataFrame, shingle: int, compared_shingle: int, seed: int, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, fp, node, text_hash) for each row of docs: the node is the hash of the set of its shingles of compared_shingle words."""
+    """(doc_id, fp, node, text_hash, n, parity) for each row of docs: the node is the hash of the set of its shingles of compared_shingle words, n their number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker_cache("simhash")
@@ -335,9 +353,11 @@ def described(docs: DataFrame, shingle: int, compared_shingle: int, seed: int, i
             end = np.cumsum([8 * len(x) for x in sets], dtype=np.int64)
             start = end - np.array([8 * len(x) for x in sets], np.int64)
             node = xxh64(np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.uint8), start, end, seed)
-            yield pa.RecordBatch.from_arrays([batch.column("k"), fp, pa.array(node.view(np.int64)), batch.column("h")], ["doc_id", "fp", "node", "text_hash"])
+            parity = np.stack([parity_of(x) for x in sets])
+            columns = [batch.column("k"), fp, pa.array(node.view(np.int64)), batch.column("h"), pa.array([len(x) for x in sets], pa.int64()), *[pa.array(parity[:, i]) for i in range(PARITY)]]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "fp", "node", "text_hash", "n", *_PARITY])
 
-    return docs.selectExpr(f"cast(`{id_col}` as long) as k", f"`{text_col}` as t", f"xxhash64(coalesce(`{text_col}`, '')) as h").mapInArrow(run, "doc_id long, fp long, node long, text_hash long")
+    return docs.selectExpr(f"cast(`{id_col}` as long) as k", f"`{text_col}` as t", f"xxhash64(coalesce(`{text_col}`, '')) as h").mapInArrow(run, "doc_id long, fp long, node long, text_hash long, n long" + "".join(f", {c} long" for c in _PARITY))
 
 
 def alike(docs: DataFrame, rows: DataFrame, edges: DataFrame, at_least: float, shingle: int, id_col: str, text_col: str) -> DataFrame:
@@ -391,12 +411,12 @@ def near_duplicates(docs: DataFrame, limit: int = 3, shingle: int = 3, seed: int
         edges = links(rows.select("fp").distinct(), limit, bucket_rows)
     else:
         rows = written(described(docs, shingle, compared_shingle, seed, id_col, text_col), "fingerprints")
-        nodes = written(rows.select("fp", "node").distinct(), "distinct-fingerprints")
-        tried = written(links(nodes, limit, bucket_rows, nearest_first=True).distinct(), "fingerprint-pairs")
+        nodes = written(rows.select("fp", "node", "n", *_PARITY).distinct(), "distinct-fingerprints")
+        tried = written(links(nodes, limit, bucket_rows, nearest_first=True, at_least=at_least).distinct(), "fingerprint-pairs")
         joined = written(alike(docs, rows, tried, at_least, compared_shingle, id_col, text_col), "alike")
         star = stars(joined, "alike-links").select(F.col("a").alias("node"), F.col("b").alias("label"))
-        labelled = nodes.join(star, "node", "left").select("fp", "node", F.coalesce("label", "node").alias("label"))
-        rest = written(links(labelled, limit, bucket_rows).distinct().join(tried, ["a", "b"], "left_anti"), "other-pairs")
+        labelled = nodes.join(star, "node", "left").select("fp", "node", F.coalesce("label", "node").alias("label"), "n", *_PARITY)
+        rest = written(links(labelled, limit, bucket_rows, at_least=at_least).distinct().join(tried, ["a", "b"], "left_anti"), "other-pairs")
         edges = joined.unionByName(alike(docs, rows, rest, at_least, compared_shingle, id_col, text_col))
     row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
     nodes = written(rows.groupBy("node").agg(F.min(row).alias("least"), F.count("*").alias("n")), "distinct-nodes")

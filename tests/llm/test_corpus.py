@@ -349,6 +349,13 @@ def test_kept_rows(spark):
     assert sorted((r.doc_id, r.component_id) for r in got if not r.kept and r.doc_id) == [(2, 1), (2, 2), (3, 2)]
 
 
+@given(st.sets(st.integers(0, 2**64 - 1), max_size=40), st.sets(st.integers(0, 2**64 - 1), max_size=40), st.sets(st.integers(0, 2**64 - 1), max_size=40))
+def test_parity_never_exceeds_the_difference(a, b, both):
+    x, y = (np.array(sorted(s | both), np.uint64) for s in (a, b))
+    apart = int(np.bitwise_count((simhash.parity_of(x) ^ simhash.parity_of(y)).view(np.uint64)).sum())
+    assert apart <= len((a | both) ^ (b | both))
+
+
 @pytest.mark.parametrize("bucket_rows", [16384, 3])
 def test_equal_fingerprints_are_compared(spark, bucket_rows):
     import random
