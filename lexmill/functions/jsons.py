@@ -7,6 +7,7 @@ import json
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def _hashed(value):
@@ -32,7 +33,7 @@ def anonymised_text(text: str | None) -> str | None:
     return json.dumps(_hashed(json.loads(text))[0], ensure_ascii=False, separators=(",", ":"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def anonymised(texts: pd.Series) -> pd.Series:
     """A JSON text whose strings are their SHA-256; the tree has no fixed schema, so it is walked in Python. Null stays null."""
     return texts.map(anonymised_text)
