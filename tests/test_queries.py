@@ -43,3 +43,11 @@ def test_entry(spark, small):
     assert e.entry(spark).columns == ["doc_id", "rank", "variant_id", "spelling", "freq"]
     assert set(registry.QUERIES) <= set(e.queries())
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_import_without_session():
+    import subprocess
+    import sys
+
+    root = str(Path(__file__).resolve().parents[1])
+    assert subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; e.queries(), e.oracle_sql()"], cwd=root, capture_output=True).returncode == 0
