@@ -113,27 +113,34 @@ def term_of(column: str) -> Column:
     return F.expr(f"lower(trim(both {_quoted(_EDGES)} from {column}))")
 
 
-#: Bits of the filter of terms, in buckets of 512 longs: 8 MB, however many terms there are.
+#: Bits of a filter of keys, in buckets of 512 longs: 8 MB, however many keys there are.
 FILTER_BITS, _BUCKET_BITS = 1 << 26, 512 * 64
 
 
-def term_filter(terms: DataFrame) -> DataFrame:
-    """(bucket, bits) of a Bloom filter of one hash: at most FILTER_BITS / 8 bytes. Beyond some ten million terms it lets most words through."""
-    place = F.pmod(F.xxhash64("term"), F.lit(FILTER_BITS))
-    longs = terms.select(place.alias("p")).groupBy(F.expr("p div 64").alias("i")).agg(F.expr("bit_or(shiftleft(1L, int(p % 64)))").alias("m"))
+def key_filter(hashes: DataFrame) -> DataFrame:
+    """(bucket, bits) of a Bloom filter of the hashes (h): at most FILTER_BITS / 8 bytes. Beyond some ten million keys it lets most through."""
+    place = F.pmod("h", F.lit(FILTER_BITS))
+    longs = hashes.select(place.alias("p")).groupBy(F.expr("p div 64").alias("i")).agg(F.expr("bit_or(shiftleft(1L, int(p % 64)))").alias("m"))
     found = longs.groupBy(F.expr("i div 512").alias("bucket")).agg(F.map_from_entries(F.collect_list(F.struct(F.expr("int(i % 512)"), "m"))).alias("by"))
     return found.select("bucket", F.expr("transform(sequence(0, 511), k -> coalesce(by[k], 0L))").alias("bits"))
 
 
+def likely(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """All rows whose values in the columns of keys are among keys, and few others: by a filter of fixed size."""
+    by = F.xxhash64(*keys.columns)
+    held = F.broadcast(key_filter(keys.select(by.alias("h"))))
+    placed = rows.withColumn("p", F.pmod(by, F.lit(FILTER_BITS)))
+    return placed.join(held, F.col("bucket") == F.expr(f"p div {_BUCKET_BITS}")).where("shiftright(bits[int(p div 64 % 512)], int(p % 64)) & 1 = 1").select(*rows.columns)
+
+
 def occurrences(docs: DataFrame, terms: DataFrame, common: DataFrame) -> DataFrame:
     """(row, term) for each document (row, t) and each of terms (distinct) that it holds.
 
     Words that aren't terms are left out before anything is shuffled: nearly all by a filter of fixed size, and those of
     common, of bounded number and length, whatever the filter says, so that no word of every document becomes a hot key.
     """
-    words = docs.select("row", F.explode(terms_of(F.col("t"))).alias("term")).where("term <> ''").withColumn("p", F.pmod(F.xxhash64("term"), F.lit(FILTER_BITS)))
-    likely = words.join(F.broadcast(term_filter(terms)), F.col("bucket") == F.expr(f"p div {_BUCKET_BITS}")).where(f"shiftright(bits[int(p div 64 % 512)], int(p % 64)) & 1 = 1").select("row", "term")
-    return likely.join(F.broadcast(common), "term", "left_anti").join(terms.hint("merge"), "term").distinct()
+    words = docs.select("row", F.explode(terms_of(F.col("t"))).alias("term")).where("term <> ''")
+    return likely(words, terms).join(F.broadcast(common), "term", "left_anti").join(terms.hint("merge"), "term").distinct()
 
 
 #: Words that occur in most documents with base spans are told apart early: so many, of at most so many letters.
@@ -148,25 +155,40 @@ def disclosing(base: DataFrame, around: int, least_surroundings: int, least_bits
     spans: where that alone rules it out, as for all common words, the corpus isn't asked for it.
     """
     found = written(mentions(base, around), "pii-mentions")
-    per_row = written(found.groupBy("row", "entity").agg(F.xxhash64(F.sort_array(F.collect_set("surroundings"))).alias("kind")), "pii-entities")
-    often = found.groupBy("entity").agg(F.countDistinct("surroundings").alias("n")).where(F.col("n") >= least_surroundings).select("entity")
-    texts = cut_at_spans(base.where("size(spans) > 0").dropDuplicates(["row"]).select("row", "t", "spans"))
-    words = written(texts.select("row", F.explode(terms_of(F.col("cut"))).alias("term")).where("term <> ''"), "pii-terms")
-    near = found.select("entity", "surroundings", F.explode("words").alias("term")).where("term <> ''").groupBy("entity", "term").agg((F.countDistinct("surroundings") >= least_surroundings).alias("repeated"))
-    repeats = per_row.join(often, "entity").join(words, "row").groupBy("entity", "term").agg(F.countDistinct("kind").alias("kinds")).where(F.col("kinds") >= least_surroundings)
-    considered = near.unionByName(repeats.select("entity", "term", F.lit(True).alias("repeated"))).groupBy("entity", "term").agg(F.max("repeated").alias("repeated"))
     total = F.lit(float(base.select("row").distinct().count()))
-    entities = per_row.groupBy("entity").agg(F.count("*").alias("entity_df"))
-    at_least = words.groupBy("term").agg(F.count("*").alias("least_df"))
     pmi = lambda joint, df: F.log2(total * F.col(joint) / F.col(df) / F.col("entity_df"))
-    telling = lambda joint, df: (pmi(joint, df) >= generalise_at * F.col("ic")) & (F.col("repeated") | (pmi(joint, df) >= least_bits))
-    known = considered.join(entities, "entity").withColumn("ic", F.log2(total / F.col("entity_df"))).where("ic > 0").join(at_least, "term")
-    bounded = known.withColumn("at_most", F.least("entity_df", "least_df")).where(telling("at_most", "least_df")).drop("at_most")
-    together = bounded.join(words, "term").join(per_row.select("row", "entity"), ["row", "entity"])
-    joint = together.groupBy("entity", "term").agg(*[F.first(c).alias(c) for c in ("repeated", "entity_df", "ic", "least_df")], F.count("*").alias("joint"))
-    possible = written(joint.where(telling("joint", "least_df")), "pii-joint")
+    much = lambda joint, df: pmi(joint, df) >= generalise_at * F.col("ic")
+    telling = lambda joint, df: much(joint, df) & (F.col("repeated") | (pmi(joint, df) >= least_bits))
+    per_row = written(found.groupBy("row", "entity").agg(F.xxhash64(F.sort_array(F.collect_set("surroundings"))).alias("kind")), "pii-entities")
+    often = found.groupBy("entity").agg((F.countDistinct("surroundings") >= least_surroundings).alias("often"))
+    entities = per_row.groupBy("entity").agg(F.count("*").alias("entity_df")).join(often, "entity")
+    entities = written(entities.withColumn("ic", F.log2(total / F.col("entity_df"))).where("ic > 0"), "pii-entity-counts")
+    # a document's words stay together, beside its entities, until the pairs that can't count are ruled out
+    of_row = per_row.join(entities, "entity").groupBy("row").agg(F.collect_list(F.struct("entity", "kind", "entity_df", "often", "ic")).alias("entities"))
+    texts = cut_at_spans(base.where("size(spans) > 0").select("row", "t", "spans").dropDuplicates(["row"]))
+    texts = written(texts.select("row", F.array_remove(terms_of(F.col("cut")), "").alias("terms")).join(of_row, "row", "left"), "pii-terms")
+    at_least = written(texts.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("least_df")), "pii-least")
+    short = at_least.where(F.length("term") <= COMMON_LENGTH)
+    frequent = written(short.orderBy(F.desc("least_df"), "term").limit(COMMON_WORDS).withColumnRenamed("least_df", "frequent_df"), "pii-frequent")
+    near = found.select("entity", "surroundings", F.explode("words").alias("term")).where("term <> ''").groupBy("entity", "term").agg((F.countDistinct("surroundings") >= least_surroundings).alias("repeated"))
+    near = near.join(entities, "entity").join(at_least, "term").withColumn("at_most", F.least("entity_df", "least_df"))
+    near = written(near.where(telling("at_most", "least_df")).select("entity", "term", "repeated", "often"), "pii-near")
+
+    def pairs(of: DataFrame) -> DataFrame:
+        """The words of an entity's documents, but for frequent ones that can't tell enough of it."""
+        all_of = of.select("entity", "kind", "entity_df", "often", "ic", F.explode("terms").alias("term"))
+        bounded = all_of.join(F.broadcast(frequent), "term", "left").withColumn("at_most", F.least("entity_df", "frequent_df"))
+        return bounded.where(F.col("frequent_df").isNull() | much("at_most", "frequent_df")).drop("at_most", "frequent_df")
+
+    each = texts.select("terms", F.explode("entities").alias("x")).select("terms", "x.*")
+    considered = pairs(each.where("often")).unionByName(likely(pairs(each.where("not often")), near.where("not often").select("entity", "term")))
+    joint = considered.groupBy("entity", "term").agg(*[F.first(c).alias(c) for c in ("entity_df", "often", "ic")], F.count("*").alias("joint"), F.countDistinct("kind").alias("kinds"))
+    joint = joint.join(near.drop("often"), ["entity", "term"], "left").withColumn("repeats", F.col("often") & (F.col("kinds") >= least_surroundings))
+    joint = joint.where("repeats or repeated is not null").withColumn("repeated", F.expr("repeats or coalesce(repeated, false)"))
+    possible = joint.join(at_least, "term").where(telling("joint", "least_df"))
+    possible = written(possible.select("entity", "term", "repeated", "entity_df", "ic", "joint"), "pii-joint")
     terms = possible.select("term").distinct()
-    common = at_least.where(F.length("term") <= COMMON_LENGTH).join(terms, "term", "left_anti").orderBy(F.desc("least_df"), "term").limit(COMMON_WORDS).select("term")
+    common = short.join(terms, "term", "left_anti").orderBy(F.desc("least_df"), "term").limit(COMMON_WORDS).select("term")
     held = written(occurrences(cut_at_spans(base).select("row", F.col("cut").alias("t")), terms, written(common, "pii-common")), "pii-held")
     scored = possible.join(held.groupBy("term").agg(F.count("*").alias("df")), "term").where(telling("joint", "df")).withColumn("disclosure", pmi("joint", "df") / F.col("ic"))
     return scored.select("entity", "term", "disclosure", F.when(F.col("disclosure") >= remove_at, "remove").otherwise("generalise").alias("action")), held
