@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from hypothesis import given, settings
@@ -408,6 +409,32 @@ def test_bm25(docs, none, texts):
     assert bm25.search(none, "k % 10 = 0").count() == 0
 
 
+def languages(rng, n, kinds=3):
+    """Texts of as many vocabularies, each with its own frequent words, and few rare words that all share."""
+    for i in range(n):
+        common, c = [f"{'abc'[i % kinds]}{j}" for j in range(12)], i % kinds
+        yield c, " ".join([*rng.choices(common, k=20), *(f"{c}w{rng.randrange(400)}" for _ in range(15)), *(f"s{rng.randrange(200)}" for _ in range(2))])
+
+
+def test_bm25_of_several_languages(spark):
+    """A shard's documents are parted by their frequent words, and the result stays that of all pairs."""
+    import random
+
+    rows = list(enumerate(languages(random.Random(2), 1200)))
+    batch = bm25.Batch(pa.record_batch({"k": pa.array([i for i, _ in rows]), "t": pa.array([t for _, (_, t) in rows])}))
+    kind = bm25.kinds(batch)
+    assert len(set(kind.tolist())) >= 3 and len({(a, c) for a, (_, (c, _)) in zip(kind.tolist(), rows)}) == len(set(kind.tolist()))
+    text = {i: Counter(lowered(t)) for i, (_, t) in rows}
+    df, mean = Counter(w for c in text.values() for w in c), sum(sum(c.values()) for c in text.values()) / len(text)
+    got: dict = {}
+    for r in bm25.search(spark.createDataFrame([(i, t) for i, (_, t) in rows], "doc_id long, text string"), "k % 50 = 0", k=5, query_block=7).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.doc_id, r.score))
+    for q in range(0, len(rows), 50):
+        scores = sorted((-round(sum(math.log(1 + (len(text) - df[w] + 0.5) / (df[w] + 0.5)) * c[w] * 2.2 / (c[w] + 1.2 * (0.25 + 0.75 * sum(c.values()) / mean)) for w in text[q] if w in c), 9), k) for k, c in text.items() if k != q)
+        assert [d for _, d, _ in sorted(got[q])] == [k for _, k in scores[:5]]
+        assert [s for _, _, s in sorted(got[q])] == pytest.approx([-s for s, _ in scores[:5]], abs=1e-8)
+
+
 def test_bm25_of_repeated_queries(spark):
     """Of the texts of a query's id the first counts; no document is listed twice but for rows that repeat it; tiny texts fill many shards."""
     rows = [(50, "a b"), (50, "a c d"), (50, "a b"), (1, "a b"), (2, "a c"), (3, "c d"), (4, "b")] + [(100 + i, "") for i in range(40)]
