@@ -15,11 +15,14 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.llm.arrow_text import chained, lower_table, slices, text_buffers, words, worker_cache
+from lexmill.llm import exchange
+from lexmill.llm.arrow_text import chained, lower_table, mix, slices, text_buffers, words, worker_cache
 from lexmill.llm.components import stars
+from lexmill.llm.exchange import DOCUMENTS, SCHEMA, aligned, answered, gathered, questions, rows_of, tasks_for, together
 from lexmill.llm.storage import written
 from lexmill.llm.xxh64 import xxh64
 
@@ -200,7 +203,7 @@ def parity_of(values: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
 
 
-def links(fps: DataFrame, limit: int, bucket_rows: int = 16384, nearest_first: bool = False, at_least: float = 0.0) -> DataFrame:
+def links(fps: DataFrame, limit: int, bucket_rows: int = 16384, nearest_first: bool = False, at_least: float = 0.0, met: DataFrame | None = None) -> DataFrame:
     """Edges (a, b) that join the distinct fingerprints within `limit` bits: a spanning forest a bucket and task.
 
     A value that more than bucket_rows fingerprints share is dealt out as pairs of chunks, so that no task
@@ -208,13 +211,16 @@ def links(fps: DataFrame, limit: int, bucket_rows: int = 16384, nearest_first: b
     the forests those of least distances. With a column `node` beside `fp`, edges join nodes, of which several may
     have one fingerprint. With a column `label` too, the edges are all pairs of nodes within the limit whose
     labels differ, a the lesser, instead of a forest. With columns `n` and PARITY of the nodes' sets, pairs whose sets
-    can't be alike by at_least (Jaccard) are left out.
+    can't be alike by at_least (Jaccard) are left out. With met, the buckets (v) of each node, nodes meet in those
+    instead of in buckets of bits; a pair may then come from several.
     """
     every = "label" in fps.columns
     more = [c for c in ("node", "label", "n", *_PARITY) if c in fps.columns]
     at = {c: 6 + i for i, c in enumerate(more)}
-    sample = np.array([r.fp for r in fps.orderBy(F.xxhash64("fp"), "fp").limit(2048).collect()], np.int64).view(np.uint64)  # for estimates only
-    groups = [(g, bits, t) for g, (bits, t) in enumerate(plan(sample, fps.count(), limit)) if t >= 0]
+    groups = []
+    if met is None:
+        sample = np.array([r.fp for r in fps.orderBy(F.xxhash64("fp"), "fp").limit(2048).collect()], np.int64).view(np.uint64)  # for estimates only
+        groups = [(g, bits, t) for g, (bits, t) in enumerate(plan(sample, fps.count(), limit)) if t >= 0]
 
     masks = [np.uint64(sum(1 << b for b in bits)) for _, bits, _ in groups]
     place = {g: i for i, (g, _, _) in enumerate(groups)}
@@ -235,7 +241,12 @@ def links(fps: DataFrame, limit: int, bucket_rows: int = 16384, nearest_first: b
     def row(g, value, x, own, carried):
         return pa.RecordBatch.from_arrays([pa.array(np.full(len(x), g, np.int32)), pa.array(value.view(np.int64)), pa.array(x.view(np.int64)), pa.array(np.full(len(x), own)), *map(pa.array, carried)], ["g", "v", "fp", "own", *more])
 
-    dealt = fps.select("fp", *more).mapInArrow(deal, "g int, v long, fp long, own boolean" + "".join(f", {c} long" for c in more))
+    if met is None:
+        dealt = fps.select("fp", *more).mapInArrow(deal, "g int, v long, fp long, own boolean" + "".join(f", {c} long" for c in more))
+    else:
+        dealt = fps.join(met, "node").select(F.lit(0).alias("g"), "v", "fp", F.lit(True).alias("own"), *more)
+        if every:  # buckets of one label have no pair
+            dealt = dealt.join(dealt.groupBy("v").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("v"), "v", "left_semi")
     large = dealt.where("own").groupBy("g", "v").count().where(F.col("count") > bucket_rows)
     chunks = F.coalesce(F.ceil(F.col("count") / bucket_rows), F.lit(1)).cast("int")
     mine = F.pmod(F.xxhash64("node" if more else "fp"), F.col("chunks")).cast("int")
@@ -305,7 +316,7 @@ def links(fps: DataFrame, limit: int, bucket_rows: int = 16384, nearest_first: b
             keep &= (rows[at["label"], x] != rows[at["label"], y]) & ((rows[5, x] | rows[5, y]) != 0)
             x, y = x[keep], y[keep]
             apart = (rows[4, x] ^ rows[4, y]).view(np.uint64)
-            own_group = np.array([place[g] for g in rows[0, x].tolist()], np.int64)
+            own_group = np.array([place.get(g, 0) for g in rows[0, x].tolist()], np.int64)
             keep = np.ones(len(x), bool)
             for i, (mask, (_, _, t)) in enumerate(zip(masks, groups)):
                 keep &= (own_group <= i) | (np.bitwise_count(apart & mask) > t)
@@ -342,8 +353,27 @@ def shingle_sets(text: pa.Array, shingle: int) -> list[np.ndarray]:
     return out
 
 
-def described(docs: DataFrame, shingle: int, compared_shingle: int, seed: int, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, fp, node, text_hash, n, parity) for each row of docs: the node is the hash of the set of its shingles of compared_shingle words, n their number."""
+#: A head is longer by this share of its set than it must be for one common member.
+LONGER = 0.1
+
+
+def head_of(values: np.ndarray, at_least: float) -> np.ndarray:
+    """The first members of a set in one order of all hashes (by `mix`).
+
+    Alike sets of n and m members have at least_of_head(n), at_least_of_head(m) and more common members in both heads: the
+    j-th common one, of at least at_least * n, has place n - at_least * n + j at most.
+    """
+    n = len(values)
+    return values[np.argsort(mix(values))[: n - int(np.ceil(at_least * n - 1e-6)) + 1 + int(LONGER * n)]]
+
+
+def at_least_of_head(n: np.ndarray, at_least: float) -> np.ndarray:
+    """How many members of the head, at least, a set of n members shares with the head of any that is alike, which may be smaller."""
+    return 1 + np.maximum(0, np.floor(LONGER * at_least * n - 1e-6)).astype(np.int64)
+
+
+def described(docs: DataFrame, shingle: int, compared_shingle: int, seed: int, id_col: str, text_col: str, at_least: float) -> DataFrame:
+    """(doc_id, fp, node, text_hash, n, parity, head) for each row of docs: the node is the hash of the set of its shingles of compared_shingle words, n their number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker_cache("simhash")
@@ -354,15 +384,119 @@ def described(docs: DataFrame, shingle: int, compared_shingle: int, seed: int, i
             start = end - np.array([8 * len(x) for x in sets], np.int64)
             node = xxh64(np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.uint8), start, end, seed)
             parity = np.stack([parity_of(x) for x in sets])
-            columns = [batch.column("k"), fp, pa.array(node.view(np.int64)), batch.column("h"), pa.array([len(x) for x in sets], pa.int64()), *[pa.array(parity[:, i]) for i in range(PARITY)]]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "fp", "node", "text_hash", "n", *_PARITY])
+            columns = [batch.column("k"), fp, pa.array(node.view(np.int64)), batch.column("h"), pa.array([len(x) for x in sets], pa.int64()), *[pa.array(parity[:, i]) for i in range(PARITY)], pa.array([head_of(x, at_least).tobytes() for x in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "fp", "node", "text_hash", "n", *_PARITY, "head"])
+
+    return docs.selectExpr(f"cast(`{id_col}` as long) as k", f"`{text_col}` as t", f"xxhash64(coalesce(`{text_col}`, '')) as h").mapInArrow(run, "doc_id long, fp long, node long, text_hash long, n long" + "".join(f", {c} long" for c in _PARITY) + ", head binary")
+
+
+def batches_of(sets: DataFrame, most_bytes: int = 4 << 20) -> DataFrame:
+    """Rows (node, n, members) as the exchange's batches; write the result once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("exchange")
+        number = TaskContext.get().partitionId() << 32
+        for batch in batches:
+            size = np.cumsum(8 * batch.column("n").to_numpy())
+            at = 0
+            while at < batch.num_rows:
+                to = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + most_bytes, side="right")))
+                part = batch.slice(at, to - at)
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, part.schema) as out:
+                    out.write_batch(part)
+                yield rows_of([number], [DOCUMENTS], [0], [part.num_rows], [part.nbytes], [sink.getvalue().to_pybytes()])
+                number, at = number + 1, to
+
+    return sets.select("node", F.col("n").cast("long").alias("n"), "members").mapInArrow(run, SCHEMA)
+
 
-    return docs.selectExpr(f"cast(`{id_col}` as long) as k", f"`{text_col}` as t", f"xxhash64(coalesce(`{text_col}`, '')) as h").mapInArrow(run, "doc_id long, fp long, node long, text_hash long, n long" + "".join(f", {c} long" for c in _PARITY))
+def _members(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """All members of a batch's sets, and the place of each one's set."""
+    held = [np.frombuffer(x.as_buffer(), np.uint64) for x in part.column("members")]
+    return np.concatenate([*held, np.zeros(0, np.uint64)]), np.repeat(np.arange(len(held)), [len(x) for x in held])
 
 
-def alike(docs: DataFrame, rows: DataFrame, edges: DataFrame, at_least: float, shingle: int, id_col: str, text_col: str) -> DataFrame:
-    """The edges (a, b) whose nodes' texts share at least so much of their word shingles (Jaccard)."""
-    involved = edges.select(F.col("a").alias("node")).union(edges.select(F.col("b").alias("node"))).distinct()
+#: Bits of an answer for the sum of the nodes' hashes; those above are the number of nodes, so that answers sort by it.
+_SUM_BITS = 40
+
+
+def _nodes_that_share(keys: np.ndarray, values: list, part: np.ndarray):
+    """For each member how many nodes have it, and a hash of which: members of the same nodes get the same answer."""
+    order, new = exchange.groups(keys)
+    first = np.flatnonzero(new)
+    number = np.minimum(np.add.reduceat(values[0][order].astype(np.int64), first), (1 << 23) - 1).astype(np.uint64)
+    which = np.add.reduceat(values[1][order], first) & np.uint64((1 << _SUM_BITS) - 1)
+    which[number == 1] = 0
+    out = np.empty(len(keys), np.uint64)
+    out[order] = np.repeat(number << np.uint64(_SUM_BITS) | which, np.diff(np.append(first, len(order))))
+    return out, None
+
+
+def _in_several_nodes(keys: np.ndarray, values: list, part: np.ndarray):
+    order, new = exchange.groups(keys)
+    first = np.flatnonzero(new)
+    out = np.empty(len(keys), np.uint8)
+    out[order] = np.repeat(np.add.reduceat(values[0][order].astype(np.int64), first) > 1, np.diff(np.append(first, len(order))))
+    return out, None
+
+
+def sets_that_may_meet(rows: DataFrame, at_least: float, tasks: int) -> DataFrame:
+    """The nodes whose heads share as much with other heads as those of alike sets do."""
+    heads = written(batches_of(rows.where("n > 0").select("node", "n", F.col("head").alias("members")).dropDuplicates(["node"])), "heads")
+
+    def ask(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b, part, _ in gathered(parts):
+            keys, count = np.unique(_members(part)[0], return_counts=True)
+            yield questions(b, 4 * tasks, keys, count.astype(np.uint32))
+
+    met = written(answered(heads.mapInArrow(ask, heads.schema), [np.uint32], _in_several_nodes, 1, tasks), "met-heads")
+
+    def pick(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, part, answers in gathered(parts):
+            members, of = _members(part)
+            several = aligned(answers, 1, np.uint8)[np.unique(members, return_inverse=True)[1]]
+            shared = np.bincount(of, several, part.num_rows)
+            yield part.select(["node"]).filter(pa.array(shared >= at_least_of_head(part.column("n").to_numpy(), at_least)))
+
+    return written(together(heads, met).mapInArrow(pick, "node long"), "may-meet")
+
+
+def meetings(known: DataFrame, at_least: float, tasks: int) -> DataFrame:
+    """Buckets (node, v) in which any two alike sets of known (node, n, set) meet.
+
+    Of two alike sets the rarest members, as many as may be missing and one more, have one in common. Members of the same
+    sets share a bucket, and members of one set have none.
+    """
+    sets = written(batches_of(known.where("n > 0").withColumnRenamed("set", "members")), "sets")
+
+    def ask(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b, part, _ in gathered(parts):
+            members, of = _members(part)
+            keys, which, count = np.unique(members, return_inverse=True, return_counts=True)
+            order = np.argsort(which, kind="stable")
+            sums = np.add.reduceat(mix(part.column("node").to_numpy().view(np.uint64))[of[order]], np.cumsum(count) - count)
+            yield questions(b, 4 * tasks, keys, count.astype(np.uint32), sums)
+
+    shares = written(answered(sets.mapInArrow(ask, sets.schema), [np.uint32, np.uint64], _nodes_that_share, 1, tasks), "shares")
+
+    def deal(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, part, answers in gathered(parts):
+            members, of = _members(part)
+            share = aligned(answers, 1, np.uint64)[np.unique(members, return_inverse=True)[1]]
+            order = np.lexsort((members, share, of))  # `of` is in order, so that places within a set follow
+            n = np.bincount(of, minlength=part.num_rows)
+            place = np.arange(len(of)) - (np.cumsum(n) - n)[of]
+            chosen = order[(place < (n - np.ceil(at_least * n - 1e-6) + 1)[of]) & (share[order] >> np.uint64(_SUM_BITS) > 1)]
+            dealt = np.unique(np.stack([of[chosen].astype(np.uint64), share[chosen]]), axis=1)
+            node = part.column("node").to_numpy()[dealt[0].astype(np.int64)]
+            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(dealt[1].view(np.int64))], ["node", "v"])
+
+    return written(together(sets, shares).mapInArrow(deal, "node long, v long"), "meetings")
+
+
+def sets_of(docs: DataFrame, rows: DataFrame, involved: DataFrame, shingle: int, id_col: str, text_col: str) -> DataFrame:
+    """(node, n, set) of the nodes involved."""
     # one row stands for a node: that of least id, or of no id if there is no other
     shown = rows.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", "text_hash").alias("place"), "text_hash")).alias("m")).select("node", "m.place", "m.text_hash")
     shown = involved.join(shown, "node")
@@ -373,7 +507,11 @@ def alike(docs: DataFrame, rows: DataFrame, edges: DataFrame, at_least: float, s
             found = shingle_sets(batch.column("t"), shingle)
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([len(f) for f in found], pa.int32()), pa.array([f.tobytes() for f in found], pa.binary())], ["node", "n", "set"])
 
-    known = written(texts.select("node", "t").mapInArrow(sets, "node long, n int, set binary").dropDuplicates(["node"]), "shingle-sets")
+    return written(texts.select("node", "t").mapInArrow(sets, "node long, n int, set binary").dropDuplicates(["node"]), "shingle-sets")
+
+
+def alike(known: DataFrame, edges: DataFrame, at_least: float) -> DataFrame:
+    """The edges (a, b) whose nodes' sets in known (node, n, set) share so much at least (Jaccard)."""
     side = lambda c, n, *more: known.select(F.col("node").alias(c), *[F.col(m).alias(n) for m in more])
     # sets of too different sizes can't be alike
     sized = edges.join(side("a", "n", "n"), "a").join(side("b", "m", "n"), "b").where(F.least("n", "m") >= at_least * F.greatest("n", "m") - 1e-6)
@@ -396,7 +534,8 @@ def near_duplicates(docs: DataFrame, limit: int = 3, shingle: int = 3, seed: int
     """Per row of docs: doc_id, fingerprint (16 hex digits), and component_id, the least doc_id reachable.
 
     Fingerprints link at `limit` or fewer differing bits. With at_least, a link counts only if the texts'
-    shingles of compared_shingle words are alike by so much (Jaccard). First the links of spanning forests of least
+    shingles of compared_shingle words are alike by so much (Jaccard). Such texts share one of their rarest shingles, and
+    are looked for among those that do. First the links of spanning forests of least
     distances are compared, which joins crowds of copies at a linear number of comparisons; then every link between
     texts that aren't joined yet, so none is lost. Texts of equal shingle sets are alike; texts of
     one fingerprint are compared like any others. A to Z are lower-cased; words are
@@ -410,14 +549,17 @@ def near_duplicates(docs: DataFrame, limit: int = 3, shingle: int = 3, seed: int
         rows = written(fingerprints(docs, shingle, seed, id_col, text_col).withColumn("node", F.col("fp")), "fingerprints")
         edges = links(rows.select("fp").distinct(), limit, bucket_rows)
     else:
-        rows = written(described(docs, shingle, compared_shingle, seed, id_col, text_col), "fingerprints")
+        rows = written(described(docs, shingle, compared_shingle, seed, id_col, text_col, at_least), "fingerprints")
         nodes = written(rows.select("fp", "node", "n", *_PARITY).distinct(), "distinct-fingerprints")
-        tried = written(links(nodes, limit, bucket_rows, nearest_first=True, at_least=at_least).distinct(), "fingerprint-pairs")
-        joined = written(alike(docs, rows, tried, at_least, compared_shingle, id_col, text_col), "alike")
+        tasks = tasks_for(docs)
+        known = sets_of(docs, rows, sets_that_may_meet(rows, at_least, tasks), compared_shingle, id_col, text_col)
+        met = meetings(known, at_least, tasks)
+        tried = written(links(nodes, limit, bucket_rows, nearest_first=True, at_least=at_least, met=met).distinct(), "fingerprint-pairs")
+        joined = written(alike(known, tried, at_least), "alike")
         star = stars(joined, "alike-links").select(F.col("a").alias("node"), F.col("b").alias("label"))
         labelled = nodes.join(star, "node", "left").select("fp", "node", F.coalesce("label", "node").alias("label"), "n", *_PARITY)
-        rest = written(links(labelled, limit, bucket_rows, at_least=at_least).distinct().join(tried, ["a", "b"], "left_anti"), "other-pairs")
-        edges = joined.unionByName(alike(docs, rows, rest, at_least, compared_shingle, id_col, text_col))
+        rest = written(links(labelled, limit, bucket_rows, at_least=at_least, met=met).distinct().join(tried, ["a", "b"], "left_anti"), "other-pairs")
+        edges = joined.unionByName(alike(known, rest, at_least))
     row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
     nodes = written(rows.groupBy("node").agg(F.min(row).alias("least"), F.count("*").alias("n")), "distinct-nodes")
     star = stars(edges, "fingerprint-links")

@@ -357,6 +357,32 @@ def test_parity_never_exceeds_the_difference(a, b, both):
     assert apart <= len((a | both) ^ (b | both))
 
 
+@given(st.sets(st.integers(0, 2**64 - 1), min_size=1, max_size=80), st.lists(st.integers(0, 2**64 - 1), max_size=10), st.integers(0, 9))
+def test_heads_of_alike_sets_meet(a, more, less):
+    x, y = (np.array(sorted(s), np.uint64) for s in (a, set(sorted(a)[less:]) | set(more)))
+    if len(x) and len(y) and len(np.intersect1d(x, y)) >= 0.8 * len(np.union1d(x, y)):
+        both = len(np.intersect1d(simhash.head_of(x, 0.8), simhash.head_of(y, 0.8)))
+        assert both >= simhash.at_least_of_head(np.array([len(x), len(y)]), 0.8).max()
+
+
+def test_only_texts_that_share_rare_shingles_are_dealt_out(spark):
+    """Texts that have no more than a common passage get no bucket; before, each went to some by its bits, the more the larger the corpus."""
+    import random
+
+    rng = random.Random(11)
+    passage = " ".join(rng.choices("abcdefgh", k=30))
+    own = [" ".join("".join(rng.choices("abcdefgh", k=5)) for _ in range(100)) for _ in range(200)]
+    rows = [(i, f"{t} {passage}") for i, t in enumerate(own)] + [(1000 + i, f"{own[i]} {passage} more") for i in range(5)] + [(2000, own[9] + " " + passage), (3000, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    described = simhash.described(df, 3, 5, 42, "doc_id", "text", 0.8)
+    known = simhash.sets_of(df, described, simhash.sets_that_may_meet(described, 0.8, 4), 5, "doc_id", "text")
+    met = simhash.meetings(known, 0.8, 4).join(described, "node").select("doc_id", "v").distinct().collect()
+    assert {r.doc_id for r in met} == {*range(5), *range(1000, 1005)}
+    assert len(met) <= 2 * 10
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(df, limit=12, at_least=0.8).collect()}
+    assert got == {k: {2000: 9}.get(k, k - 1000 if 1000 <= k < 1005 else k) for k, _ in rows}
+
+
 @pytest.mark.parametrize("bucket_rows", [16384, 3])
 def test_equal_fingerprints_are_compared(spark, bucket_rows):
     import random
