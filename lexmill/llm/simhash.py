@@ -203,7 +203,7 @@ def parity_of(values: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
 
 
-def links(fps: DataFrame, limit: int, bucket_rows: int = 16384, nearest_first: bool = False, at_least: float = 0.0, met: DataFrame | None = None) -> DataFrame:
+def links(fps: DataFrame, limit: int, bucket_rows: int = 16384, nearest_first: bool = False, at_least: float = 0.0, met: DataFrame | None = None, apart: tuple[int, int] | None = None) -> DataFrame:
     """Edges (a, b) that join the distinct fingerprints within `limit` bits: a spanning forest a bucket and task.
 
     A value that more than bucket_rows fingerprints share is dealt out as pairs of chunks, so that no task
@@ -212,7 +212,8 @@ def links(fps: DataFrame, limit: int, bucket_rows: int = 16384, nearest_first: b
     have one fingerprint. With a column `label` too, the edges are all pairs of nodes within the limit whose
     labels differ, a the lesser, instead of a forest. With columns `n` and PARITY of the nodes' sets, pairs whose sets
     can't be alike by at_least (Jaccard) are left out. With met, the buckets (v) of each node, nodes meet in those
-    instead of in buckets of bits; a pair may then come from several.
+    instead of in buckets of bits; a pair may then come from several. With apart, of the pairs of a bucket whose labels
+    differ those are given whose places, in the order of nodes, are apart[0] or more and fewer than apart[1] apart.
     """
     every = "label" in fps.columns
     more = [c for c in ("node", "label", "n", *_PARITY) if c in fps.columns]
@@ -245,8 +246,6 @@ def links(fps: DataFrame, limit: int, bucket_rows: int = 16384, nearest_first: b
         dealt = fps.select("fp", *more).mapInArrow(deal, "g int, v long, fp long, own boolean" + "".join(f", {c} long" for c in more))
     else:
         dealt = fps.join(met, "node").select(F.lit(0).alias("g"), "v", "fp", F.lit(True).alias("own"), *more)
-        if every:  # buckets of one label have no pair
-            dealt = dealt.join(dealt.groupBy("v").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("v"), "v", "left_semi")
     large = dealt.where("own").groupBy("g", "v").count().where(F.col("count") > bucket_rows)
     chunks = F.coalesce(F.ceil(F.col("count") / bucket_rows), F.lit(1)).cast("int")
     mine = F.pmod(F.xxhash64("node" if more else "fp"), F.col("chunks")).cast("int")
@@ -275,12 +274,25 @@ def links(fps: DataFrame, limit: int, bucket_rows: int = 16384, nearest_first: b
         starts = np.append(0, np.flatnonzero((rows[:4, 1:] != rows[:4, :-1]).any(0)) + 1)
         size = np.diff(np.append(starts, len(fp)))
         end = np.repeat(starts + size, size)
-        at = np.flatnonzero(np.repeat(size <= SMALL, size))
         found: list[tuple[np.ndarray, np.ndarray]] = []  # places of both ends
         held = 0
+        if apart:
+            label, here = rows[at["label"]], np.arange(len(fp))
+            for d in range(apart[0], min(apart[1], int(size.max()))):
+                here = here[here + d < end[here]]
+                hit = here[label[here] != label[here + d]]
+                hit = hit[np.bitwise_count(fp[hit] ^ fp[hit + d]) <= limit]
+                found.append(wanted(rows, hit, hit + d))
+                held += len(found[-1][0])
+                if held > 1 << 21:
+                    yield batch_of(rows, found)
+                    found, held = [], 0
+            yield batch_of(rows, found)
+            return
+        near = np.flatnonzero(np.repeat(size <= SMALL, size))
         for d in range(1, int(size[size <= SMALL].max(initial=0))):
-            at = at[at + d < end[at]]
-            hit = at[np.bitwise_count(fp[at] ^ fp[at + d]) <= limit]
+            near = near[near + d < end[near]]
+            hit = near[np.bitwise_count(fp[near] ^ fp[near + d]) <= limit]
             found.append(wanted(rows, hit, hit + d))
             held += len(found[-1][0])
             if every and held > 1 << 21:
@@ -336,9 +348,16 @@ def links(fps: DataFrame, limit: int, bucket_rows: int = 16384, nearest_first: b
     def batch_of(rows: np.ndarray, found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
         x, y = (np.concatenate([f[i] for f in found] + [np.zeros(0, np.int64)]) for i in (0, 1)) if every else spanning(rows, found)
         a, b = rows[6 if more else 4, x], rows[6 if more else 4, y]
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+        a, b = np.minimum(a, b), np.maximum(a, b)
+        if not groups:  # several buckets of a batch may have the same pair
+            order = np.lexsort((b, a))
+            a, b = a[order], b[order]
+            new = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))[: len(a)]
+            a, b = a[new], b[new]
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
-    return cells.repartition("g", "v", "x", "y").sortWithinPartitions("g", "v", "x", "y").mapInArrow(compare, "a long, b long")
+    within = ["node"] if apart else []
+    return cells.repartition("g", "v", "x", "y").sortWithinPartitions("g", "v", "x", "y", *within).mapInArrow(compare, "a long, b long")
 
 
 def shingle_sets(text: pa.Array, shingle: int) -> list[np.ndarray]:
@@ -529,6 +548,33 @@ def alike(known: DataFrame, edges: DataFrame, at_least: float) -> DataFrame:
     return pairs.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
 
 
+#: Each round compares places up to so many times as far apart as the round before.
+REACH = 16
+
+
+def joined_by_rounds(nodes: DataFrame, known: DataFrame, met: DataFrame, tried: DataFrame, joined: DataFrame, limit: int, bucket_rows: int, at_least: float) -> DataFrame:
+    """(a, b) for each node a that isn't the least of its component, b being that least node; joined are the alike ones of the edges tried.
+
+    Every pair of a bucket's nodes has its round, by how far apart they stand in the bucket, and is compared in it unless
+    they are joined by then; so no link is lost. Nodes stand by their hashes, so that a round is a random share of a
+    crowd's pairs: once it has joined most of the crowd, the many pairs of the next rounds needn't be looked at. A bucket
+    whose nodes are all joined is left out of what follows.
+    """
+    reach = 1
+    while True:
+        star = stars(joined, "alike-links")
+        label = star.select(F.col("a").alias("node"), F.col("b").alias("label"))
+        several = met.join(label, "node", "left").select("v", F.coalesce("label", "node").alias("label")).groupBy("v").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("rows")).where("x < y")
+        several = written(several.select("v", "rows"), "open-buckets")
+        if (several.agg(F.max("rows").alias("rows")).first().rows or 0) <= reach:
+            return star
+        met = met.join(several, "v", "left_semi")
+        labelled = nodes.join(label, "node", "left").select("fp", "node", F.coalesce("label", "node").alias("label"), "n", *_PARITY)
+        pairs = written(links(labelled, limit, bucket_rows, at_least=at_least, met=met, apart=(reach, REACH * reach)).distinct(), "other-pairs")
+        joined = star.unionByName(alike(known, pairs.join(tried, ["a", "b"], "left_anti"), at_least))
+        tried, reach = tried.unionByName(pairs), REACH * reach
+
+
 def near_duplicates(docs: DataFrame, limit: int = 3, shingle: int = 3, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", bucket_rows: int = 16384,
                     at_least: float | None = None, compared_shingle: int = 5, with_kept: bool = False) -> DataFrame:
     """Per row of docs: doc_id, fingerprint (16 hex digits), and component_id, the least doc_id reachable.
@@ -536,8 +582,8 @@ def near_duplicates(docs: DataFrame, limit: int = 3, shingle: int = 3, seed: int
     Fingerprints link at `limit` or fewer differing bits. With at_least, a link counts only if the texts'
     shingles of compared_shingle words are alike by so much (Jaccard). Such texts share one of their rarest shingles, and
     are looked for among those that do. First the links of spanning forests of least
-    distances are compared, which joins crowds of copies at a linear number of comparisons; then every link between
-    texts that aren't joined yet, so none is lost. Texts of equal shingle sets are alike; texts of
+    distances are compared, which joins crowds of copies at a linear number of comparisons; then, in rounds, every link
+    between texts that aren't joined by its round, so none is lost. Texts of equal shingle sets are alike; texts of
     one fingerprint are compared like any others. A to Z are lower-cased; words are
     `[^\\x20\\x09-\\x0D]+`; a text of fewer words than a shingle is one shingle, and one without words (or
     null) has fingerprint 0, linked like any other. A null id is reached but never the least unless no row
@@ -556,10 +602,7 @@ def near_duplicates(docs: DataFrame, limit: int = 3, shingle: int = 3, seed: int
         met = meetings(known, at_least, tasks)
         tried = written(links(nodes, limit, bucket_rows, nearest_first=True, at_least=at_least, met=met).distinct(), "fingerprint-pairs")
         joined = written(alike(known, tried, at_least), "alike")
-        star = stars(joined, "alike-links").select(F.col("a").alias("node"), F.col("b").alias("label"))
-        labelled = nodes.join(star, "node", "left").select("fp", "node", F.coalesce("label", "node").alias("label"), "n", *_PARITY)
-        rest = written(links(labelled, limit, bucket_rows, at_least=at_least, met=met).distinct().join(tried, ["a", "b"], "left_anti"), "other-pairs")
-        edges = joined.unionByName(alike(known, rest, at_least))
+        edges = joined_by_rounds(nodes, known, met, tried, joined, limit, bucket_rows, at_least)
     row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
     nodes = written(rows.groupBy("node").agg(F.min(row).alias("least"), F.count("*").alias("n")), "distinct-nodes")
     star = stars(edges, "fingerprint-links")

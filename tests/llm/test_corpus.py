@@ -383,6 +383,45 @@ def test_only_texts_that_share_rare_shingles_are_dealt_out(spark):
     assert got == {k: {2000: 9}.get(k, k - 1000 if 1000 <= k < 1005 else k) for k, _ in rows}
 
 
+def test_crowds_on_the_verge_are_compared_in_rounds(spark, monkeypatch):
+    """Versions of one text, of which few pairs are alike: the crowd is joined by few comparisons; before, all pairs of what the first forest left apart were compared."""
+    import random
+
+    rng = random.Random(5)
+    base = ["".join(rng.choices("abcdefgh", k=5)) for _ in range(400)]
+    rows = []
+    for i in range(240):
+        w = list(base)
+        for j in rng.sample(range(60), rng.choice((4, 5, 5, 5))):
+            w[6 * j] = f"z{i}"
+        rows.append((i, " ".join(w)))
+    sets = [(lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)})(t.split()) for _, t in rows]
+    fps = [fingerprint(t) for _, t in rows]
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if (fps[i] ^ fps[j]).bit_count() <= 12 and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    compared, alike = [], simhash.alike
+
+    def counted(known, edges, at_least):
+        compared.append(edges.count())
+        return alike(known, edges, at_least)
+
+    monkeypatch.setattr(simhash, "alike", counted)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(df, limit=12, at_least=0.8).collect()}
+    assert got == {k: find(k) for k, _ in rows}
+    assert sum(compared) <= 30 * len(rows)
+
+
 @pytest.mark.parametrize("bucket_rows", [16384, 3])
 def test_equal_fingerprints_are_compared(spark, bucket_rows):
     import random
