@@ -1,7 +1,7 @@
 from hypothesis import given
 from hypothesis import strategies as st
 
-from lexmill.operators.segment import Trie, maximum_matches, prefixes, word_list
+from lexmill.operators.segment import Matcher, Trie, maximum_matches, prefixes, word_list
 
 CHINA = ["中", "中华", "中华人民", "中华人民共和国"]
 
@@ -57,3 +57,23 @@ def test_long_prefixes(spark):
     keys = spark.createDataFrame([("a" * 80,), ("a",), ("b",), ("",), (None,)], "key string")
     assert sorted(r.prefix for r in prefixes(texts, keys).collect()) == ["a", "a" * 80, "b"]
     assert prefixes(texts, keys.limit(0)).count() == 0
+
+
+@given(st.lists(st.text("ab.", min_size=1, max_size=3)), st.text("abc. \n", max_size=40), st.sampled_from([1, 7, 1000]))
+def test_matcher(keys, text, cut):
+    for most in (0, 1000):
+        matcher = Matcher(Trie.of(keys), most, cut)
+        for _ in range(2):
+            got, start = [], 0
+            for ends, matched in matcher.steps(text):
+                for end, m in zip(ends.tolist(), matched.tolist()):
+                    got.append((start, end, m))
+                    start = end
+            assert got == list(Trie.of(keys).steps(text))
+    assert not Matcher(Trie.of([*keys, "a b"])).parted
+
+
+def test_steps_come_in_parts():
+    """A long text doesn't make one batch."""
+    sizes = [len(ends) for ends, _ in Matcher(Trie.of(["ab"])).steps("ab x " * 200_000)]
+    assert sum(sizes) == 4 * 200_000 and max(sizes) < 200_000
