@@ -5,7 +5,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from lexmill.operators.lattice import CharClass, Entry, Lexicon, Segmenter, Switches, cheapest_path, lexicon_of, real_costs, tokenise, tokens_of
+from lexmill.operators.lattice import Chains, CharClass, Entry, Lexicon, Segmenter, Switches, cheapest_path, lexicon_of, real_costs, tokenise, tokens_of
 
 
 def path(nodes, edges=(), first=(), last=()):
@@ -119,3 +119,35 @@ def test_lexicon_is_bounded(spark):
     assert set(lexicon_of(words, np.zeros((1, 1)), {}, [], UNKNOWN).words) == {"a", "b"}
     with pytest.raises(ValueError):
         lexicon_of(words, np.zeros((1, 1)), {}, [], UNKNOWN, most=1)
+
+
+@settings(max_examples=80, deadline=None)
+@given(
+    st.lists(st.text("abX鬱.\n  ", max_size=25), min_size=1, max_size=4),
+    st.dictionaries(st.text("abX", min_size=1, max_size=3), st.lists(st.tuples(st.integers(0, 2), st.integers(0, 2), st.integers(-3, 6)), min_size=1, max_size=2), max_size=8),
+    st.lists(st.integers(-3, 3), min_size=9, max_size=9),
+    st.sampled_from([1, 3, 1000]),
+    st.booleans(),
+)
+def test_chains(texts, words, m, part, starts_line):
+    """Tokens as numbers are those of the whole text, with lines and indices counted one by one."""
+    lex = Lexicon({w: [Entry(*e) for e in es] for w, es in words.items()}, np.array(m, np.int16).reshape(3, 3), CLASSES, RANGES, {n: [Entry(e.left, e.right, e.cost // 100) for e in es] for n, es in UNKNOWN.items()})
+    known = Chains(Segmenter(lex), starts_line, part)
+    for text in texts * 2:
+        expected, line, index = [], 0, 0
+        found = tokenise(lex, text)[0] if text.strip(" ") else []
+        for t, cost in zip(found, real_costs(lex, found)):
+            content = text[t.start : t.end]
+            if content == "\n" or starts_line and content.startswith("\n"):
+                line, index = line + 1, 0
+                continue
+            expected.append((7, line, index, content, t.kind, t.entry.feature, cost))
+            index += 1
+        rows = [(7, lines, indices, where) for where, lines, indices in known.tokens(text)]
+        got = [tuple(r.values()) for r in known.rows(rows).to_pylist()] if rows else []
+        assert got == expected
+
+
+def test_marks_are_pieces_of_their_own():
+    """A word is remembered whatever mark or line break is next to it."""
+    assert Segmenter(lexicon()).pieces("ab. ab\nab,  ab") == ["ab", ".", " ab", "\n", "ab", ",", "  ab"]
