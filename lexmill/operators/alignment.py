@@ -137,19 +137,28 @@ def annotate(spelling: str, reading: str, kanji: dict[str, Sequence[str]]) -> tu
 ANNOTATED = "status string, spans array<struct<kind:string,spelling:string,reading:string,underlying:string,match_kinds:array<string>>>"
 
 
-def annotated(words: DataFrame, kanji: dict[str, Sequence[str]], id_col: str = "variant_id", spelling_col: str = "spelling", reading_col: str = "reading") -> DataFrame:
-    """(variant_id, status, spans) of every word; status is null where spelling or reading is null. kanji is a bounded resource."""
+def annotated(words: DataFrame, kanji: dict[str, Sequence[str]], id_col: str = "variant_id", spelling_col: str = "spelling", reading_col: str = "reading", most: int = 100_000) -> DataFrame:
+    """(variant_id, status, spans) of every word; status is null where spelling or reading is null. kanji is a bounded resource.
+
+    A spelling and reading met again isn't aligned again, as long as a worker remembers no more than about `most` of them.
+    """
     resource = shared(words.sparkSession, kanji)
+    struct = pa.struct([("kind", pa.string()), ("spelling", pa.string()), ("reading", pa.string()), ("underlying", pa.string()), ("match_kinds", pa.list_(pa.string()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[tuple[str | None, str | None], tuple] = {}
         for batch in batches:
-            status, spans = [], []
-            for s, r in zip(batch.column("s").to_pylist(), batch.column("r").to_pylist()):
-                found = annotate(s, r, resource()) if s is not None and r is not None else (None, None)
-                status.append(found[0])
-                spans.append(found[1] and [{"kind": x.kind, "spelling": x.spelling, "reading": x.reading, "underlying": x.underlying, "match_kinds": list(x.matches)} for x in found[1]])
-            struct = pa.struct([("kind", pa.string()), ("spelling", pa.string()), ("reading", pa.string()), ("underlying", pa.string()), ("match_kinds", pa.list_(pa.string()))])
-            yield pa.RecordBatch.from_arrays([batch.column("k"), pa.array(status, pa.string()), pa.array(spans, pa.list_(struct))], ["variant_id", "status", "spans"])
+            if len(known) > most:
+                known.clear()
+            pairs = list(zip(batch.column("s").to_pylist(), batch.column("r").to_pylist()))
+            places = {pair: i for i, pair in enumerate(dict.fromkeys(pairs))}
+            for s, r in places:
+                if (s, r) not in known:
+                    status, spans = annotate(s, r, resource()) if s is not None and r is not None else (None, None)
+                    known[s, r] = status, spans and [{"kind": x.kind, "spelling": x.spelling, "reading": x.reading, "underlying": x.underlying, "match_kinds": list(x.matches)} for x in spans]
+            found = [known[pair] for pair in places]
+            ids = pa.array(list(map(places.__getitem__, pairs)), pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("k"), pa.array([f[0] for f in found], pa.string()).take(ids), pa.array([f[1] for f in found], pa.list_(struct)).take(ids)], ["variant_id", "status", "spans"])
 
     return words.selectExpr(f"cast(`{id_col}` as string) as k", f"`{spelling_col}` as s", f"`{reading_col}` as r").mapInArrow(run, f"variant_id string, {ANNOTATED}")
 
